@@ -152,25 +152,28 @@ def _date(cipher: Feistel, value: str, back: bool) -> str | None:
         return None
     if not _FIRST_DAY <= day <= _LAST_DAY:
         return None
-    tweak = b"date"
-    if sep == "/" and not year_first:
-        # which of day and month comes first must read the same afterwards: dates whose first part is over 12 are permuted among themselves
-        over = int(parts[0]) > 12
-        day = _walk(cipher, day, tweak + (b">" if over else b"<"), lambda d: (date.fromordinal(d).day > 12) if over else True, back)
-    else:
+    # permuted among the dates that are written alike: which part comes first must still be plain, and parts of one digit stay so
+    short = len(parts[order[1]]) == 1 or len(parts[order[2]]) == 1
+    month_day = sep == "/" and not year_first and order == (2, 0, 1)
+    day_month = sep == "/" and not year_first and not month_day
+
+    def alike(n: int) -> bool:
+        d = date.fromordinal(n)
+        if day_month and d.day <= 12:
+            return False
+        return not short or (len(str(d.month)), len(str(d.day))) == (len(parts[order[1]]), len(parts[order[2]]))
+
+    tweak = f"date/{day_month}/{short and (len(parts[order[1]]), len(parts[order[2]]))}".encode()
+    while True:
         day = _FIRST_DAY + cipher.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, tweak, back)
+        if alike(day):
+            break
     new = date.fromordinal(day)
-    texts = {0: f"{new.year:04d}", 1: f"{new.month:0{len(parts[order[1]])}d}", 2: f"{new.day:0{len(parts[order[2]])}d}"}
+    width = 1 if short else 2
+    texts = {0: f"{new.year:04d}", 1: f"{new.month:0{width}d}", 2: f"{new.day:0{width}d}"}
     return sep.join(texts[order.index(i)] for i in range(3))
 
 
-def _walk(cipher: Feistel, day: int, tweak: bytes, inside, back: bool) -> int:
-    while True:
-        day = _FIRST_DAY + cipher.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, tweak, back)
-        if inside(day):
-            return day
-
-
 def _email(cipher: Feistel, value: str, back: bool) -> str | None:
     name, _, domain = value.rpartition("@")
     host, _, top = domain.rpartition(".")

@@ -1,0 +1,46 @@
+import zlib
+
+import pytest
+from helpers import AWKWARD, documents, prose
+
+from reedline.llm import sharding
+
+
+def test_places_sizes_and_checksums(spark):
+    texts = [prose(20 + k % 50, k) for k in range(3000)] + [t for t in AWKWARD if t is None or len(t) < 1000]
+    rows, path = sharding.shard_documents(spark, documents(spark, texts))
+    got = rows.toPandas()
+    assert sorted(got.doc_id) == list(range(len(texts)))
+    for r in got.itertuples():
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    loads = got.groupby("shard")["size"].sum()
+    assert len(loads) == 16 and loads.max() <= 1.01 * loads.min()
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    slots = spark.read.parquet(path)
+    assert {r["version"]: r["count"] for r in slots.groupBy("version").count().collect()} == {1: 4096, 2: 4096}
+
+
+def test_a_new_shard_takes_slots_and_the_others_keep_theirs(spark):
+    one = sharding.first_map(spark, 64, 4)
+    sizes = spark.createDataFrame([(s, 100 + s, 1) for s in range(64)], "vslot int, bytes long, rows long")
+    two = sharding.rebalanced(one, sizes, 4)
+    three = sharding.rebalanced(two, sizes, 5).toPandas().set_index("vslot").shard.sort_index()
+    before = two.toPandas().set_index("vslot").shard.sort_index()
+    moved = three[three != before]
+    assert len(moved) <= 20 and (three == 4).sum() >= 8
+    loads = {s: sum(100 + v for v in three.index[three == s]) for s in range(5)}
+    assert max(loads.values()) - min(loads.values()) <= 200
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["one"]])
+def test_small_tables(spark, texts):
+    rows, _ = sharding.shard_documents(spark, documents(spark, texts, parts=1))
+    assert rows.count() == len(texts)
+
+
+def test_repeated_and_null_ids_have_places_of_their_own(spark):
+    rows, _ = sharding.shard_documents(spark, documents(spark, ["a", "a", "b", "c"], ids=[5, 5, None, None]))
+    got = rows.toPandas()
+    assert len(got) == 4 and not got.duplicated(["shard", "slot"]).any()

@@ -15,6 +15,7 @@ order; a null id is the empty key and comes first. A value is the document's ids
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,6 +37,8 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 SHARD_ROWS = 100_000
 END_ID = 1
+KNOWN_CHUNKS = 400_000
+_CHUNK = re.compile(r"[^ \t\n\r]+")
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -189,20 +192,29 @@ class ShardReader:
 
 
 def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int]):
-    """Encode texts where they are read, and find each document's shard from the limits of the key ranges."""
+    """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
+
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
+    encodes a chunk once and its ids are remembered, up to a fixed number.
+    """
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}")
+        limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
+        known: dict[str, bytes] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 doc_id = batch.column("doc_id").slice(at, 64)
-                texts = [t or "" for t in batch.column("text").slice(at, 64).to_pylist()]
-                encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-                values = [np.append(np.array(e.ids, f"<u{width}"), end).tobytes() for e in encoded]
+                texts = [_CHUNK.findall(t) if t else [] for t in batch.column("text").slice(at, 64).to_pylist()]
+                if len(known) > KNOWN_CHUNKS:
+                    known.clear()
+                new = list({c for chunks in texts for c in chunks if c not in known})
+                for chunk, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                    known[chunk] = np.array(e.ids, f"<u{width}").tobytes()
+                values = [b"".join(map(known.__getitem__, chunks)) + end for chunks in texts]
                 shard = np.searchsorted(limits, np.array([x if x is not None else -(1 << 63) for x in doc_id.to_pylist()], np.int64), side="left")
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
 
@@ -268,6 +280,8 @@ def _rows(rows):
 def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Encode every whole text and write the shards to `folder`; returns the stored manifest: shard, entries, tokens.
 
+    The tokenizer must be one whose tokens never span or hold white space (see _tokens).
+
     Texts are encoded where they are read; only the ids are shuffled, each shard's key range to one task, which sorts and streams them
     to its file. The limits of the ranges are quantiles of doc_id from a scan of that column alone.
     """

@@ -259,7 +259,8 @@ def near_duplicates(
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
     tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    work = parts.join(texts, "rep").select("comp", "rep", "copies", "block", "text", tasks)
+    # always a merge join: the candidates grow with the documents, so they are never sent to all executors
+    work = parts.hint("merge").join(texts, "rep").select("comp", "rep", "copies", "block", "text", tasks)
     work = work.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "text")
     work = work.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "rep")
     checked = stored(spark, work.mapInArrow(_verify(similarity), "rep long, links long, root long"), "links")

@@ -18,6 +18,8 @@ TARGET_RECALL = 0.9999
 #: Buckets of up to this many sets are compared by brute force; larger ones are split again.
 SMALL = 32
 MAX_DEPTH = 4
+#: A bucket that keeps this part of its parent holds sets alike enough for the exact check: it is not split again.
+DENSE = 0.7
 #: Shared tokens are sampled through this many min-hash coordinates of a set.
 COORDINATES = 64
 #: Sets, and shingles, that one verifying task compares within a block or between two.
@@ -139,10 +141,10 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     """Links (u, v) whose components hold every pair that shared a last bucket: chosen-path recursion, level by level.
 
     Each run splits the sets on sampled coordinates; a bucket of at most SMALL sets ends there and is compared by brute force, one with
-    a single set is dropped, a larger one is split again by coordinates that its own path samples. Buckets that are still large at
-    MAX_DEPTH hold sets that agree in all their samples; their members are linked to the least, for the exact check.
+    a single set is dropped, a larger one is split again by coordinates that its own path samples. A large bucket that kept most of its
+    parent, or is still large at MAX_DEPTH, holds sets that agree in their samples; its members are linked to the least, for the exact check.
     """
-    rows = reps.select("rep", F.explode(_first_paths(runs_for(recall, similarity, MAX_DEPTH), similarity)).alias("path"))
+    rows = reps.select("rep", F.explode(_first_paths(runs_for(recall, similarity, MAX_DEPTH), similarity)).alias("path"), F.lit(None).cast("long").alias("above"))
     links = None
     for depth in range(1, MAX_DEPTH + 1):
         held = rows.groupBy("path").agg(F.count("*").alias("held"), F.min("rep").alias("least")).where("held > 1")
@@ -153,10 +155,10 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
         large = shared.where(F.col("held") > SMALL)
         if large.isEmpty():
             break
-        if depth == MAX_DEPTH:
-            links = links.unionByName(large.select(F.col("rep").alias("u"), F.col("least").alias("v")))
-        else:
-            rows = large.select("rep", "path").join(reps.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"))
+        dense = F.coalesce(F.col("held") >= DENSE * F.col("above"), F.lit(False)) if depth < MAX_DEPTH else F.lit(True)
+        links = links.unionByName(large.where(dense).select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        split = large.where(~dense).select("rep", "path", F.col("held").alias("above"))
+        rows = split.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"), "above")
     return links.where("u <> v").distinct()
 
 

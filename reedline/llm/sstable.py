@@ -37,8 +37,10 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 SHARD_ROWS = 100_000
 END_ID = 1
-KNOWN_CHUNKS = 400_000
+KNOWN_CHUNKS = 1_000_000
 _CHUNK = re.compile(r"[^ \t\n\r]+")
+#: In each Python worker, by tokenizer: the tokenizer and the ids of chunks it has seen; the tasks that a worker runs share them.
+_SEEN: dict = {}
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -191,29 +193,41 @@ class ShardReader:
         return found
 
 
+def _chunk_ids(tokenizer, chunks: list[str], width: int) -> list[bytes]:
+    """The ids of each chunk, from one call: word_ids names the chunk of each token."""
+    found = tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+    counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks))
+    raw, ends = np.array(found.ids, f"<u{width}").tobytes(), (np.cumsum(counts) * width).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int]):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
-    encodes a chunk once and its ids are remembered, up to a fixed number.
+    encodes a chunk once and its ids are remembered by the worker, up to a fixed number.
     """
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        from reedline.llm import sstable
+
+        if (tokenizer_path, width) not in sstable._SEEN:
+            sstable._SEEN.clear()
+            sstable._SEEN[tokenizer_path, width] = Tokenizer.from_file(tokenizer_path), {}
+        tokenizer, known = sstable._SEEN[tokenizer_path, width]
         limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
-        known: dict[str, bytes] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 doc_id = batch.column("doc_id").slice(at, 64)
                 texts = [_CHUNK.findall(t) if t else [] for t in batch.column("text").slice(at, 64).to_pylist()]
                 if len(known) > KNOWN_CHUNKS:
                     known.clear()
-                new = list({c for chunks in texts for c in chunks if c not in known})
-                for chunk, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    known[chunk] = np.array(e.ids, f"<u{width}").tobytes()
+                new = list(set().union(*texts).difference(known))
+                for k in range(0, len(new), 4096):
+                    known.update(zip(new[k : k + 4096], _chunk_ids(tokenizer, new[k : k + 4096], width)))
                 values = [b"".join(map(known.__getitem__, chunks)) + end for chunks in texts]
                 shard = np.searchsorted(limits, np.array([x if x is not None else -(1 << 63) for x in doc_id.to_pylist()], np.int64), side="left")
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
@@ -328,4 +342,3 @@ def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_i
     folder = fresh_path(spark, "token-shards")
     manifest = write_shards(spark, docs, tokenizer_path, folder, end_id, shard_rows)
     return read_shards(manifest, folder), folder
-

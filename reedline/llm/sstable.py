@@ -39,7 +39,7 @@ SHARD_ROWS = 100_000
 END_ID = 1
 KNOWN_CHUNKS = 1_000_000
 _CHUNK = re.compile(r"[^ \t\n\r]+")
-#: In each Python worker, by tokenizer: the tokenizer and the ids of chunks it has seen; the tasks that a worker runs share them.
+#: In each Python worker, for one run of write_shards: the tokenizer and the ids of chunks seen. The tasks of that run share them; another run starts anew.
 _SEEN: dict = {}
 
 
@@ -201,11 +201,11 @@ def _chunk_ids(tokenizer, chunks: list[str], width: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int]):
+def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name: str):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
-    encodes a chunk once and its ids are remembered by the worker, up to a fixed number.
+    encodes a chunk once and its ids are remembered by the worker, up to a fixed number, until the run `name` ends.
     """
 
     def run(batches):
@@ -214,10 +214,10 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int]):
 
         from reedline.llm import sstable
 
-        if (tokenizer_path, width) not in sstable._SEEN:
+        if name not in sstable._SEEN:
             sstable._SEEN.clear()
-            sstable._SEEN[tokenizer_path, width] = Tokenizer.from_file(tokenizer_path), {}
-        tokenizer, known = sstable._SEEN[tokenizer_path, width]
+            sstable._SEEN[name] = Tokenizer.from_file(tokenizer_path), {}
+        tokenizer, known = sstable._SEEN[name]
         limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -309,7 +309,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, fold
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    encoded = rows.mapInArrow(_tokens(tokenizer_path, end_id, width, cuts), "shard int, doc_id long, ids binary")
+    encoded = rows.mapInArrow(_tokens(tokenizer_path, end_id, width, cuts, uuid.uuid4().hex), "shard int, doc_id long, ids binary")
     owned = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     owned.mapInArrow(_write(folder, width), "shard int, entries long, tokens long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("shard int, entries long, tokens long").parquet(f"{folder}/manifest")

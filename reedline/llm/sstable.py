@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_left
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 SHARD_ROWS = 100_000
 END_ID = 1
-KNOWN_CHUNKS = 1_000_000
-_CHUNK = re.compile(r"[^ \t\n\r]+")
+KNOWN_CHUNKS = 600_000
+KNOWN_WORDS = 400_000
+#: Latin letters, then marks without an apostrophe: the tokenizer lowers the letters and takes both parts as one word each.
+_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 #: In each Python worker, for one run of write_shards: the tokenizer and the ids of chunks seen. The tasks of that run share them; another run starts anew.
 _SEEN: dict = {}
 
@@ -193,19 +196,50 @@ class ShardReader:
         return found
 
 
-def _chunk_ids(tokenizer, chunks: list[str], width: int) -> list[bytes]:
-    """The ids of each chunk, from one call: word_ids names the chunk of each token."""
-    found = tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-    counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(chunks))
+def _word_ids(tokenizer, words: list[str], width: int, pretokenized: bool) -> list[bytes]:
+    """The ids of each word, from one call: word_ids names the word of each token. Words of _WORD need no cutting, others come pretokenized."""
+    found = tokenizer.encode(words if pretokenized else " ".join(words), is_pretokenized=pretokenized, add_special_tokens=False)
+    counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))
     raw, ends = np.array(found.ids, f"<u{width}").tobytes(), (np.cumsum(counts) * width).tolist()
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
+class ChunkIds(dict):
+    """chunk between blanks -> its ids as bytes; encodes what is new in one call and forgets all beyond a fixed number."""
+
+    def __init__(self, tokenizer, width: int):
+        super().__init__({"": b""})
+        self.tokenizer, self.width, self.words = tokenizer, width, {"": b""}
+
+    def bound(self) -> None:
+        if len(self) > KNOWN_CHUNKS:
+            self.clear()
+            self[""] = b""
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.words) > KNOWN_WORDS:
+            self.words = {"": b""}
+        parts, other = [], []
+        for chunk in new:
+            if found := _WORD.fullmatch(chunk):
+                parts.append((chunk, found[1].lower(), found[2]))
+            else:
+                other.append(chunk)
+        wanted = list({w for _, *two in parts for w in two}.difference(self.words))
+        for words, into, cut in ((wanted, self.words, False), (other, self, True)):
+            for k in range(0, len(words), 1024):
+                into.update(zip(words[k : k + 1024], _word_ids(self.tokenizer, words[k : k + 1024], self.width, cut)))
+        known = self.words
+        for chunk, word, marks in parts:
+            self[chunk] = known[word] + known[marks] if marks else known[word]
+
+
 def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name: str):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
-    encodes a chunk once and its ids are remembered by the worker, up to a fixed number, until the run `name` ends.
+    encodes a chunk once and its ids are remembered by the worker, up to a fixed number, until the run `name` ends. A chunk of Latin letters
+    and marks is put together from the ids of its two parts.
     """
 
     def run(batches):
@@ -216,18 +250,16 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name:
 
         if name not in sstable._SEEN:
             sstable._SEEN.clear()
-            sstable._SEEN[name] = Tokenizer.from_file(tokenizer_path), {}
-        tokenizer, known = sstable._SEEN[name]
+            sstable._SEEN[name] = ChunkIds(Tokenizer.from_file(tokenizer_path), width)
+        known = sstable._SEEN[name]
         limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 doc_id = batch.column("doc_id").slice(at, 64)
-                texts = [_CHUNK.findall(t) if t else [] for t in batch.column("text").slice(at, 64).to_pylist()]
-                if len(known) > KNOWN_CHUNKS:
-                    known.clear()
-                new = list(set().union(*texts).difference(known))
-                for k in range(0, len(new), 4096):
-                    known.update(zip(new[k : k + 4096], _chunk_ids(tokenizer, new[k : k + 4096], width)))
+                texts = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in batch.column("text").slice(at, 64).to_pylist()]
+                known.bound()
+                if new := set(filterfalse(known.__contains__, chain.from_iterable(texts))):
+                    known.learn(list(new))
                 values = [b"".join(map(known.__getitem__, chunks)) + end for chunks in texts]
                 shard = np.searchsorted(limits, np.array([x if x is not None else -(1 << 63) for x in doc_id.to_pylist()], np.int64), side="left")
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])

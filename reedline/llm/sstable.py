@@ -38,8 +38,8 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 SHARD_ROWS = 100_000
 END_ID = 1
-KNOWN_CHUNKS = 600_000
-KNOWN_WORDS = 400_000
+KNOWN_CHUNKS = 1_000_000
+KNOWN_WORDS = 700_000
 #: Latin letters, then marks without an apostrophe: the tokenizer lowers the letters and takes both parts as one word each.
 _WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 #: In each Python worker, for one run of write_shards: the tokenizer and the ids of chunks seen. The tasks of that run share them; another run starts anew.

@@ -43,3 +43,18 @@ def test_no_rows_and_repeated_rows(spark):
     assert sstable.token_table(spark, documents(spark, [], parts=1), PATH)[0].count() == 0
     got = sstable.token_table(spark, documents(spark, ["b", "a", "b", "c"], ids=[2, 2, 2, None]), PATH)[0].toPandas()
     assert list(got.sort_values("start").doc_id.fillna(-1)) == [-1, 2, 2, 2] and got.n_tokens.sum() == 8
+
+
+def test_chunk_ids_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from reedline.llm.sstable import ChunkIds
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["it's We'LL x'' o'", "İstanbul Straße, Éa. éa É.", "a×b ÷ ǅab ŉx ªº", "a.b ... (x) wow!!!*** a-b a_b_ _", "x<|endoftext|> <|startoftext|>", "Σας ΑΣ 日本 x1 12,  y z", "It's it's IT, it, It"]
+    known = ChunkIds(tokenizer, 2)
+    for text in texts:
+        chunks = text.split(" ")
+        known.learn(list(set(chunks).difference(known)))
+        assert b"".join(known[c] for c in chunks) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text

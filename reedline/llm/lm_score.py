@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import WORD
+from reedline.llm.common import WORD, stored
 
-#: The shared vocabulary: the most frequent words of all documents; every other word is one unknown word.
-VOCABULARY = 50_000
-#: Bigrams are counted by hash in this many bins, the same for both models: with the vocabulary, the bound of what is broadcast.
-BINS = 1 << 20
 BIGRAM_WEIGHT = 0.7
 ADD = 0.1
-UNKNOWN = 0
+#: Words are known by a 64-bit hash; these stand for the start of a text, any word outside a given vocabulary, and a row of a whole document.
+START, UNKNOWN, WHOLE = 0, 1, 2
+#: Bigrams that are at least this part of all are sent to every task (so at most 1 / HOT of them); all others are joined.
+HOT = 1e-6
+#: The rows of a word are spread over so many keys where bigrams meet their words.
+SALTS = 8
+#: Words and distinct bigrams that a task holds before it hands them on.
+HELD_WORDS, HELD_PAIRS, FLAT_WORDS = 300_000, 2_000_000, 1_000_000
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _word_counts(batches):
@@ -35,105 +41,210 @@ def _word_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of all documents, 1 on (ties: the word first in order); 0 is any other word."""
+def vocabulary(docs: DataFrame, size: int) -> dict[str, int]:
+    """The most frequent words of all documents, 1 on (ties: the word first in order)."""
     counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
     return {w: i for i, w in enumerate(top.column("word").to_pylist(), 1)}
 
 
-def _numbers(words: dict[str, int], text: str | None) -> np.ndarray:
-    get = words.get
-    return np.array([get(w, UNKNOWN) for w in WORD.findall(text.lower())] if text else [], np.int64)
+class _Numbers(dict):
+    """word -> number within this task, and the hash of each number; 0 is the start of a text."""
 
+    def __init__(self, words: dict[str, int] | None):
+        super().__init__()
+        self.words, self.hashes = words, [START]
 
-def _bins(numbers: np.ndarray, bins: int) -> np.ndarray:
-    """The bin of each word with the one before it; the first word follows the start mark, -1."""
-    before = np.append(-1, numbers[:-1]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15) + numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(bins)).astype(np.int64)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.hashes)
+        inside = self.words is None or word in self.words
+        self.hashes.append(xxhash.xxh64_intdigest(word) if inside else UNKNOWN)
+        return number
 
 
-@dataclass
-class Counts:
-    words: np.ndarray
-    bigrams: np.ndarray
+def _flat(batches, known: _Numbers):
+    """(rows, numbers) of some texts at a time: the numbers of their words, a 0 before each text. The table may be cleared after each."""
+    for batch in batches:
+        texts, first, flat = batch.column("text").to_pylist(), 0, []
+        for k, text in enumerate(texts):
+            flat.append(0)
+            if text:
+                flat.extend(map(known.__getitem__, WORD.findall(text.lower())))
+            if len(flat) > FLAT_WORDS or k == len(texts) - 1:
+                yield batch.slice(first, k + 1 - first), np.array(flat, np.int64)
+                first, flat = k + 1, []
 
 
-def count(spark: SparkSession, docs: DataFrame, words: dict[str, int], bins: int = BINS) -> Counts:
-    """Word and bigram counts of all documents, summed in each partition, then in an aggregation; the driver gets one row a bin."""
-    sent = spark.sparkContext.broadcast(words)
-    first = len(words) + 1
+def _pairs(words):
+    """Counts of the (word before, word) of one partition, summed there before the shuffle, in bounded memory."""
 
     def run(batches):
-        known = sent.value
-        sums = np.zeros(first + bins, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                numbers = _numbers(known, text)
-                if len(numbers):
-                    np.add.at(sums, numbers, 1)
-                    np.add.at(sums, first + _bins(numbers, bins), 1)
-        at = np.flatnonzero(sums)
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(sums[at[k : k + 100_000]])], ["bin", "n"])
-
-    total = docs.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    sums = np.zeros(first + bins, np.int64)
-    sums[total.column("bin").to_numpy()] = total.column("n").to_numpy()
-    return Counts(sums[:first], sums[first:])
+        known = _Numbers(words)
+        keys, sums, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def summed():
+            every = np.concatenate([keys, *waiting])
+            n = np.concatenate([sums, np.ones(len(every) - len(keys), np.int64)])
+            order = np.argsort(every, kind="stable")
+            every, n = every[order], n[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+            return every[first], np.add.reduceat(n, first) if len(first) else n
+
+        def out():
+            hashes = np.array(known.hashes, np.uint64).view(np.int64)
+            for k in range(0, len(keys), 100_000):
+                at = keys[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at >> 32]), pa.array(hashes[at & 0xFFFFFFFF]), pa.array(sums[k : k + 100_000])], ["a", "b", "n"])
+
+        for _, flat in _flat(batches, known):
+            some = (flat[:-1] << 32 | flat[1:])[flat[1:] > 0]
+            waiting.append(some)
+            full = len(known) > HELD_WORDS
+            if full or sum(map(len, waiting)) > HELD_PAIRS:
+                keys, sums = summed()
+                waiting = []
+            if full or len(keys) > HELD_PAIRS:
+                yield from out()
+                keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+                known = _cleared(known)
+        keys, sums = summed()
+        yield from out()
+
+    return run
+
+
+def _cleared(known: _Numbers) -> _Numbers:
+    """The same table, empty: whoever holds it goes on with it."""
+    known.clear()
+    known.hashes = [START]
+    return known
 
 
 @dataclass
 class Scorer:
-    """Both models as tables of log probabilities' parts; they share vocabulary, bins and smoothing."""
+    """Both models as tables: counts of words and of bigrams, and the loss of each bigram under both.
+
+    words: the vocabulary if one was given; else every word of the documents is one.
+    """
+
+    words: dict[str, int] | None
+    pairs: DataFrame  # a, b, background, target
+    counts: DataFrame  # b, background, target
+    losses: DataFrame  # a, b, n, loss_target, loss_background
+    n_words: int
+    n_background: int
+    n_target: int
+
 
-    words: dict[str, int]
-    target: Counts
-    background: Counts
+def _losses(pairs: DataFrame, counts: DataFrame, size: int, total: dict[str, int]) -> DataFrame:
+    """The loss of each bigram under both models. A word's rows are dealt over SALTS keys, so that no frequent word is one task's."""
+    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    names = ("background", "target")
+    here = spread.select("b", "salt", *[F.col(m).alias(f"here_{m}") for m in names]).hint("merge")
+    before = spread.select(F.col("b").alias("a"), "salt", *[F.col(m).alias(f"before_{m}") for m in names]).hint("merge")
+    rows = pairs.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS))).join(here, ["b", "salt"], "left").drop("salt")
+    rows = rows.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(before, ["a", "salt"], "left")
 
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Words of a text, and the mean loss (nats a word) under target and background."""
-        numbers = _numbers(self.words, text)
-        if not len(numbers):
-            return 0, 0.0, 0.0
-        bins = _bins(numbers, len(self.target.bigrams))
-        return len(numbers), *(float(-np.log(self._chance(m, numbers, bins)).mean()) for m in (self.target, self.background))
+    def loss(m):
+        one = (F.coalesce(f"here_{m}", F.lit(0)) + ADD) / (total[m] + ADD * size)
+        seen = F.when(F.col("a") == START, F.lit(total[m])).otherwise(F.coalesce(f"before_{m}", F.lit(0)))
+        two = (F.col(m) + ADD * one) / (seen + ADD)
+        return -F.log(BIGRAM_WEIGHT * two + (1 - BIGRAM_WEIGHT) * one)
 
-    def _chance(self, model: Counts, numbers: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        size = len(model.words)
-        one = (model.words[numbers] + ADD) / (model.words.sum() + ADD * size)
-        seen = np.append(model.words.sum(), model.words[numbers[:-1]])  # how often the word before occurs
-        two = np.minimum(1.0, (model.bigrams[bins] + ADD * one) / (seen + ADD))
-        return BIGRAM_WEIGHT * two + (1 - BIGRAM_WEIGHT) * one
+    return rows.select("a", "b", F.col("background").alias("n"), loss("target").alias("loss_target"), loss("background").alias("loss_background"))
 
 
-def train(spark: SparkSession, docs: DataFrame, target: DataFrame, size: int = VOCABULARY, bins: int = BINS) -> Scorer:
-    """Both models: background from all documents, target from the rows of `target` (text), one vocabulary from all documents."""
-    words = vocabulary(docs, size)
-    return Scorer(words, count(spark, target, words, bins), count(spark, docs, words, bins))
+def train(spark: SparkSession, docs: DataFrame, target: DataFrame, size: int | None = None) -> Scorer:
+    """Both models: background from all documents, target from the rows of `target` (text), one vocabulary from all documents.
+
+    The vocabulary is every word of the documents, or, where size is given, the most frequent so many, every other word being one unknown
+    word. Counts are of exact pairs of words (by 64-bit hashes of the words) and grow with the documents; they stay tables.
+    """
+    words = None if size is None else vocabulary(docs, size)
+    zero = F.lit(0).cast("long")
+    every = docs.select("text").mapInArrow(_pairs(words), "a long, b long, n long").select("a", "b", F.col("n").alias("background"), zero.alias("target"))
+    some = target.select("text").mapInArrow(_pairs(words), "a long, b long, n long").select("a", "b", zero.alias("background"), F.col("n").alias("target"))
+    sums = [F.sum(m).alias(m) for m in ("background", "target")]
+    pairs = stored(spark, every.unionByName(some).groupBy("a", "b").agg(*sums), "lm-pairs")
+    counts = stored(spark, pairs.groupBy("b").agg(*sums), "lm-words")
+    n, background, of_target = counts.agg(F.count("*"), F.coalesce(F.sum("background"), zero), F.coalesce(F.sum("target"), zero)).first()
+    n = (n if words is None else len(words)) + 1
+    losses = stored(spark, _losses(pairs, counts, n, {"background": background, "target": of_target}), "lm-losses")
+    return Scorer(words, pairs, counts, losses, n, background, of_target)
+
+
+def _with_pairs_of(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> Scorer:
+    """The scorer with the losses of those bigrams of docs that neither model has seen."""
+    zero = F.lit(0).cast("long")
+    found = docs.select("text").mapInArrow(_pairs(scorer.words), "a long, b long, n long").select("a", "b").distinct()
+    new = found.join(scorer.pairs.hint("merge"), ["a", "b"], "left_anti").select("a", "b", zero.alias("background"), zero.alias("target"))
+    more = _losses(new, scorer.counts, scorer.n_words, {"background": scorer.n_background, "target": scorer.n_target})
+    return replace(scorer, losses=scorer.losses.unionByName(stored(spark, more, "lm-losses")))
+
+
+def _scored(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """doc_id, n_words, sums of losses, and how many of the bigrams have no loss yet."""
+    least = max(1.0, HOT * scorer.n_background)
+    often = scorer.losses.where(F.col("n") >= least).toArrow()
+    a, b = (often.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+    mixed = a * _A + b * _B
+    order = np.argsort(mixed)
+    hot = [x[order] for x in (mixed, a, b, *(often.column(c).to_numpy() for c in ("loss_target", "loss_background")))]
+    sent = spark.sparkContext.broadcast(hot)
+    words = scorer.words
+    schema = "key long, a long, b long, doc_id long, n_words long, loss_target double, loss_background double"
+
+    def run(batches):
+        mixed, hot_a, hot_b, *losses = sent.value
+        known = _Numbers(words)
+        names = [c.split()[0] for c in schema.split(", ")]
+        key = TaskContext.get().partitionId() << 40
+        for rows, flat in _flat(batches, known):
+            hashes = np.array(known.hashes, np.uint64)
+            is_word = flat[1:] > 0
+            doc = (np.cumsum(flat == 0) - 1)[1:][is_word]
+            a, b = hashes[flat[:-1][is_word]], hashes[flat[1:][is_word]]
+            sums = [np.zeros(rows.num_rows), np.zeros(rows.num_rows)]
+            cold = np.ones(len(a), bool)
+            if len(mixed) and len(a):
+                m = a * _A + b * _B
+                at = np.minimum(np.searchsorted(mixed, m), len(mixed) - 1)
+                found = (hot_a[at] == a) & (hot_b[at] == b)
+                cold = ~found
+                sums = [np.bincount(doc[found], x[at[found]], rows.num_rows) for x in losses]
+            keys = np.arange(key, key + rows.num_rows)
+            n_words = np.bincount(doc, minlength=rows.num_rows)
+            key += rows.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(np.full(len(keys), WHOLE)), rows.column("doc_id"), pa.array(n_words), *map(pa.array, sums)], names)
+            if cold.any():
+                left = np.flatnonzero(cold)
+                for k in range(0, len(left), 100_000):
+                    i = left[k : k + 100_000]
+                    none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc[i]]), pa.array(a[i].view(np.int64)), pa.array(b[i].view(np.int64)), *none], names)
+            if len(known) > HELD_WORDS:
+                _cleared(known)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    rest = scorer.losses.where(F.col("n") < least).select("a", "b", F.col("loss_target").alias("rest_target"), F.col("loss_background").alias("rest_background"))
+    joined = rows.join(rest.hint("merge"), ["a", "b"], "left")
+    sums = [F.sum(F.coalesce(f"loss_{m}", f"rest_{m}", F.lit(0.0))).alias(f"loss_{m}") for m in ("target", "background")]
+    unseen = F.count_if(F.col("loss_target").isNull() & F.col("rest_target").isNull()).alias("unseen")
+    return joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *sums, unseen)
 
 
 def cross_entropy_difference(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
     """Every document with n_words, loss_target, loss_background and score = loss_target - loss_background.
 
-    Losses are nats a word of interpolated bigram models over hashed counts; a low score means text like the target's. A text that is null
+    Losses are nats a word of interpolated bigram models; a low score means text like the target's. A text that is null
     or has no word has n_words 0 and null losses and score. With no target rows the target is uniform. Repeated rows are scored
     each; an empty table gives no rows; other columns aren't read. Whole texts count.
-    """
-    sent = spark.sparkContext.broadcast(scorer)
 
-    def run(batches):
-        model = sent.value
-        for batch in batches:
-            found = [model.losses(t) for t in batch.column("text").to_pylist()]
-            n = [f[0] for f in found]
-            target, background = ([f[k] if f[0] else None for f in found] for k in (1, 2))
-            score = [f[1] - f[2] if f[0] else None for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (target, background, score))],
-                ["doc_id", "n_words", "loss_target", "loss_background", "score"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+    The losses of frequent bigrams are sent to all tasks, a number with a bound; every other bigram of a document is joined with its loss.
+    Documents that the models weren't trained on may have bigrams without a loss yet; theirs are made and all documents scored anew.
+    """
+    found = stored(spark, _scored(spark, docs, scorer), "lm-scores")
+    if not found.where("unseen > 0").isEmpty():
+        found = stored(spark, _scored(spark, docs, _with_pairs_of(spark, docs, scorer)), "lm-scores")
+    mean = {m: F.when(F.col("n_words") > 0, F.col(f"loss_{m}") / F.col("n_words")) for m in ("target", "background")}
+    return found.select("doc_id", "n_words", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"), (mean["target"] - mean["background"]).alias("score"))

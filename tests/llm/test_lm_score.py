@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -51,3 +52,35 @@ def test_awkward_rows(spark):
     assert len(got) == len(AWKWARD) and list(got.n_words[:4]) == [0] * 4 and got.score[:4].isna().all() and got.score[4:].notna().all()
     empty = documents(spark, [], parts=1)
     assert lm_score.cross_entropy_difference(spark, empty, lm_score.train(spark, empty, empty)).count() == 0
+
+
+def test_every_word_and_pair_counts_as_itself(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(70_000)}" for _ in range(600)) for _ in range(250)] + ["often seen words"] * 50 + ["x"] * 3
+    docs = documents(spark, texts[:-1])
+    target = texts[:-1:2]
+    got = lm_score.cross_entropy_difference(spark, documents(spark, texts + ["never seen w1 w2"]), lm_score.train(spark, docs, docs.where("doc_id % 2 = 0"))).toPandas()
+    got = got.set_index("doc_id").sort_index()
+    size = len({w for t in texts for w in t.split()}) + 1
+    assert size > 60_000
+
+    def model(rows):
+        one, two = Counter(), Counter()
+        for row in rows:
+            one.update(row.split())
+            two.update(zip(["", *row.split()], row.split()))
+        n = sum(one.values())
+
+        def loss(text):
+            total = 0
+            for a, b in zip(["", *text.split()], text.split()):
+                p1 = (one[b] + lm_score.ADD) / (n + lm_score.ADD * size)
+                p2 = (two[a, b] + lm_score.ADD * p1) / ((one[a] if a else n) + lm_score.ADD)
+                total -= math.log(lm_score.BIGRAM_WEIGHT * p2 + (1 - lm_score.BIGRAM_WEIGHT) * p1)
+            return total / len(text.split())
+
+        return loss
+
+    background, of_target = model(texts[:-1]), model(target)
+    for i, text in enumerate(texts + ["never seen w1 w2"]):
+        assert got.loss_background[i] == pytest.approx(background(text)) and got.loss_target[i] == pytest.approx(of_target(text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from datetime import date
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -188,12 +189,80 @@ KINDS = {
     "email": (re.compile(r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"), _email),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
-    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)"), _date),
+    "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)"), _date),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    "card": (re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
+    "card": (re.compile(r"(?<![\w.+-])\d+(?:[ -]\d+)*(?![\w-])"), _card),
     "phone": (re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])|(?<![\w.])\+\d{1,3}(?:[ .-]?\d){8,12}(?![\w-])"), _phone),
 }
 
+#: Characters of an IBAN by country. A number of another length is sought after that of this length.
+IBAN_LENGTH = {c: int(n) for n, some in (p.split(":") for p in (
+    "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK,MN 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in some.split(",")}
+_DIGITS, _PARTS = re.compile(r"\d+"), re.compile(r"[A-Z0-9]+")
+
+
+def _walked(change, cipher: Feistel, value: str, back: bool, alike) -> str | None:
+    """The pseudonym of a value beside others: the next ones of the cipher are passed over until what lies around is read alike, as undoing needs."""
+    new = change(cipher, value, back)
+    while new is not None and not alike(new):
+        new = change(cipher, new, back)
+    return new
+
+
+def _next_card(text: str, parts: list[tuple[int, int]], low: int, whole: bool, free) -> tuple[int, int] | None:
+    """First and last + 1 of the parts of the next card number: all parts if whole, else the first end, and for it the first start."""
+    sizes = [b - a for a, b in parts]
+    tries = [(0, len(parts))] if whole and low == 0 else []
+    for i, j in chain(tries, ((i, j) for j in range(low + 1, len(parts) + 1) for i in range(max(low, j - 19), j))):
+        if 13 <= sum(sizes[i:j]) <= 19 and free(parts[i][0], parts[j - 1][1]):
+            digits = "".join(text[a:b] for a, b in parts[i:j])
+            if digits.strip("0") and luhn_digit(digits[:-1]) == digits[-1]:
+                return i, j
+    return None
+
+
+def _cards(cipher: Feistel, text: str, start: int, end: int, back: bool, free):
+    """(start, end, pseudonym) of the card numbers in a run of numbers. They and their order depend on nothing that follows a number."""
+    parts = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    total, low = sum(b - a for a, b in parts), 0
+    if total < 13:
+        return
+    while found := _next_card(text, parts, low, total <= 19, free):
+        i, j = found
+        a, b = parts[i][0], parts[j - 1][1]
+        upto = parts if total <= 19 else parts[:j]
+        new = _walked(_card, cipher, text[a:b], back, lambda v: _next_card(text[:a] + v + text[b:], upto, low, total <= 19, free) == found)  # noqa: B023
+        if new is not None:
+            yield a, b, new
+        low = j
+
+
+def _next_iban(cipher: Feistel, text: str, start: int, end: int, free) -> tuple[int, int] | None:
+    """Start and end of the first IBAN that starts in text[start:end]: of its country's length, or else the longest."""
+    pattern = KINDS["iban"][0]
+    while start < end and (m := pattern.search(text, start)) and m.start() < end:
+        ends = [p.end() for p in _PARTS.finditer(text, *m.span())][::-1]
+        least = IBAN_LENGTH.get(m.group()[:2])
+        ends.sort(key=lambda e: len(re.sub(r"\s", "", text[m.start() : e])) != least)  # noqa: B023
+        for e in ends:
+            if free(m.start(), e) and _iban(cipher, text[m.start() : e], False) is not None:
+                return m.start(), e
+        start = _PARTS.match(text, m.start()).end()
+    return None
+
+
+def _ibans(cipher: Feistel, text: str, back: bool, free):
+    """(start, end, pseudonym) of the IBANs of a text."""
+    low = 0
+    while found := _next_iban(cipher, text, low, len(text), free):
+        a, b = found
+        new = _walked(_iban, cipher, text[a:b], back, lambda v: _next_iban(cipher, text[:a] + v + text[b:], low, b, free) == found)  # noqa: B023
+        if new is not None:
+            yield a, b, new
+        low = b
+
 
 def find(text: str | None, cipher: Feistel, back: bool = False) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of all validated values of a whole text, in order, none overlapping."""
@@ -203,9 +272,20 @@ def find(text: str | None, cipher: Feistel, back: bool = False) -> list[tuple[st
     for kind, (pattern, change) in KINDS.items():
         if kind == "email" and "@" not in text:
             continue
+
+        def free(a, b):
+            return not any(a < e and s < b for _, s, e, _ in taken)
+
+        if kind == "iban":
+            taken += [(kind, *t) for t in list(_ibans(cipher, text, back, free))]
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
-            if any(a < e and s < b for _, s, e, _ in taken):
+            if kind == "card":
+                if b - a >= 13:
+                    taken += [(kind, *t) for t in list(_cards(cipher, text, a, b, back, free))]
+                continue
+            if not free(a, b):
                 continue
             new = change(cipher, m.group(), back)
             if new is not None:
@@ -219,7 +299,8 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     E-mail addresses, IBANs (check digits valid), IPv4 addresses, calendar dates from 1900 to 2099, US social security numbers, card numbers
     (Luhn valid) and phone numbers are each permuted among the values of their own format by a Feistel cipher with `key`, so equal values
     become equal pseudonyms in all documents, pseudonyms stay valid, and whoever has the key can undo them (back=True). What fails
-    validation stays.
+    validation stays. Where a card number or IBAN stands in a run of others, every part of the run that can be one is tried; if its pseudonym would
+    make such a run be read otherwise, the cipher's next one is taken, so there equal values may have different pseudonyms.
 
     A null text stays null and has nothing found, as an empty one. Repeated rows are treated alike. An empty table gives no rows. Other
     columns aren't read.

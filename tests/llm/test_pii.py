@@ -58,3 +58,28 @@ def test_personal_data_of_the_table_goes(spark):
     after = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, b"k").collect()}
     values = [(d, v) for d, found in before.items() for v in found]
     assert len(values) > 20 and not [v for d, v in values if v in after[d]]
+
+
+BESIDE = [
+    ("pay {} 43 ok", "4111111111111111"), ("12 {}", "4111111111111111"), ("{} 123", "4111 1111 1111 1111"), ("1 22 333 {} 123 4", "4111111111111111"),
+    ("{} USD", "ES91 2100 0418 4502 0005 1332"), ("ID13 CODE {}", "GB82 WEST 1234 5698 7654 32"), ("at {}T03:04:05Z", "2024-01-02"),
+]
+
+
+@pytest.mark.parametrize("around, value", BESIDE)
+def test_a_value_beside_others_goes_and_comes_back(around, value):
+    text = around.format(value)
+    for key in range(60):
+        cipher = pii.Feistel(b"%d" % key)
+        ((kind, a, b, new),) = pii.find(text, cipher)
+        assert text[a:b] == value != new
+        assert [f[1:] for f in pii.find(text[:a] + new + text[b:], cipher, back=True)] == [(a, a + len(new), value)]
+
+
+def test_a_long_run_of_numbers_comes_back():
+    text = " ".join(f"{5500000000000004 if k % 2 else '4111 1111 1111 1111'} {k + 100}" for k in range(60))
+    found = pii.find(text, CIPHER)
+    assert len(found) == 60
+    new = "".join(text[e:a] + v for (_, _, e, _), (_, a, _, v) in zip([("", 0, 0, ""), *found], found)) + text[found[-1][2] :]
+    assert "4111 1111 1111 1111" not in new and "5500000000000004" not in new
+    assert [f[3] for f in pii.find(new, CIPHER, back=True)] == [text[a:b] for _, a, b, _ in found]

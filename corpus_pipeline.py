@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedline.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
@@ -10,6 +10,8 @@ from reedline.llm.common import stored
 
 #: Documents whose language is less sure than this are rejected, as those without a letter are.
 LEAST_SCORE = 0.5
+#: Stages decide by row: a number of each row, since doc_id may be null or repeat.
+KEY = "_row_key"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,20 +24,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one that exact_dedup keeps goes on."""
-    return _without(docs, exact_dedup.exact_dedup(spark, docs).where("not kept"))
+    """Of rows with equal texts the one with the most code points goes on, then the least doc_id (null last), then any one."""
+    rows = _keyed(spark, docs)
+    found = exact_dedup.exact_dedup(spark, _by_key(rows)).where("group_size > 1")
+    size = F.length(F.coalesce("text", F.lit("")))
+    return _without(docs, rows, _later(rows, found.select(F.col("doc_id").alias(KEY), F.col("keep_id").alias("_class")), -size))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id goes on."""
-    found = jaccard_join.near_duplicates(spark, docs)
-    return _without(docs, found.where("doc_id <> class_id"))
+    """Of each class of near-duplicates the row with the least doc_id (null last) goes on, then any one."""
+    rows = _keyed(spark, docs)
+    found = jaccard_join.near_duplicates(spark, _by_key(rows)).where("n_links > 0")
+    return _without(docs, rows, _later(rows, found.select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class")), F.lit(0)))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item go on."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contaminated(spark, docs, benchmark))
+    rows = _keyed(spark, docs)
+    return _without(docs, rows, decontaminate.contaminated(spark, _by_key(rows), benchmark).select(F.col("doc_id").alias(KEY)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,31 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(spark, docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows without doc_id stay."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, the same at every reading: where a row lies in its file, or else docs are stored with numbers."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return stored(spark, docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    names = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    return rows.join(F.broadcast(numbers), "_file").select(*docs.columns, F.expr("shiftleft(_number, 40) + _row").alias(KEY))
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows as the operators read them, with their own number as doc_id: no two rows share one, none is null."""
+    return rows.select(F.col(KEY).alias("doc_id"), "text")
+
+
+def _later(rows: DataFrame, classes: DataFrame, first: Column) -> DataFrame:
+    """The keys of all rows of each class but one: the least by first, doc_id (null last), key."""
+    order = F.struct(first.alias("first"), F.col("doc_id").isNull().alias("without"), "doc_id", KEY)
+    kept = classes.join(rows.select(KEY, order.alias("place")), KEY).groupBy("_class").agg(F.min("place").alias("place"))
+    return classes.join(kept.select(f"place.{KEY}"), KEY, "left_anti").select(KEY)
+
+
+def _without(docs: DataFrame, rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose key is in gone, in the columns of docs."""
+    return rows.join(gone.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+from helpers import prose
 from test_exact_dedup import brute as equal_groups
 from test_jaccard_join import brute as near_groups
 
@@ -39,3 +40,23 @@ def test_stages_equal_a_plain_version(spark):
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(t.split()) + 1 for i, t in kept.items()}
     assert set(packed.bin_length) <= set(packing.LENGTHS)
+
+
+def test_rows_without_id_and_with_the_same_id(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = prose(200, 3)
+    rows = [
+        (None, "a copy of a text"), (None, "a copy of a text"), (7, "a copy of a text"), (8, "twice the same row"), (8, "twice the same row"),
+        (9, "a copy of a text"), (9, "clean text beside it"), (10, f"{item} leaked"), (10, "clean text beside a leak"), (None, f"leaked {item}"),
+        (None, near), (11, near + " more"), (11, near + " other"), (None, "no id and no copy"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(7, "a copy of a text"), (8, "twice the same row"), (9, "clean text beside it"), (10, "clean text beside a leak"), (None, "no id and no copy")]
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for at in (docs, spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            at = stage(spark, at, str(tmp_path))
+        got = [(r["doc_id"], r["text"]) for r in at.collect()]
+        assert len(got) == 6 and {r for r in got if not r[1].startswith(near)} == set(want)
+        assert [r[0] for r in got if r[1].startswith(near)] == [11]

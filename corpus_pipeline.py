@@ -8,19 +8,18 @@ from pyspark.sql import functions as F
 from reedline.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
 from reedline.llm.common import stored
 
-#: Documents whose language is less sure than this are rejected, as those without a letter are.
-LEAST_SCORE = 0.5
 #: Stages decide by row: a number of each row, since doc_id may be null or repeat.
 KEY = "_row_key"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language go on. Null texts and texts without a letter are rejected."""
+    """Documents with a letter go on, however sure their language is. Null texts and texts without a letter are rejected."""
     columns = docs.columns
     model = language_id.train(spark, docs.select("doc_id", "text", "lang"))
+    if not model.langs:  # nothing to learn from: all would be 'und'
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     known = language_id.identify(spark, docs, model)
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return known.where(sure).select(*columns)
+    return known.where(F.col("lang_pred") != language_id.UNKNOWN).select(*columns)
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,11 @@ def test_rows_without_id_and_with_the_same_id(spark, tmp_path):
         got = [(r["doc_id"], r["text"]) for r in at.collect()]
         assert len(got) == 6 and {r for r in got if not r[1].startswith(near)} == set(want)
         assert [r[0] for r in got if r[1].startswith(near)] == [11]
+
+
+def test_every_document_with_a_letter_has_a_language(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for langs in (["en", "de", "fr", "it"], [None] * 4):
+        rows = [(k, "same words", lang, "s", 10) for k, lang in enumerate(langs)] + [(8, "12 ...", "en", "s", 6), (9, None, None, "s", 0)]
+        got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "")
+        assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3]

@@ -110,8 +110,8 @@ def best_fit_pack(
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("tokens"))
     pieces = sizes.select("doc_id", "tokens", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(largest).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(largest), F.col("tokens") - F.col("start")).cast("int").alias("length"))
-    rows = docs.count()
-    groups = max(1, -(-rows // group_pieces))
+    count = sizes.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0
+    groups = max(1, -(-int(count) // group_pieces))
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
     ordered = pieces.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.col("doc_id").asc_nulls_first(), "piece")
     return ordered.mapInArrow(

@@ -51,3 +51,10 @@ def test_no_rows_and_repeated_rows(spark):
     assert packing.best_fit_pack(spark, documents(spark, [], parts=1)).count() == 0
     got = packing.best_fit_pack(spark, documents(spark, ["a b", "a b", None], ids=[1, 1, None])).toPandas()
     assert sorted(got.length) == [1, 3, 3] and got.bin_used.iloc[0] == 7
+
+
+def test_groups_follow_pieces_not_documents(spark):
+    got = packing.best_fit_pack(spark, documents(spark, ["a", "b"]), group_pieces=50, size=packing.F.lit(4096 * 400)).toPandas()
+    groups = got.groupby(got.bin_id // 2**32).size()
+    assert len(got) == 800 and len(groups) > 8 and groups.max() < 150
+    check(got, {0: 4096 * 400, 1: 4096 * 400}, packing.LENGTHS)

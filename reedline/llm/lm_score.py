@@ -2,249 +2,147 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from dataclasses import dataclass, replace
-
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reedline.llm.common import WORD, stored
-
-BIGRAM_WEIGHT = 0.7
-ADD = 0.1
-#: Words are known by a 64-bit hash; these stand for the start of a text, any word outside a given vocabulary, and a row of a whole document.
-START, UNKNOWN, WHOLE = 0, 1, 2
-#: Bigrams that are at least this part of all are sent to every task (so at most 1 / HOT of them); all others are joined.
-HOT = 1e-6
-#: The rows of a word are spread over so many keys where bigrams meet their words.
-SALTS = 8
-#: Words and distinct bigrams that a task holds before it hands them on.
-HELD_WORDS, HELD_PAIRS, FLAT_WORDS = 300_000, 2_000_000, 1_000_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _word_counts(batches):
-    """Words of one partition, summed there before the shuffle, in bounded memory."""
-    held: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if text:
-                held.update(WORD.findall(text.lower()))
-            if len(held) > 400_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-                held.clear()
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
-
-def vocabulary(docs: DataFrame, size: int) -> dict[str, int]:
-    """The most frequent words of all documents, 1 on (ties: the word first in order)."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").toArrow()
-    return {w: i for i, w in enumerate(top.column("word").to_pylist(), 1)}
-
-
-class _Numbers(dict):
-    """word -> number within this task, and the hash of each number; 0 is the start of a text."""
-
-    def __init__(self, words: dict[str, int] | None):
-        super().__init__()
-        self.words, self.hashes = words, [START]
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.hashes)
-        inside = self.words is None or word in self.words
-        self.hashes.append(xxhash.xxh64_intdigest(word) if inside else UNKNOWN)
-        return number
-
-
-def _flat(batches, known: _Numbers):
-    """(rows, numbers) of some texts at a time: the numbers of their words, a 0 before each text. The table may be cleared after each."""
-    for batch in batches:
-        texts, first, flat = batch.column("text").to_pylist(), 0, []
-        for k, text in enumerate(texts):
-            flat.append(0)
-            if text:
-                flat.extend(map(known.__getitem__, WORD.findall(text.lower())))
-            if len(flat) > FLAT_WORDS or k == len(texts) - 1:
-                yield batch.slice(first, k + 1 - first), np.array(flat, np.int64)
-                first, flat = k + 1, []
-
-
-def _pairs(words):
-    """Counts of the (word before, word) of one partition, summed there before the shuffle, in bounded memory."""
-
-    def run(batches):
-        known = _Numbers(words)
-        keys, sums, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
-
-        def summed():
-            every = np.concatenate([keys, *waiting])
-            n = np.concatenate([sums, np.ones(len(every) - len(keys), np.int64)])
-            order = np.argsort(every, kind="stable")
-            every, n = every[order], n[order]
-            first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-            return every[first], np.add.reduceat(n, first) if len(first) else n
-
-        def out():
-            hashes = np.array(known.hashes, np.uint64).view(np.int64)
-            for k in range(0, len(keys), 100_000):
-                at = keys[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at >> 32]), pa.array(hashes[at & 0xFFFFFFFF]), pa.array(sums[k : k + 100_000])], ["a", "b", "n"])
-
-        for _, flat in _flat(batches, known):
-            some = (flat[:-1] << 32 | flat[1:])[flat[1:] > 0]
-            waiting.append(some)
-            full = len(known) > HELD_WORDS
-            if full or sum(map(len, waiting)) > HELD_PAIRS:
-                keys, sums = summed()
-                waiting = []
-            if full or len(keys) > HELD_PAIRS:
-                yield from out()
-                keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-                known = _cleared(known)
-        keys, sums = summed()
-        yield from out()
-
-    return run
-
-
-def _cleared(known: _Numbers) -> _Numbers:
-    """The same table, empty: whoever holds it goes on with it."""
-    known.clear()
-    known.hashes = [START]
-    return known
-
-
-@dataclass
-class Scorer:
-    """Both models as tables: counts of words and of bigrams, and the loss of each bigram under both.
-
-    words: the vocabulary if one was given; else every word of the documents is one.
-    """
-
-    words: dict[str, int] | None
-    pairs: DataFrame  # a, b, background, target
-    counts: DataFrame  # b, background, target
-    losses: DataFrame  # a, b, n, loss_target, loss_background
-    n_words: int
-    n_background: int
-    n_target: int
-
-
-def _losses(pairs: DataFrame, counts: DataFrame, size: int, total: dict[str, int]) -> DataFrame:
-    """The loss of each bigram under both models. A word's rows are dealt over SALTS keys, so that no frequent word is one task's."""
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    names = ("background", "target")
-    here = spread.select("b", "salt", *[F.col(m).alias(f"here_{m}") for m in names]).hint("merge")
-    before = spread.select(F.col("b").alias("a"), "salt", *[F.col(m).alias(f"before_{m}") for m in names]).hint("merge")
-    rows = pairs.withColumn("salt", F.pmod(F.hash("a"), F.lit(SALTS))).join(here, ["b", "salt"], "left").drop("salt")
-    rows = rows.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS))).join(before, ["a", "salt"], "left")
-
-    def loss(m):
-        one = (F.coalesce(f"here_{m}", F.lit(0)) + ADD) / (total[m] + ADD * size)
-        seen = F.when(F.col("a") == START, F.lit(total[m])).otherwise(F.coalesce(f"before_{m}", F.lit(0)))
-        two = (F.col(m) + ADD * one) / (seen + ADD)
-        return -F.log(BIGRAM_WEIGHT * two + (1 - BIGRAM_WEIGHT) * one)
-
-    return rows.select("a", "b", F.col("background").alias("n"), loss("target").alias("loss_target"), loss("background").alias("loss_background"))
+from reedline.llm.common import WordHashes, bounds, groups_in_order, word_hashes
 
+#: Smoothing. A word's chance: its count plus PRIOR_WORDS spread evenly over a vocabulary of OPEN_WORDS. A bigram's: its count plus PRIOR_PAIRS times that.
+OPEN_WORDS, PRIOR_WORDS, PRIOR_PAIRS = 1_000_000, 1000.0, 2.0
+#: Text bytes of a block, the documents that a task counts and scores together.
+BLOCK_BYTES = 4 << 20
+#: Keys of counts: words have even keys, pairs of words odd ones. These two stand for all words and for the start of a text.
+ALL, START = 0, 2
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_ONE = np.uint64(1)
 
-def train(spark: SparkSession, docs: DataFrame, target: DataFrame, size: int | None = None) -> Scorer:
-    """Both models: background from all documents, target from the rows of `target` (text), one vocabulary from all documents.
 
-    The vocabulary is every word of the documents, or, where size is given, the most frequent so many, every other word being one unknown
-    word. Counts are of exact pairs of words (by 64-bit hashes of the words) and grow with the documents; they stay tables.
-    """
-    words = None if size is None else vocabulary(docs, size)
-    zero = F.lit(0).cast("long")
-    every = docs.select("text").mapInArrow(_pairs(words), "a long, b long, n long").select("a", "b", F.col("n").alias("background"), zero.alias("target"))
-    some = target.select("text").mapInArrow(_pairs(words), "a long, b long, n long").select("a", "b", zero.alias("background"), F.col("n").alias("target"))
-    sums = [F.sum(m).alias(m) for m in ("background", "target")]
-    pairs = stored(spark, every.unionByName(some).groupBy("a", "b").agg(*sums), "lm-pairs")
-    counts = stored(spark, pairs.groupBy("b").agg(*sums), "lm-words")
-    n, background, of_target = counts.agg(F.count("*"), F.coalesce(F.sum("background"), zero), F.coalesce(F.sum("target"), zero)).first()
-    n = (n if words is None else len(words)) + 1
-    losses = stored(spark, _losses(pairs, counts, n, {"background": background, "target": of_target}), "lm-losses")
-    return Scorer(words, pairs, counts, losses, n, background, of_target)
-
-
-def _with_pairs_of(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> Scorer:
-    """The scorer with the losses of those bigrams of docs that neither model has seen."""
-    zero = F.lit(0).cast("long")
-    found = docs.select("text").mapInArrow(_pairs(scorer.words), "a long, b long, n long").select("a", "b").distinct()
-    new = found.join(scorer.pairs.hint("merge"), ["a", "b"], "left_anti").select("a", "b", zero.alias("background"), zero.alias("target"))
-    more = _losses(new, scorer.counts, scorer.n_words, {"background": scorer.n_background, "target": scorer.n_target})
-    return replace(scorer, losses=scorer.losses.unionByName(stored(spark, more, "lm-losses")))
-
-
-def _scored(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, n_words, sums of losses, and how many of the bigrams have no loss yet."""
-    least = max(1.0, HOT * scorer.n_background)
-    often = scorer.losses.where(F.col("n") >= least).toArrow()
-    a, b = (often.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     mixed = a * _A + b * _B
-    order = np.argsort(mixed)
-    hot = [x[order] for x in (mixed, a, b, *(often.column(c).to_numpy() for c in ("loss_target", "loss_background")))]
-    sent = spark.sparkContext.broadcast(hot)
-    words = scorer.words
-    schema = "key long, a long, b long, doc_id long, n_words long, loss_target double, loss_background double"
-
-    def run(batches):
-        mixed, hot_a, hot_b, *losses = sent.value
-        known = _Numbers(words)
-        names = [c.split()[0] for c in schema.split(", ")]
-        key = TaskContext.get().partitionId() << 40
-        for rows, flat in _flat(batches, known):
-            hashes = np.array(known.hashes, np.uint64)
-            is_word = flat[1:] > 0
-            doc = (np.cumsum(flat == 0) - 1)[1:][is_word]
-            a, b = hashes[flat[:-1][is_word]], hashes[flat[1:][is_word]]
-            sums = [np.zeros(rows.num_rows), np.zeros(rows.num_rows)]
-            cold = np.ones(len(a), bool)
-            if len(mixed) and len(a):
-                m = a * _A + b * _B
-                at = np.minimum(np.searchsorted(mixed, m), len(mixed) - 1)
-                found = (hot_a[at] == a) & (hot_b[at] == b)
-                cold = ~found
-                sums = [np.bincount(doc[found], x[at[found]], rows.num_rows) for x in losses]
-            keys = np.arange(key, key + rows.num_rows)
-            n_words = np.bincount(doc, minlength=rows.num_rows)
-            key += rows.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys), pa.array(np.full(len(keys), WHOLE)), rows.column("doc_id"), pa.array(n_words), *map(pa.array, sums)], names)
-            if cold.any():
-                left = np.flatnonzero(cold)
-                for k in range(0, len(left), 100_000):
-                    i = left[k : k + 100_000]
-                    none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc[i]]), pa.array(a[i].view(np.int64)), pa.array(b[i].view(np.int64)), *none], names)
-            if len(known) > HELD_WORDS:
-                _cleared(known)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    rest = scorer.losses.where(F.col("n") < least).select("a", "b", F.col("loss_target").alias("rest_target"), F.col("loss_background").alias("rest_background"))
-    joined = rows.join(rest.hint("merge"), ["a", "b"], "left")
-    sums = [F.sum(F.coalesce(f"loss_{m}", f"rest_{m}", F.lit(0.0))).alias(f"loss_{m}") for m in ("target", "background")]
-    unseen = F.count_if(F.col("loss_target").isNull() & F.col("rest_target").isNull()).alias("unseen")
-    return joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *sums, unseen)
-
-
-def cross_entropy_difference(spark: SparkSession, docs: DataFrame, scorer: Scorer) -> DataFrame:
+    return (mixed ^ (mixed >> np.uint64(31))) * _A | _ONE
+
+
+class _Block:
+    """The documents of one block as flat arrays: one element a word, in the order of the texts."""
+
+    def __init__(self, rows: pa.Table, known: WordHashes):
+        counted = rows.column("counted").to_numpy()
+        at = np.flatnonzero(counted >= 0)
+        marks = rows.column("doc_id").take(np.flatnonzero(counted < 0)).combine_chunks()
+        self.ids = rows.column("doc_id").take(at).combine_chunks()
+        texts = rows.column("text").take(at).to_pylist()
+        words = [word_hashes(t, known) & ~_ONE for t in texts]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.counted = counted[at] > 0
+        self.target = self.counted & pc.is_in(self.ids, value_set=marks).to_numpy(zero_copy_only=False)
+        flat = np.concatenate([*words, np.empty(0, np.uint64)])
+        self.doc = np.repeat(np.arange(len(at)), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        before = np.empty(len(flat), np.uint64)
+        before[1:] = flat[:-1]
+        before[self.first[self.sizes > 0]] = START
+        self.words, self.word = np.unique(flat, return_inverse=True)
+        self.pairs, self.pair = np.unique(_pair_keys(before, flat), return_inverse=True)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the block and how often each occurs in its counted and in its target documents."""
+        has_words = self.sizes > 0
+        keys = np.concatenate([np.array([ALL, START], np.uint64), self.words, self.pairs])
+        sums = []
+        for flag in (self.counted, self.target):
+            weight = flag[self.doc].astype(float)
+            sums.append(
+                np.concatenate(
+                    [[weight.sum(), (flag & has_words).sum()], np.bincount(self.word, weight, len(self.words)), np.bincount(self.pair, weight, len(self.pairs))]
+                ).astype(np.int64)
+            )
+        return keys, *sums
+
+    def own(self, at: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each word's key occurs in its own document."""
+        _, place, n = np.unique(self.doc * max(1, kinds) + at, return_inverse=True, return_counts=True)
+        return n[place]
+
+    def losses(self, keys: np.ndarray, total: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """Sum of the losses of each document under the model with these counts, less the document's own where flag says they are in them."""
+        n_words = len(self.words)
+        mine = flag[self.doc].astype(np.int64)
+        word = total[2 + self.word] - mine * self.own(self.word, n_words)
+        pair = total[2 + n_words + self.pair] - mine * self.own(self.pair, len(self.pairs))
+        context = np.empty(len(word), np.int64)
+        context[1:] = word[:-1]
+        some = self.sizes > 0
+        context[self.first[some]] = total[1] - flag[some]
+        every = total[0] - mine * self.sizes[self.doc]
+        one = (word + PRIOR_WORDS / OPEN_WORDS) / (every + PRIOR_WORDS)
+        two = (pair + PRIOR_PAIRS * one) / (context + PRIOR_PAIRS)
+        return np.bincount(self.doc, -np.log(two), len(self.sizes)).astype(float)
+
+
+def _count(batches):
+    """(block, key, n, target) of every distinct word and pair of each block."""
+    known = WordHashes()
+    for table in groups_in_order(batches, "block"):
+        block = table.column("block").to_numpy()
+        edges = bounds(block)
+        for a, b in zip(edges[:-1], edges[1:]):
+            keys, n, target = _Block(table.slice(a, b - a), known).counts()
+            for k in range(0, len(keys), 200_000):
+                part = [x[k : k + 200_000] for x in (keys.view(np.int64), n, target)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block[a])), *map(pa.array, part)], ["block", "key", "n", "target"])
+
+
+def _score(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """One block's documents with their losses. found: totals of the keys that other blocks have too."""
+    block = _Block(rows, WordHashes())
+    keys, *totals = block.counts()
+    known = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    at = order[np.searchsorted(keys, known, sorter=order)]
+    sums = []
+    for name, total, flag in zip(("all_n", "all_target"), totals, (block.counted, block.target)):
+        total[at] = found.column(name).to_numpy()
+        sums.append(block.losses(keys, total, flag))
+    return pa.table([block.ids, pa.array(block.sizes), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "n_words", "loss_target", "loss_background"])
+
+
+def _rows(df: DataFrame, text: Column, counted: int) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("string").alias("text"), F.lit(counted).alias("counted"))
+
+
+def cross_entropy_difference(
+    spark: SparkSession, docs: DataFrame, target: DataFrame, others: DataFrame | None = None, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Every document with n_words, loss_target, loss_background and score = loss_target - loss_background.
 
-    Losses are nats a word of interpolated bigram models; a low score means text like the target's. A text that is null
-    or has no word has n_words 0 and null losses and score. With no target rows the target is uniform. Repeated rows are scored
-    each; an empty table gives no rows; other columns aren't read. Whole texts count.
+    The background model counts the words and pairs of words of all docs (doc_id, text), the target model those of the docs whose
+    doc_id is in target (doc_id); both share one open vocabulary. A document is scored by both models less its own words, so that a
+    target document is not known by heart. others: documents that are scored too but counted in neither model. Losses are nats a
+    word; a low score means text like the target's.
+
+    Texts go, by a hash of doc_id (of the text where that is null), to blocks of about block_bytes. A block has one row for each of its
+    distinct words and pairs (64-bit hashes), so the most frequent pair has one row a block; sums by key go back to those blocks that share
+    the key, and each block scores its documents. No table of counts is held whole anywhere, sent to all tasks, cut or sampled.
 
-    The losses of frequent bigrams are sent to all tasks, a number with a bound; every other bigram of a document is joined with its loss.
-    Documents that the models weren't trained on may have bigrams without a loss yet; theirs are made and all documents scored anew.
+    A text that is null or has no word has n_words 0 and null losses and score. With no target rows the target is uniform. Repeated rows are each
+    counted and scored, the other rows of the same doc_id being other documents. An empty table gives no rows; other columns aren't read. Whole texts count.
     """
-    found = stored(spark, _scored(spark, docs, scorer), "lm-scores")
-    if not found.where("unseen > 0").isEmpty():
-        found = stored(spark, _scored(spark, docs, _with_pairs_of(spark, docs, scorer)), "lm-scores")
+    every = _rows(docs, F.col("text"), 1)
+    if others is not None:
+        every = every.unionByName(_rows(others, F.col("text"), 0))
+    size = every.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    marks = _rows(target.select("doc_id").where("doc_id is not null"), F.lit(None), -1)
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    rows = every.unionByName(marks).withColumn("block", F.pmod(place, F.lit(1 + size // block_bytes)))
+    blocks = rows.repartition("block")
+    counts = blocks.sortWithinPartitions("block").mapInArrow(_count, "block long, key long, n long, target long")
+    same = W.partitionBy("key")
+    summed = counts.withColumn("all_n", F.sum("n").over(same)).withColumn("all_target", F.sum("target").over(same))
+    back = summed.where("all_n > n").select("block", "key", "all_n", "all_target")
+    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, loss_target double, loss_background double")
     mean = {m: F.when(F.col("n_words") > 0, F.col(f"loss_{m}") / F.col("n_words")) for m in ("target", "background")}
-    return found.select("doc_id", "n_words", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"), (mean["target"] - mean["background"]).alias("score"))
+    return scored.select("doc_id", "n_words", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"), (mean["target"] - mean["background"]).alias("score"))

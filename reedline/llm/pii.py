@@ -186,7 +186,7 @@ def _email(cipher: Feistel, value: str, back: bool) -> str | None:
 
 #: Each kind: what a value looks like, and how it is validated and permuted. The first kind in order that fits a stretch takes it.
 KINDS = {
-    "email": (re.compile(r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"), _email),
+    "email": (re.compile(r"(?<![\w.%+-])[A-Za-z0-9_][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}(?![\w-])"), _email),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     "ip": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
     "date": (re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?!(?!T\d\d:?\d\d)[\w/-]|\.\d)"), _date),
@@ -211,13 +211,16 @@ def _walked(change, cipher: Feistel, value: str, back: bool, alike) -> str | Non
     return new
 
 
-def _next_card(text: str, parts: list[tuple[int, int]], low: int, whole: bool, free) -> tuple[int, int] | None:
-    """First and last + 1 of the parts of the next card number: all parts if whole, else the first end, and for it the first start."""
-    sizes = [b - a for a, b in parts]
-    tries = [(0, len(parts))] if whole and low == 0 else []
-    for i, j in chain(tries, ((i, j) for j in range(low + 1, len(parts) + 1) for i in range(max(low, j - 19), j))):
-        if 13 <= sum(sizes[i:j]) <= 19 and free(parts[i][0], parts[j - 1][1]):
-            digits = "".join(text[a:b] for a, b in parts[i:j])
+def _next_card(number, spans: list[tuple[int, int]], low: int, stop: int, whole: bool, free) -> tuple[int, int] | None:
+    """First and last + 1 of the parts of the next card number from low on: all parts if whole, else the first end, and for it the first start.
+
+    number gives the digits of a part, spans its place.
+    """
+    sizes = [b - a for a, b in spans] if whole else None
+    tries = [(0, stop)] if whole and low == 0 else []
+    for i, j in chain(tries, ((i, j) for j in range(low + 1, stop + 1) for i in range(max(low, j - 19), j))):
+        if 13 <= (sum(sizes[i:j]) if whole else sum(b - a for a, b in spans[i:j])) <= 19 and free(spans[i][0], spans[j - 1][1]):
+            digits = "".join(number(k) for k in range(i, j))
             if digits.strip("0") and luhn_digit(digits[:-1]) == digits[-1]:
                 return i, j
     return None
@@ -225,15 +228,26 @@ def _next_card(text: str, parts: list[tuple[int, int]], low: int, whole: bool, f
 
 def _cards(cipher: Feistel, text: str, start: int, end: int, back: bool, free):
     """(start, end, pseudonym) of the card numbers in a run of numbers. They and their order depend on nothing that follows a number."""
-    parts = [m.span() for m in _DIGITS.finditer(text, start, end)]
-    total, low = sum(b - a for a, b in parts), 0
+    spans = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    total, low = sum(b - a for a, b in spans), 0
     if total < 13:
         return
-    while found := _next_card(text, parts, low, total <= 19, free):
+    whole = total <= 19
+
+    def number(k: int) -> str:
+        return text[spans[k][0] : spans[k][1]]
+
+    while found := _next_card(number, spans, low, len(spans), whole, free):
         i, j = found
-        a, b = parts[i][0], parts[j - 1][1]
-        upto = parts if total <= 19 else parts[:j]
-        new = _walked(_card, cipher, text[a:b], back, lambda v: _next_card(text[:a] + v + text[b:], upto, low, total <= 19, free) == found)  # noqa: B023
+        a, b = spans[i][0], spans[j - 1][1]
+
+        def alike(v: str) -> bool:
+            """Whether the run reads the same with v in the place of the number."""
+            return found == _next_card(  # noqa: B023
+                lambda k: v[spans[k][0] - a : spans[k][1] - a] if i <= k < j else number(k), spans, low, len(spans) if whole else j, whole, free  # noqa: B023
+            )
+
+        new = _walked(_card, cipher, text[a:b], back, alike)
         if new is not None:
             yield a, b, new
         low = j
@@ -258,45 +272,59 @@ def _ibans(cipher: Feistel, text: str, back: bool, free):
     low = 0
     while found := _next_iban(cipher, text, low, len(text), free):
         a, b = found
-        new = _walked(_iban, cipher, text[a:b], back, lambda v: _next_iban(cipher, text[:a] + v + text[b:], low, b, free) == found)  # noqa: B023
+        # one character before and the longest number after b are all that reading up to b can see
+        lead, shift = text[max(0, low - 1) : a], max(0, low - 1)
+        tail = text[b : b + 64]
+
+        def shifted(x: int, y: int) -> bool:
+            return free(x + shift, y + shift)  # noqa: B023
+
+        new = _walked(_iban, cipher, text[a:b], back, lambda v: _next_iban(cipher, lead + v + tail, low - shift, b - shift, shifted) == (a - shift, b - shift))  # noqa: B023
         if new is not None:
             yield a, b, new
         low = b
 
 
 def find(text: str | None, cipher: Feistel, back: bool = False) -> list[tuple[str, int, int, str]]:
-    """(kind, start, end, pseudonym) of all validated values of a whole text, in order, none overlapping."""
+    """(kind, start, end, pseudonym) of all validated values of a whole text, in order, none overlapping. The time follows the length of the text."""
     if not text:
         return []
-    taken: list[tuple[str, int, int, str]] = []
+    found: list[tuple[str, int, int, str]] = []
+    taken = bytearray()  # a mark for each character that a value has
+
+    def free(a: int, b: int) -> bool:
+        return taken.find(1, a, b) < 0
+
+    def take(kind: str, a: int, b: int, new: str) -> None:
+        if not taken:
+            taken.extend(bytes(len(text)))
+        taken[a:b] = b"\x01" * (b - a)
+        found.append((kind, a, b, new))
+
     for kind, (pattern, change) in KINDS.items():
         if kind == "email" and "@" not in text:
             continue
-
-        def free(a, b):
-            return not any(a < e and s < b for _, s, e, _ in taken)
-
         if kind == "iban":
-            taken += [(kind, *t) for t in list(_ibans(cipher, text, back, free))]
+            for t in list(_ibans(cipher, text, back, free)):
+                take(kind, *t)
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind == "card":
                 if b - a >= 13:
-                    taken += [(kind, *t) for t in list(_cards(cipher, text, a, b, back, free))]
-                continue
-            if not free(a, b):
-                continue
-            new = change(cipher, m.group(), back)
-            if new is not None:
-                taken.append((kind, a, b, new))
-    return sorted(taken, key=lambda t: t[1])
+                    for t in list(_cards(cipher, text, a, b, back, free)):
+                        take(kind, *t)
+            elif free(a, b):
+                new = change(cipher, m.group(), back)
+                if new is not None:
+                    take(kind, a, b, new)
+    return sorted(found, key=lambda t: t[1])
 
 
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """Every document with its personal data replaced: doc_id, text, n_found, found (array of kind, start, end in the original).
 
-    E-mail addresses, IBANs (check digits valid), IPv4 addresses, calendar dates from 1900 to 2099, US social security numbers, card numbers
+    E-mail addresses (up to 64 characters before the @), IBANs (check digits valid), IPv4 addresses, calendar dates from 1900 to 2099, US social security numbers, card numbers
     (Luhn valid) and phone numbers are each permuted among the values of their own format by a Feistel cipher with `key`, so equal values
     become equal pseudonyms in all documents, pseudonyms stay valid, and whoever has the key can undo them (back=True). What fails
     validation stays. Where a card number or IBAN stands in a run of others, every part of the run that can be one is tried; if its pseudonym would

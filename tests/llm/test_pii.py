@@ -83,3 +83,47 @@ def test_a_long_run_of_numbers_comes_back():
     new = "".join(text[e:a] + v for (_, _, e, _), (_, a, _, v) in zip([("", 0, 0, ""), *found], found)) + text[found[-1][2] :]
     assert "4111 1111 1111 1111" not in new and "5500000000000004" not in new
     assert [f[3] for f in pii.find(new, CIPHER, back=True)] == [text[a:b] for _, a, b, _ in found]
+
+
+def test_texts_equal_a_plain_replacement(spark):
+    """Brute force: texts put together from known values and harmless words, each value replaced by itself."""
+    import random
+
+    r = random.Random(4)
+    words = ["plain", "words", "and", "3", "of", "v1.2", "mid-2020", "x@y", "1,000", "№5", "ends.", "(so)", *INVALID]
+    kinds = dict(zip(VALUES, ["email", "iban", "iban", "ip", "date", "date", "date", "date", "ssn", "card", "phone", "phone"]))
+    texts, want = [], []
+    for _ in range(300):
+        parts, plain, spans = [], [], []
+        for _ in range(r.randrange(40)):
+            value = r.choice(VALUES) if r.random() < 0.3 else None
+            one = value or r.choice(words)
+            if value:
+                at = sum(len(p) + 4 for p in parts)
+                spans.append((kinds[value], at, at + len(value)))
+            parts.append(one)
+            plain.append(pii.KINDS[kinds[value]][1](CIPHER, value, False) if value else one)
+        texts.append("".join(p + " ok " for p in parts))
+        want.append(("".join(p + " ok " for p in plain), spans))
+    got = pii.pseudonymise(documents(spark, texts), b"k").collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert row.text == want[row.doc_id][0]
+        assert [(f.kind, f.start, f.end) for f in row.found] == want[row.doc_id][1] and row.n_found == len(row.found)
+
+
+@pytest.mark.parametrize("part", ["161.17.88.162 ", "4111 1111 1111 1111 42 ", "GB82 WEST 1234 5698 7654 32 ", "%a", "a@b.", "a.b-c+d@", "12-34-", "1 2 "])
+def test_time_follows_the_length(part):
+    import time
+
+    spent = []
+    for size in (40_000, 320_000):
+        start = time.perf_counter()
+        pii.find("@ " + part * (size // len(part)), CIPHER)
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 24 * spent[0] + 0.5
+
+
+def test_a_local_part_of_65_characters_is_no_address():
+    assert len(pii.find("a" * 64 + "@example.com", CIPHER)) == 1
+    assert pii.find("a" * 65 + "@example.com", CIPHER) == []

@@ -47,8 +47,8 @@ def _codes(text: str | None) -> np.ndarray:
     return np.concatenate([np.array(lead, np.uint32), out, np.array(tail, np.uint32)])
 
 
-def _grams(codes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Bucket of each character n-gram of a run of code points."""
+def _grams(codes: np.ndarray, buckets: int = BUCKETS, starts: int = PIECE) -> np.ndarray:
+    """Bucket of each character n-gram of a run of code points that begins at one of its first `starts`."""
     found = []
     state = np.zeros(len(codes), np.uint64)
     for size in range(1, max(SIZES) + 1):
@@ -57,13 +57,13 @@ def _grams(codes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
         state = (state[: len(codes) - size + 1] + codes[size - 1 :].astype(np.uint64) + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
         state ^= state >> np.uint64(31)
         if size in SIZES:
-            found.append((state >> np.uint64(20)) % np.uint64(buckets))
+            found.append((state[:starts] >> np.uint64(20)) % np.uint64(buckets))
     return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
 def _pieces(codes: np.ndarray):
-    """A long text in pieces that overlap by what an n-gram needs, so that each n-gram of the largest size is seen once."""
-    for at in range(0, max(len(codes) - max(SIZES) + 1, 1), PIECE):
+    """A long text in pieces that overlap by what an n-gram needs; as a piece counts those that begin in its own part, each is seen once."""
+    for at in range(0, max(len(codes), 1), PIECE):
         yield codes[at : at + PIECE + max(SIZES) - 1]
 
 
@@ -163,18 +163,18 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]
     """
     sent = spark.sparkContext.broadcast(model)
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text")
+    # by place, not by name: docs may have any columns
+    source = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(keep)], docs["text"].alias("t"))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(source.schema.fields[:-1]))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                langs, scores = score_texts(sent.value, part.column("_text").to_pylist())
-                columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "_text"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                langs, scores = score_texts(sent.value, part.columns[-1].to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, ", ".join([*([schema] if schema else []), "lang_pred string", "score double"])).toDF(*keep, "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):

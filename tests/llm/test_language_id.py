@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import AWKWARD, documents
@@ -26,11 +29,53 @@ def test_scores_equal_a_plain_sum(spark):
         assert lang == model.langs[total.argmax()] and score == pytest.approx(odds.max() / odds.sum())
 
 
+def plain_grams(text):
+    """Bucket counts of all n-grams, by plain string slices and integers."""
+    out = Counter()
+    letters = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()) + " "
+    for size in language_id.SIZES if letters.strip() else ():
+        for k in range(len(letters) - size + 1):
+            state = 0
+            for i, c in enumerate(letters[k : k + size], 1):
+                state = (state + ord(c) + i) * 0x9E3779B97F4A7C15 % (1 << 64)
+                state ^= state >> 31
+            out[(state >> 20) % language_id.BUCKETS] += 1
+    return out
+
+
+def test_model_and_predictions_equal_plain_counting(spark):
+    texts = ["Der Hund, 3 Katzen", "the dog and the cat", "le chien", "ein Haus", "a house on a hill", "l'été à la mer", None, "…!", "das und die", "xyz"]
+    langs = ["de", "en", "fr", "de", "en", "fr", "en", "fr", None, None]
+    docs = documents(spark, texts, langs)
+    model = language_id.train(spark, docs)
+    counts = {x: sum((plain_grams(t) for t, y in zip(texts, langs) if y == x and t is not None), Counter()) for x in ("de", "en", "fr")}
+    rows = Counter(y for t, y in zip(texts, langs) if y and t is not None)
+    assert model.langs == ["de", "en", "fr"] and model.prior == pytest.approx([math.log(rows[x] / rows.total()) for x in model.langs])
+    plain = {x: [math.log((c[b] + language_id.SMOOTHING) / (c.total() + language_id.SMOOTHING * language_id.BUCKETS)) for b in range(language_id.BUCKETS)] for x, c in counts.items()}
+    for k, x in enumerate(model.langs):
+        assert model.weights[:, k] == pytest.approx(plain[x], rel=1e-5)
+    for row in language_id.identify(spark, docs, model).collect():
+        grams = plain_grams(texts[row.doc_id])
+        if not grams:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        total = {x: math.log(rows[x] / rows.total()) + sum(n * plain[x][b] for b, n in grams.items()) for x in plain}
+        best = max(total, key=total.get)
+        assert row.lang_pred == best and row.score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), rel=1e-3)
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "der hund", "de", "a", 2.0, "b", "c")], "doc_id long, text string, lang string, _text string, score double, `a.b` string, c0 string")
+    got = language_id.identify(spark, docs, language_id.train(spark, docs))
+    assert got.columns == ["doc_id", "text", "lang", "_text", "a.b", "c0", "lang_pred", "score"]
+    assert tuple(got.first())[:-1] == (1, "der hund", "de", "a", "b", "c", "de")
+
+
 def test_long_texts_count_every_gram_once():
     codes = language_id._codes("abc def " * 100_000)
     grams = sum(np.bincount(language_id._grams(p), minlength=language_id.BUCKETS) for p in language_id._pieces(codes))
-    whole = np.bincount(language_id._grams(codes), minlength=language_id.BUCKETS)
-    assert abs(grams - whole).sum() <= 9  # in each of three overlaps of two characters, two unigrams and a bigram are seen twice
+    whole = np.bincount(language_id._grams(codes, starts=len(codes)), minlength=language_id.BUCKETS)
+    assert (grams == whole).all()
 
 
 def test_awkward_rows(spark):

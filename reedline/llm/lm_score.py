@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reedline.llm.common import WordHashes, bounds, groups_in_order, word_hashes
@@ -15,6 +14,8 @@ from reedline.llm.common import WordHashes, bounds, groups_in_order, word_hashes
 OPEN_WORDS, PRIOR_WORDS, PRIOR_PAIRS = 1_000_000, 1000.0, 2.0
 #: Text bytes of a block, the documents that a task counts and scores together.
 BLOCK_BYTES = 4 << 20
+#: Text bytes for each range of keys, whose counts a task holds at once.
+PART_BYTES = 16 << 20
 #: Keys of counts: words have even keys, pairs of words odd ones. These two stand for all words and for the start of a text.
 ALL, START = 0, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -48,8 +49,8 @@ class _Block:
         self.words, self.word = np.unique(flat, return_inverse=True)
         self.pairs, self.pair = np.unique(_pair_keys(before, flat), return_inverse=True)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of the block and how often each occurs in its counted and in its target documents."""
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the block, their ascending order, and how often each occurs in its counted and in its target documents."""
         has_words = self.sizes > 0
         keys = np.concatenate([np.array([ALL, START], np.uint64), self.words, self.pairs])
         sums = []
@@ -60,14 +61,14 @@ class _Block:
                     [[weight.sum(), (flag & has_words).sum()], np.bincount(self.word, weight, len(self.words)), np.bincount(self.pair, weight, len(self.pairs))]
                 ).astype(np.int64)
             )
-        return keys, *sums
+        return keys, np.argsort(keys, kind="stable"), *sums
 
     def own(self, at: np.ndarray, kinds: int) -> np.ndarray:
         """How often each word's key occurs in its own document."""
         _, place, n = np.unique(self.doc * max(1, kinds) + at, return_inverse=True, return_counts=True)
         return n[place]
 
-    def losses(self, keys: np.ndarray, total: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    def losses(self, total: np.ndarray, flag: np.ndarray) -> np.ndarray:
         """Sum of the losses of each document under the model with these counts, less the document's own where flag says they are in them."""
         n_words = len(self.words)
         mine = flag[self.doc].astype(np.int64)
@@ -83,30 +84,51 @@ class _Block:
         return np.bincount(self.doc, -np.log(two), len(self.sizes)).astype(float)
 
 
-def _count(batches):
-    """(block, key, n, target) of every distinct word and pair of each block."""
-    known = WordHashes()
-    for table in groups_in_order(batches, "block"):
-        block = table.column("block").to_numpy()
-        edges = bounds(block)
+def _count(parts: int):
+    """(block, part, keys, n, target): the distinct words and pairs of each block in ascending order of their keys, cut into ranges of keys."""
+    limits = np.array([k * (1 << 64) // parts for k in range(1, parts)], np.uint64)
+
+    def run(batches):
+        known = WordHashes()
+        for table in groups_in_order(batches, "block"):
+            block = table.column("block").to_numpy()
+            edges = bounds(block)
+            for a, b in zip(edges[:-1], edges[1:]):
+                keys, order, *sums = _Block(table.slice(a, b - a), known).counts()
+                columns = [keys[order], *(x[order].astype(np.uint32) for x in sums)]
+                cuts = [0, *np.searchsorted(columns[0], limits), len(keys)]
+                some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                packed = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block[a])), pa.array(some, pa.int32()), *packed], ["block", "part", "keys", "n", "target"])
+
+    return run
+
+
+def _others(batches):
+    """(block, part, n, target): for each key of a block how often it occurs in all other blocks. A task holds one range of keys at a time."""
+    for table in groups_in_order(batches, "part"):
+        part = table.column("part").to_numpy()
+        edges = bounds(part)
         for a, b in zip(edges[:-1], edges[1:]):
-            keys, n, target = _Block(table.slice(a, b - a), known).counts()
-            for k in range(0, len(keys), 200_000):
-                part = [x[k : k + 200_000] for x in (keys.view(np.int64), n, target)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), block[a])), *map(pa.array, part)], ["block", "key", "n", "target"])
+            rows = table.slice(a, b - a)
+            keys, n, target = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("n", np.uint32), ("target", np.uint32)))
+            at = np.unique(keys, return_inverse=True)[1]
+            cuts = np.cumsum([0, *(len(k) // 8 for k in rows.column("keys").to_pylist())])
+            sums = [np.bincount(at, x)[at].astype(np.uint64) - x for x in (n, target)]
+            packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in sums]
+            block = rows.column("block").combine_chunks()
+            yield pa.RecordBatch.from_arrays([block, pa.array(part[a:b]), *packed], ["block", "part", "n", "target"])
 
 
 def _score(rows: pa.Table, found: pa.Table) -> pa.Table:
-    """One block's documents with their losses. found: totals of the keys that other blocks have too."""
+    """One block's documents with their losses. found: how often the block's keys occur in other blocks, by range of keys."""
     block = _Block(rows, WordHashes())
-    keys, *totals = block.counts()
-    known = found.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    at = order[np.searchsorted(keys, known, sorter=order)]
+    _, order, *totals = block.counts()
+    found = found.sort_by("part")
     sums = []
-    for name, total, flag in zip(("all_n", "all_target"), totals, (block.counted, block.target)):
-        total[at] = found.column(name).to_numpy()
-        sums.append(block.losses(keys, total, flag))
+    for name, total, flag in zip(("n", "target"), totals, (block.counted, block.target)):
+        total[order] += np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint64).astype(np.int64)
+        sums.append(block.losses(total, flag))
     return pa.table([block.ids, pa.array(block.sizes), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "n_words", "loss_target", "loss_background"])
 
 
@@ -115,7 +137,7 @@ def _rows(df: DataFrame, text: Column, counted: int) -> DataFrame:
 
 
 def cross_entropy_difference(
-    spark: SparkSession, docs: DataFrame, target: DataFrame, others: DataFrame | None = None, block_bytes: int = BLOCK_BYTES
+    spark: SparkSession, docs: DataFrame, target: DataFrame, others: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Every document with n_words, loss_target, loss_background and score = loss_target - loss_background.
 
@@ -124,9 +146,10 @@ def cross_entropy_difference(
     target document is not known by heart. others: documents that are scored too but counted in neither model. Losses are nats a
     word; a low score means text like the target's.
 
-    Texts go, by a hash of doc_id (of the text where that is null), to blocks of about block_bytes. A block has one row for each of its
-    distinct words and pairs (64-bit hashes), so the most frequent pair has one row a block; sums by key go back to those blocks that share
-    the key, and each block scores its documents. No table of counts is held whole anywhere, sent to all tasks, cut or sampled.
+    Texts go, by a hash of doc_id (of the text where that is null), to blocks of about block_bytes. A block counts its distinct words and
+    pairs (by 64-bit hashes), once each, so the most frequent pair costs its owner one number a block. Counts go to owners of ranges of
+    keys, as packed arrays, and each block gets back what the others have of its keys and scores its documents. No table of counts is held
+    whole anywhere, sent to all tasks, cut or sampled.
 
     A text that is null or has no word has n_words 0 and null losses and score. With no target rows the target is uniform. Repeated rows are each
     counted and scored, the other rows of the same doc_id being other documents. An empty table gives no rows; other columns aren't read. Whole texts count.
@@ -139,10 +162,8 @@ def cross_entropy_difference(
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = every.unionByName(marks).withColumn("block", F.pmod(place, F.lit(1 + size // block_bytes)))
     blocks = rows.repartition("block")
-    counts = blocks.sortWithinPartitions("block").mapInArrow(_count, "block long, key long, n long, target long")
-    same = W.partitionBy("key")
-    summed = counts.withColumn("all_n", F.sum("n").over(same)).withColumn("all_target", F.sum("target").over(same))
-    back = summed.where("all_n > n").select("block", "key", "all_n", "all_target")
-    scored = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, loss_target double, loss_background double")
+    counts = blocks.sortWithinPartitions("block").mapInArrow(_count(1 + size // part_bytes), "block long, part int, keys binary, n binary, target binary")
+    others = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_others, "block long, part int, n binary, target binary")
+    scored = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, loss_target double, loss_background double")
     mean = {m: F.when(F.col("n_words") > 0, F.col(f"loss_{m}") / F.col("n_words")) for m in ("target", "background")}
     return scored.select("doc_id", "n_words", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"), (mean["target"] - mean["background"]).alias("score"))

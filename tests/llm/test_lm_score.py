@@ -56,7 +56,7 @@ def test_losses_equal_a_plain_model(spark, block_bytes):
     ids = [*range(len(texts) - 3), 0, 1, None]
     good = {0, 4, 8, 12, 99}
     target = spark.createDataFrame([(g,) for g in sorted(good)] + [(None,)], "doc_id long")
-    got = lm_score.cross_entropy_difference(spark, documents(spark, texts, ids=ids), target, block_bytes=block_bytes)
+    got = lm_score.cross_entropy_difference(spark, documents(spark, texts, ids=ids), target, block_bytes=block_bytes, part_bytes=50)
     same(rows(got), plain(texts, ids, good))
     assert all(r.score is None or r.score == pytest.approx(r.loss_target - r.loss_background) for r in got.collect())
 
@@ -67,7 +67,7 @@ def test_every_word_and_pair_counts_as_itself(spark):
     others = ["never seen w1 w2", "often seen words"]
     ids, more = list(range(len(texts))), [5000, 5001]
     target = spark.createDataFrame([(i,) for i in ids[::2]], "doc_id long")
-    got = lm_score.cross_entropy_difference(spark, documents(spark, texts), target, documents(spark, others, ids=more), block_bytes=200_000)
+    got = lm_score.cross_entropy_difference(spark, documents(spark, texts), target, documents(spark, others, ids=more), block_bytes=200_000, part_bytes=300_000)
     same(rows(got), plain(texts + others, ids + more, set(ids[::2]), [True] * len(texts) + [False] * 2))
 
 

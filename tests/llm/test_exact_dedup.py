@@ -42,3 +42,22 @@ def test_no_rows_and_repeated_rows(spark):
     assert exact_dedup.exact_dedup(spark, documents(spark, [], parts=1)).count() == 0
     got = exact_dedup.exact_dedup(spark, documents(spark, ["x y", "xy", "x y"], ids=[3, None, 3])).toPandas()
     assert set(got.keep_id) == {3} and set(got.group_size) == {3} and got.kept.sum() == 2
+
+
+def test_directory_doubles_until_keys_with_a_shared_prefix_fit(spark):
+    keys = spark.range(2000).select(F.shiftrightunsigned(F.xxhash64("id"), 9).alias("h"), F.lit(100).cast("long").alias("bytes"))
+    parts, depth = exact_dedup.directory(spark, keys, 10_000)
+    held = keys.select(F.shiftrightunsigned("h", 64 - depth).alias("prefix"), "bytes").join(parts, "prefix").groupBy("bucket").agg(F.sum("bytes").alias("b")).toPandas()
+    assert 9 < depth <= 20 and held.b.sum() == 200_000 and held.b.max() <= 10_000
+    one = exact_dedup.directory(spark, keys.limit(1).withColumn("bytes", F.lit(50_000).cast("long")), 10_000)
+    assert one[1] == 1 and one[0].count() == 1  # one key can't be split
+
+
+def test_a_stored_index_finds_texts_later(spark, tmp_path):
+    path = str(tmp_path / "index")
+    exact_dedup.build_index(spark, documents(spark, ["a b", "ab", "c", None]), 100, path=path)
+    got = exact_dedup.lookup(spark, documents(spark, ["A", " c ", "ab", ""], ids=[10, 11, 12, 13]), path).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {10: (None, None), 11: (2, 1), 12: (0, 2), 13: (3, 1)}
+    empty = str(tmp_path / "empty")
+    exact_dedup.build_index(spark, documents(spark, [], parts=1), path=empty)
+    assert [r.keep_id for r in exact_dedup.lookup(spark, documents(spark, ["A"]), empty).collect()] == [None]

@@ -27,6 +27,24 @@ def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))) * _A | _ONE
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the least width that holds them, all first bytes before all second ones: sorted or small numbers then compress well."""
+    if x.dtype != np.uint64 or not len(x) or x.max() < 1 << 32:
+        x = x.astype(np.uint8 if not len(x) or x.max() < 1 << 8 else np.uint32)
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unpacked(raw: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Numbers of several packed arrays, one after another."""
+    out = np.empty(int(counts.sum()), np.uint64)
+    at = 0
+    for part, n in zip(raw, counts.tolist()):
+        width = len(part) // n
+        out[at : at + n] = np.ascontiguousarray(np.frombuffer(part, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel()
+        at += n
+    return out
+
+
 class _Block:
     """The documents of one block as flat arrays: one element a word, in the order of the texts."""
 
@@ -95,11 +113,12 @@ def _count(parts: int):
             edges = bounds(block)
             for a, b in zip(edges[:-1], edges[1:]):
                 keys, order, *sums = _Block(table.slice(a, b - a), known).counts()
-                columns = [keys[order], *(x[order].astype(np.uint32) for x in sums)]
+                columns = [keys[order], *(x[order] for x in sums)]
                 cuts = [0, *np.searchsorted(columns[0], limits), len(keys)]
                 some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                packed = [pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block[a])), pa.array(some, pa.int32()), *packed], ["block", "part", "keys", "n", "target"])
+                size = [int(cuts[p + 1] - cuts[p]) for p in some]
+                packed = [pa.array([_packed(x[cuts[p] : cuts[p + 1]]) for p in some], pa.binary()) for x in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block[a])), pa.array(some, pa.int32()), pa.array(size, pa.int32()), *packed], ["block", "part", "size", "keys", "n", "target"])
 
     return run
 
@@ -111,13 +130,15 @@ def _others(batches):
         edges = bounds(part)
         for a, b in zip(edges[:-1], edges[1:]):
             rows = table.slice(a, b - a)
-            keys, n, target = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("n", np.uint32), ("target", np.uint32)))
-            at = np.unique(keys, return_inverse=True)[1]
-            cuts = np.cumsum([0, *(len(k) // 8 for k in rows.column("keys").to_pylist())])
-            sums = [np.bincount(at, x)[at].astype(np.uint64) - x for x in (n, target)]
-            packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in sums]
-            block = rows.column("block").combine_chunks()
-            yield pa.RecordBatch.from_arrays([block, pa.array(part[a:b]), *packed], ["block", "part", "n", "target"])
+            size = rows.column("size").to_numpy()
+            at = np.unique(_unpacked(rows.column("keys").to_pylist(), size), return_inverse=True)[1]
+            cuts = np.cumsum([0, *size])
+            packed = []
+            for name in ("n", "target"):
+                n = _unpacked(rows.column(name).to_pylist(), size)
+                n = np.bincount(at, n)[at].astype(np.uint64) - n
+                packed.append(pa.array([_packed(n[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), pa.array(part[a:b]), pa.array(size), *packed], ["block", "part", "size", "n", "target"])
 
 
 def _score(rows: pa.Table, found: pa.Table) -> pa.Table:
@@ -127,7 +148,7 @@ def _score(rows: pa.Table, found: pa.Table) -> pa.Table:
     found = found.sort_by("part")
     sums = []
     for name, total, flag in zip(("n", "target"), totals, (block.counted, block.target)):
-        total[order] += np.frombuffer(b"".join(found.column(name).to_pylist()), np.uint64).astype(np.int64)
+        total[order] += _unpacked(found.column(name).to_pylist(), found.column("size").to_numpy()).astype(np.int64)
         sums.append(block.losses(total, flag))
     return pa.table([block.ids, pa.array(block.sizes), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "n_words", "loss_target", "loss_background"])
 
@@ -148,7 +169,7 @@ def cross_entropy_difference(
 
     Texts go, by a hash of doc_id (of the text where that is null), to blocks of about block_bytes. A block counts its distinct words and
     pairs (by 64-bit hashes), once each, so the most frequent pair costs its owner one number a block. Counts go to owners of ranges of
-    keys, as packed arrays, and each block gets back what the others have of its keys and scores its documents. No table of counts is held
+    keys, as packed arrays (at most one a block and range), and each block gets back what the others have of its keys and scores its documents. No table of counts is held
     whole anywhere, sent to all tasks, cut or sampled.
 
     A text that is null or has no word has n_words 0 and null losses and score. With no target rows the target is uniform. Repeated rows are each
@@ -162,8 +183,8 @@ def cross_entropy_difference(
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     rows = every.unionByName(marks).withColumn("block", F.pmod(place, F.lit(1 + size // block_bytes)))
     blocks = rows.repartition("block")
-    counts = blocks.sortWithinPartitions("block").mapInArrow(_count(1 + size // part_bytes), "block long, part int, keys binary, n binary, target binary")
-    others = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_others, "block long, part int, n binary, target binary")
+    counts = blocks.sortWithinPartitions("block").mapInArrow(_count(1 + size // part_bytes), "block long, part int, size int, keys binary, n binary, target binary")
+    others = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_others, "block long, part int, size int, n binary, target binary")
     scored = blocks.groupBy("block").cogroup(others.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, loss_target double, loss_background double")
     mean = {m: F.when(F.col("n_words") > 0, F.col(f"loss_{m}") / F.col("n_words")) for m in ("target", "background")}
     return scored.select("doc_id", "n_words", mean["target"].alias("loss_target"), mean["background"].alias("loss_background"), (mean["target"] - mean["background"]).alias("score"))

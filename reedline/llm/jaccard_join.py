@@ -23,8 +23,12 @@ DENSE = 0.7
 #: Shared tokens are sampled through this many min-hash coordinates of a set.
 COORDINATES = 64
 #: Sets, and shingles, that one verifying task compares within a block or between two.
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
+#: A group of several blocks is sorted by distance from its first set, in bands of this part of the greatest distance of a link.
+BANDS = 10
+#: Sets whose bands sum to this or less are surely linked, and not if the bands differ by that or more (one band of each is left for rounding).
+SURE, NEVER = BANDS - 3, BANDS + 2
 
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -54,7 +58,7 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n, fp_hi, fp_lo, sig) of every row: number of shingles, 128-bit fingerprint of the set, min-hashes (u32 each)."""
+    """(doc_id, text_hash, n, fp_hi, fp_lo, sig) of every row: number of shingles, 128-bit fingerprint of the set, min-hashes (u32 each)."""
 
     def run(batches):
         known = WordHashes()
@@ -68,12 +72,12 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 lo.append(int.from_bytes(digest[8:], "little", signed=True))
                 sig.append(min_hashes(shingles).tobytes() if len(shingles) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())],
-                ["doc_id", "n", "fp_hi", "fp_lo", "sig"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())],
+                ["doc_id", "text_hash", "n", "fp_hi", "fp_lo", "sig"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n int, fp_hi long, fp_lo long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, fp_hi long, fp_lo long, sig binary")
 
 
 def _taken(coordinate) -> Column:
@@ -232,6 +236,65 @@ def _roots(near: np.ndarray, rep: np.ndarray) -> np.ndarray:
     return rep[root]
 
 
+def _bands(similarity: float):
+    """Each set of a large group with its band, and its link to the group's first set if there is one: (rep, comp, copies, n, band, linked)."""
+
+    def run(batches):
+        known = WordHashes()
+        first = at = None
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("comp", "part", "place", "rep", "copies", "n", "text")))
+            for comp, part, place, rep, copies, n, text in rows:
+                if (comp, part, place, rep) == at:  # a repeated row
+                    continue
+                at, found = (comp, part, place, rep), shingle_set(text, known)
+                if not place:  # the first set leads each part
+                    first = found
+                    continue
+                common = len(np.intersect1d(first, found, assume_unique=True))
+                both = len(first) + len(found) - common
+                distance = (both - common) / both
+                out.append((rep, comp, copies, n, int(distance * BANDS / (1 - similarity)), common >= similarity * both - 1e-6))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, types)], ["rep", "comp", "copies", "n", "band", "linked"])
+
+    return run
+
+
+def _large_groups(spark: SparkSession, members: DataFrame, texts: DataFrame, similarity: float, block_sets: int) -> tuple[DataFrame, DataFrame]:
+    """For groups of several blocks: (work, known), blocks to compare, and links that need no comparing.
+
+    The distance of Jaccard similarity is a metric: sets that both lie near the first one are linked to each other, sets at very different
+    distances from it are not. So the sets are cut into blocks by band; two blocks are counted whole, passed over, or compared. members: comp, rep,
+    copies, n, blocks. work: comp, rep, copies, block, tasks (i, j). known: rep, links, root.
+    """
+    part = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+    leads = members.where("rep = comp").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("part"), F.lit(0).alias("place"))
+    rows = leads.unionByName(members.select("*", part.alias("part"), F.lit(1).alias("place")))
+    rows = rows.hint("merge").join(texts, "rep").select("comp", "part", "place", "rep", "copies", "n", "text")
+    rows = rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "place", "rep")
+    placed = stored(spark, rows.mapInArrow(_bands(similarity), "rep long, comp long, copies long, n int, band long, linked boolean"), "bands")
+    sizes = placed.groupBy("comp", "band").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("subs"))
+    sets = stored(
+        spark,
+        placed.join(sizes, ["comp", "band"]).select("comp", "rep", "copies", "band", "linked", F.expr("shiftleft(band, 32) + pmod(xxhash64(rep), subs)").alias("block")),
+        "blocks",
+    )
+    blocks = stored(spark, sets.groupBy("comp", "block", "band").agg(F.sum("copies").alias("copies")), "block-sizes")
+    other = blocks.select("comp", F.col("block").alias("block2"), F.col("band").alias("band2"), F.col("copies").alias("copies2"))
+    near = blocks.join(other, "comp").where(F.abs(F.col("band") - F.col("band2")) < NEVER)
+    sure = F.col("band") + F.col("band2") <= SURE
+    counted = near.where(sure).groupBy("comp", "block", "band").agg(F.sum("copies2").alias("others"))
+    mine = F.when(2 * F.col("band") <= SURE, F.col("copies")).otherwise(0)
+    known = sets.join(counted, ["comp", "block", "band"], "left").select(
+        "rep", F.coalesce(F.col("others") - mine, F.lit(0)).cast("long").alias("links"), F.when(F.col("linked"), F.col("comp")).otherwise(F.col("rep")).alias("root")
+    )
+    pair = F.struct(F.least("block", "block2").alias("i"), F.greatest("block", "block2").alias("j"))
+    tasks = near.where(~sure).groupBy("comp", "block").agg(F.collect_list(pair).alias("tasks"))  # at most one a block
+    return sets.join(tasks, ["comp", "block"]).select("comp", "rep", "copies", "block", "tasks"), known
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL, block_sets: int = BLOCK_SETS, text: str = "text"
 ) -> DataFrame:
@@ -239,46 +302,54 @@ def near_duplicates(
 
     Texts are sets of lower-cased runs of five words (all words, if fewer); two are linked when their Jaccard similarity is at least
     `similarity`. class_id is the least doc_id that links lead to, n_links the number of other documents linked to it, equal
-    sets included. Texts with equal sets are one node throughout. Chosen paths (see candidate_links) give candidate groups; every pair in
-    a group is then compared exactly, in tasks of one block of sets or two, which return counts and a forest, not pairs.
-    Recall of links at the threshold is `recall` or more, of closer pairs higher; no pair below the threshold is linked.
+    sets included. Texts with equal sets are one node throughout. Chosen paths (see candidate_links) give candidate groups, whose sets are then
+    compared exactly, in tasks of one block of sets or two, which return counts and a forest, not pairs; in groups of several
+    blocks only those blocks meet whose distances from the group's first set leave open whether they are linked (see _large_groups).
+    Recall of links at the threshold is meant to be `recall`, of closer pairs higher; no pair below the threshold is linked.
 
-    A null, empty or wordless text has no links and its own id as class. Rows without doc_id take no part: class null, 0 links. Rows
-    that repeat a doc_id with other texts share one node, for which one of the texts is compared. An empty table gives no rows. Other columns aren't read.
+    A null, empty or wordless text has no links and its own id as class. Rows that repeat a doc_id with other texts, and rows without doc_id, are
+    documents like others; class_id is null where no document of a class has an id. An empty table gives no rows. Other columns aren't read.
     """
     signed = stored(spark, signatures(docs, text), "signatures")
-    sets = signed.where("n > 0 and doc_id is not null")
-    reps = sets.groupBy("fp_hi", "fp_lo", "n", "sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("pick")
+    reps = signed.where("n > 0").groupBy("fp_hi", "fp_lo", "n", "sig").agg(pick, F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
     sketch = F.concat(*[F.substring(F.col("sig"), F.lit(4 * k + 1), F.lit(1)) for k in range(COORDINATES)])
-    reps = stored(spark, reps.withColumn("sketch", sketch), "sets")
+    number = F.monotonically_increasing_id().alias("rep")  # stored with the sets, so it stays
+    reps = stored(spark, reps.select("*", "pick.doc_id", "pick.text_hash", sketch.alias("sketch"), number).drop("pick"), "sets")
     groups = components(spark, candidate_links(spark, reps, similarity, recall))
-    groups = stored(spark, groups.join(reps.select(F.col("rep").alias("node"), "copies", "n"), "node"), "groups")
+    groups = stored(spark, groups.join(reps.select(F.col("rep").alias("node"), "copies", "n", "doc_id", "text_hash"), "node"), "groups")
     sizes = groups.groupBy("root").agg(
         F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
-    parts = groups.join(sizes, "root").select(
-        F.col("root").alias("comp"), F.col("node").alias("rep"), "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).where("rep is not null")
-    tasks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    # always a merge join: the candidates grow with the documents, so they are never sent to all executors
-    work = parts.hint("merge").join(texts, "rep").select("comp", "rep", "copies", "block", "text", tasks)
-    work = work.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "text")
+    members = groups.join(sizes, "root").select(F.col("root").alias("comp"), F.col("node").alias("rep"), "copies", "n", "blocks")
+    zero = F.lit(0).cast("long")
+    one = F.array(F.struct(zero.alias("i"), zero.alias("j")))
+    work = members.where("blocks = 1").select("comp", "rep", "copies", zero.alias("block"), one.alias("tasks"))
+    # the text of each set, from one row that has it. Always a merge join: the candidates grow with the documents, so they are never sent to all executors
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
+    wanted = groups.select(F.col("node").alias("rep"), "doc_id", "text_hash").hint("merge")
+    texts = wanted.join(rows, wanted["doc_id"].eqNullSafe(rows["_id"]) & (wanted["text_hash"] == rows["_hash"])).select("rep", "text")
+    several = not members.where("blocks > 1").isEmpty()
+    if several:
+        texts = stored(spark, texts, "texts")
+        more, known = _large_groups(spark, members.where("blocks > 1"), texts, similarity, block_sets)
+        work = work.unionByName(more)
+    work = work.hint("merge").join(texts, "rep").select("comp", "rep", "copies", "block", "text", F.explode("tasks").alias("task"))
+    work = work.select("comp", "task.i", "task.j", "block", "rep", "copies", "text")
     work = work.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "rep")
-    checked = stored(spark, work.mapInArrow(_verify(similarity), "rep long, links long, root long"), "links")
-    split = sizes.agg(F.max("blocks")).first()[0] or 1
+    found = work.mapInArrow(_verify(similarity), "rep long, links long, root long")
+    checked = stored(spark, found.unionByName(known) if several else found, "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if split > 1:  # classes that span blocks meet through their shared sets
+    if several:  # classes that span blocks meet through their shared sets
         whole = components(spark, checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        links = links.drop("root").join(whole.withColumnRenamed("node", "rep"), "rep", "left")
-    known = reps.join(links, "rep", "left").select("fp_hi", "fp_lo", "rep", "copies", "links", "root")
-    named = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    zero = F.lit(0).cast("long")
-    return signed.join(known, ["fp_hi", "fp_lo"], "left").select(
+        links = links.drop("root").join(whole.withColumnRenamed("node", "rep"), "rep")
+    links = links.join(reps.select("rep", "least_id"), "rep")
+    named = links.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    links = links.join(named, "root").select("rep", "links", "class_id")
+    of_set = reps.join(links, "rep", "left").select("fp_hi", "fp_lo", "copies", "links", F.coalesce("class_id", "least_id").alias("class_id"))
+    return signed.join(of_set, ["fp_hi", "fp_lo"], "left").select(
         "doc_id",
-        F.when(named, F.coalesce("root", "rep")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(named, F.coalesce("links", zero) + F.col("copies") - 1).otherwise(zero).alias("n_links"),
+        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n") > 0, F.coalesce("links", zero) + F.col("copies") - 1).otherwise(zero).alias("n_links"),
         F.col("n").alias("n_shingles"),
     )
-
-

@@ -12,9 +12,12 @@ SLOTS = 4096
 SHARDS = 16
 
 
-def slot_of(key: str, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record; it never changes, whatever the number of shards."""
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(key: str, slots: int = SLOTS, text: str = "text") -> Column:
+    """The virtual slot of a record, from its key and text; it never changes, whatever the number of shards.
+
+    The text counts too, so that rows without key, or a key with very many rows, don't fill one slot.
+    """
+    return F.pmod(F.xxhash64(F.col(key), F.crc32(F.encode(F.col(text), "UTF-8"))), F.lit(slots)).cast("int")
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -36,6 +39,19 @@ def first_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) ->
     )
 
 
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of a stored slot map (vslot, shard, version), the latest if none is named."""
+    every = spark.read.schema("vslot int, shard int, version int").parquet(path).select("version", "vslot", "shard")
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.where(F.col("version") == version)
+
+
+def store_map(slot_map: DataFrame, path: str) -> None:
+    """Add a version to a stored slot map. Each version is a folder of its own and is never changed after."""
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+
+
 def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The next version of a slot map, edited so that the shards' bytes are near equal.
 
@@ -76,33 +92,36 @@ def rebalanced(slot_map: DataFrame, sizes: DataFrame, shards: int = SHARDS) -> D
 
 
 def shard_documents(
-    spark: SparkSession, docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text"
+    spark: SparkSession, docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text", map_path: str | None = None
 ) -> tuple[DataFrame, str]:
     """Put every record into one of `shards` shards; returns (rows, path of the stored slot map).
 
     Records hash into `slots` virtual slots; the bytes of each slot are summed; the slot-to-shard map is stored as a table
-    with all its versions, 1 being the even layout and 2 the one rebalanced by bytes, which is in force. Rows: key, size
+    with all its versions. A new map starts with version 1, the even layout. A map that is already stored at `map_path` goes on from its
+    latest version. That one is rebalanced by the bytes of these records, for `shards` shards, and stored as the next version, which is
+    in force. Without `map_path` the map lies in the shared folder while the session lasts. Rows: key, size
     (UTF-8 bytes of the text plus 1), text_crc32, law 'bytes', shard, slot (the record's place in its shard, gapless from 0),
     grown_shard (null under this law), vslot, map_version.
 
-    A null text has size 1 and the checksum of no bytes, 0. Null keys share one slot. Repeated rows each get a place of their
-    own. An empty table gives no rows. Other columns are not carried. One slot holds a part of 1/slots of the keys, so no
-    copy, source or text makes it large; a slot moves whole, so sizes are as near equal as its largest members allow.
+    A null text has size 1 and the checksum of no bytes, 0. Repeated rows each get a place of their
+    own. An empty table gives no rows. Other columns are not carried. One slot holds a part of 1/slots of the pairs of key and text, so no
+    key, copy, source or text makes it large; a slot moves whole, so sizes are as near equal as its largest members allow.
     """
     raw = F.encode(F.col(text), "UTF-8")
     records = docs.select(
         F.col(key),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        slot_of(key, slots).alias("vslot"),
+        slot_of(key, slots, text).alias("vslot"),
     )
     path = fresh_path(spark, "shard-slots")
-    sizes_at, map_at = f"{path}/sizes", f"{path}/map"
-    slot_bytes(docs.select(slot_of(key, slots).alias("vslot"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size")), slots).coalesce(1).write.parquet(sizes_at)
+    sizes_at, map_at = f"{path}/sizes", map_path or f"{path}/map"
+    slot_bytes(docs.select(slot_of(key, slots, text).alias("vslot"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size")), slots).coalesce(1).write.parquet(sizes_at)
     sizes = spark.read.parquet(sizes_at)
-    one = first_map(spark, slots, shards)
-    one.unionByName(rebalanced(one, sizes, shards)).coalesce(1).write.partitionBy("version").parquet(map_at)
-    in_force = spark.read.parquet(map_at).where("version = 2")
+    if not _exists(spark, map_at):
+        store_map(first_map(spark, slots, shards), map_at)
+    store_map(rebalanced(load_map(spark, map_at), sizes, shards), map_at)
+    in_force = load_map(spark, map_at)
     before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     placed = in_force.join(sizes, "vslot").select(
         "vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"), "version"
@@ -121,3 +140,8 @@ def shard_documents(
         F.col("version").cast("int").alias("map_version"),
     )
     return rows, map_at
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

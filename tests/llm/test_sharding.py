@@ -44,3 +44,39 @@ def test_repeated_and_null_ids_have_places_of_their_own(spark):
     rows, _ = sharding.shard_documents(spark, documents(spark, ["a", "a", "b", "c"], ids=[5, 5, None, None]))
     got = rows.toPandas()
     assert len(got) == 4 and not got.duplicated(["shard", "slot"]).any()
+
+
+def test_a_stored_map_goes_on_with_the_next_version(spark, tmp_path):
+    path = str(tmp_path / "map")
+    texts = [prose(20 + k % 50, k) for k in range(2000)]
+    first = sharding.shard_documents(spark, documents(spark, texts), 8, 256, map_path=path)[0].toPandas().set_index("doc_id")
+    again = sharding.shard_documents(spark, documents(spark, texts), 8, 256, map_path=path)[0].toPandas().set_index("doc_id")
+    grown = sharding.shard_documents(spark, documents(spark, texts), 9, 256, map_path=path)[0].toPandas().set_index("doc_id")
+    assert set(first.map_version) == {2} and set(again.map_version) == {3} and set(grown.map_version) == {4}
+    assert (again.shard != first.shard).mean() < 0.05  # already balanced: next to nothing moves
+    moved = grown.shard != again.shard
+    assert (grown.shard == 8).any() and moved.mean() < 0.3
+    assert sorted({r.version for r in spark.read.parquet(path).select("version").distinct().collect()}) == [1, 2, 3, 4]
+    assert sharding.load_map(spark, path, 2).count() == sharding.load_map(spark, path).count() == 256
+
+
+def test_every_row_equals_a_plain_version(spark):
+    """Brute force over what the map says: each record's shard is its slot's, places are gapless, sizes and sums are plain."""
+    texts = [prose(5 + k % 9, k % 50) for k in range(400)] + [None, ""]
+    ids = [k % 90 if k % 5 else None for k in range(402)]
+    docs = documents(spark, texts, ids=ids)
+    rows, path = sharding.shard_documents(spark, docs, 4, 64)
+    shard_of = {r.vslot: r.shard for r in sharding.load_map(spark, path).collect()}
+    got = rows.collect()
+    want = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(ids, texts)), key=repr)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=repr) == want
+    assert all(r.shard == shard_of[r.vslot] and r.law == "bytes" and r.grown_shard is None for r in got)
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_a_key_with_a_third_of_the_rows_fills_no_slot(spark):
+    texts = [prose(10, k) for k in range(900)]
+    for hot in (None, 7):
+        got = sharding.shard_documents(spark, documents(spark, texts, ids=[hot if k % 3 == 0 else k for k in range(900)]), 4, 256)[0].toPandas()
+        assert got.groupby("vslot").size().max() < 20

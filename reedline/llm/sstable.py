@@ -36,12 +36,15 @@ FOOTER = struct.Struct("<8Q8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
-SHARD_ROWS = 100_000
+#: A shard has about so many rows or bytes of text at most.
+SHARD_ROWS, SHARD_BYTES = 100_000, 32 << 20
 END_ID = 1
 KNOWN_CHUNKS = 1_000_000
 KNOWN_WORDS = 700_000
 #: Latin letters, then marks without an apostrophe: the tokenizer lowers the letters and takes both parts as one word each.
 _WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
+#: Null ids count as the least number where ranges are sought; in the files they are the empty key.
+NULL_ID = -(1 << 63)
 #: In each Python worker, for one run of write_shards: the tokenizer and the ids of chunks seen. The tasks of that run share them; another run starts anew.
 _SEEN: dict = {}
 
@@ -234,12 +237,34 @@ class ChunkIds(dict):
             self[chunk] = known[word] + known[marks] if marks else known[word]
 
 
-def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name: str):
+#: Texts that show whether a tokenizer drops white space and treats chunks between blanks, and Latin letters and marks, on their own.
+_PROBES = ("a b", " a  b\tc\nd ", "It's IT, it's... (so) x-y", "Ab,c d;", "Straße Éa. — 日本 x1", "word" * 30 + " end")
+
+
+def checked_tokenizer(path: str):
+    """The tokenizer of a file, if ids of chunks between blanks may be joined to those of the whole text; else ValueError."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    if any(re.search(r"[\s\u0120\u2581][A-Za-z]{2}", t) for t in found.get_vocab()):
+        raise ValueError("the tokenizer has tokens with white space")
+
+    def ids(text: str) -> list[int]:
+        return found.encode(text, add_special_tokens=False).ids
+
+    for text in _PROBES:
+        parts = list(chain.from_iterable(ids(m) for c in text.split() for m in ((_WORD.fullmatch(c) or (None, c, ""))[k] for k in (1, 2)) if m))
+        if ids(text) != parts:
+            raise ValueError("the tokenizer's tokens depend on what stands beyond a blank or a mark")
+    return found
+
+
+def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[int] = (), shares: list[int] = ()):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
     encodes a chunk once and its ids are remembered by the worker, up to a fixed number, until the run `name` ends. A chunk of Latin letters
-    and marks is put together from the ids of its two parts.
+    and marks is put together from the ids of its two parts. The rows of an id that fills several ranges (shares) are dealt over as many shards by a hash.
     """
 
     def run(batches):
@@ -253,6 +278,8 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name:
             sstable._SEEN[name] = ChunkIds(Tokenizer.from_file(tokenizer_path), width)
         known = sstable._SEEN[name]
         limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
+        share = np.array([*shares, 1], np.int64)
+        base = np.cumsum(share) - share
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 doc_id = batch.column("doc_id").slice(at, 64)
@@ -261,12 +288,31 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, cuts: list[int], name:
                 if new := set(filterfalse(known.__contains__, chain.from_iterable(texts))):
                     known.learn(list(new))
                 values = [b"".join(map(known.__getitem__, chunks)) + end for chunks in texts]
-                shard = np.searchsorted(limits, np.array([x if x is not None else -(1 << 63) for x in doc_id.to_pylist()], np.int64), side="left")
+                ids = np.array([x if x is not None else NULL_ID for x in doc_id.to_pylist()], np.int64)
+                where = np.searchsorted(limits, ids, side="left")
+                at_limit = np.append(limits, 0)[where] == ids
+                spread = batch.column("spread").slice(at, 64).to_numpy() % share[where]
+                shard = base[where] + np.where(at_limit, spread, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
 
     return run
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("spread"))
+
+
+def _width(tokenizer, end_id: int) -> int:
+    return 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids (binary) and tokens (how many) of every row, the end mark included; encoded where the texts are read."""
+    width = _width(checked_tokenizer(tokenizer_path), end_id)
+    rows = _source(docs).mapInArrow(_tokens(tokenizer_path, end_id, width, uuid.uuid4().hex), "shard int, doc_id long, ids binary")
+    return rows.select("doc_id", "ids", (F.octet_length("ids") / width).cast("long").alias("tokens"))
+
+
 def _write(folder: str, width: int):
     """Writes each shard under a name of its own, then moves it to its place, so a task that runs again or twice does no harm."""
 
@@ -323,26 +369,29 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write_shards(
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES
+) -> DataFrame:
     """Encode every whole text and write the shards to `folder`; returns the stored manifest: shard, entries, tokens.
 
-    The tokenizer must be one whose tokens never span or hold white space (see _tokens).
+    The tokenizer must be one whose tokens never span or hold white space; another is refused (see checked_tokenizer).
 
     Texts are encoded where they are read; only the ids are shuffled, each shard's key range to one task, which sorts and streams them
-    to its file. The limits of the ranges are quantiles of doc_id from a scan of that column alone.
+    to its file. The number of ranges follows rows and bytes of text, their limits are quantiles of doc_id from a scan of that column alone. An id,
+    or rows without one, that fills several ranges gets as many shards, its rows dealt by a hash of the text.
     """
-    from tokenizers import Tokenizer
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    count = rows.count()
-    wanted = max(spark.sparkContext.defaultParallelism * 2, -(-count // shard_rows))
+    width = _width(checked_tokenizer(tokenizer_path), end_id)
+    rows = _source(docs)
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    wanted = max(spark.sparkContext.defaultParallelism * 2, -(-count // shard_rows), -(-size // shard_bytes))
     places = [k / wanted for k in range(1, wanted)] or [0.5]
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", places, min(100 * wanted, 1 << 20))).first()[0] or []))
-    width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    found = rows.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NULL_ID)), places, min(100 * wanted, 1 << 20))).first()[0] or []
+    cuts = sorted(set(found))
+    shares = [found.count(c) for c in cuts] if len(cuts) < len(found) else [1] * len(cuts)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    encoded = rows.mapInArrow(_tokens(tokenizer_path, end_id, width, cuts, uuid.uuid4().hex), "shard int, doc_id long, ids binary")
-    owned = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    out = rows.mapInArrow(_tokens(tokenizer_path, end_id, width, uuid.uuid4().hex, cuts, shares), "shard int, doc_id long, ids binary")
+    owned = out.repartition(sum(shares) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     owned.mapInArrow(_write(folder, width), "shard int, entries long, tokens long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("shard int, entries long, tokens long").parquet(f"{folder}/manifest")
 
@@ -368,7 +417,7 @@ def token_table(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_i
     """Write shards to the shared folder and read them back; returns (rows, folder).
 
     Rows: doc_id, start, n_tokens (with the end mark), ids_crc32 (of the ids as little-endian u32), shard; documents count in ascending doc_id
-    order, null ids first, repeated ids ordered by their token bytes. A null or empty text is the end mark alone. An empty table
+    order, null ids first, repeated ids ordered by shard and their token bytes. A null or empty text is the end mark alone. An empty table
     writes no shard. Other columns are not read.
     """
     folder = fresh_path(spark, "token-shards")

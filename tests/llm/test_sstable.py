@@ -58,3 +58,24 @@ def test_chunk_ids_are_those_of_the_library():
         chunks = text.split(" ")
         known.learn(list(set(chunks).difference(known)))
         assert b"".join(known[c] for c in chunks) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
+
+
+def test_an_id_of_many_rows_gets_several_shards(spark):
+    texts = [prose(5 + k % 7, k) for k in range(600)]
+    ids = [None if k % 3 == 0 else 50 if k % 3 == 1 else k for k in range(600)]
+    rows, folder = sstable.token_table(spark, documents(spark, texts, ids=ids), PATH, shard_rows=30)
+    got = rows.toPandas().sort_values("start")
+    assert len(got) == 600 and list(got.start) == [0, *got.n_tokens.cumsum()[:-1]]
+    keys = got.doc_id.fillna(-1)
+    assert keys.is_monotonic_increasing and got[keys == -1].shard.nunique() > 3 and got[keys == 50].shard.nunique() > 3
+    assert got.groupby("shard").size().max() < 120
+    tokenizer = Tokenizer.from_file(PATH)
+    want = sorted(zlib.crc32(np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes()) for t in texts)
+    assert sorted(got.ids_crc32) == want
+
+
+def test_other_tokenizers_are_refused():
+    import pytest
+
+    with pytest.raises(ValueError):
+        sstable.checked_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))

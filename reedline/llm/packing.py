@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import groups_in_order
+from reedline.llm import sstable
+from reedline.llm.common import groups_in_order, stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: What a sequence costs beside its length, in tokens.
@@ -18,8 +19,8 @@ BIN_COST = 32
 GROUP_PIECES = 20_000
 
 
-def _fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """Best-fit of sizes (in the order given, largest first) into bins opened at the least permitted length that holds the item.
+def _fit(sizes: list[int], lengths: tuple[int, ...], cost) -> tuple[list[int], list[int], list[int]]:
+    """Best-fit of sizes (in the order given, largest first) into bins; where none has room, the permitted length of least cost that holds the item is opened.
 
     Returns each item's bin, each bin's contents and opening length. Open bins are kept by their free space; one big integer
     has a bit for each free space that some bin has, so the tightest bin is its lowest bit from the size up.
@@ -36,7 +37,7 @@ def _fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[in
             if not stack:
                 mask ^= 1 << space
         else:
-            space = next(c for c in lengths if c >= size)
+            space = min((c for c in lengths if c >= size), key=lambda c: (cost(c), c))  # noqa: B023
             b = len(used)
             used.append(0)
             opened.append(space)
@@ -51,22 +52,33 @@ def _fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[in
     return where, used, opened
 
 
-def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST) -> tuple[list[int], list[int], list[int]]:
+def pack_sizes(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, cost=None) -> tuple[list[int], list[int], list[int]]:
     """Pack sizes (largest first): each item's bin, each bin's contents and final length.
 
-    The permitted lengths are optimised jointly: every set of lengths that could be opened (the largest always among them) is tried,
-    bins are downsized to the least permitted length that holds their contents, and the set with the least total cost wins
-    (ties: the one with fewer lengths, then the smaller lengths).
+    A bin costs cost(length), or its length and bin_cost. The permitted lengths are optimised jointly: every set of lengths that could be opened (the
+    largest always among them; of more than eight lengths, the sets that leave out one after another as long as that is cheaper) is tried, bins are
+    downsized to the least costly permitted length that holds their contents, and the set with the least total cost wins (ties: the one with
+    fewer lengths, then the smaller lengths).
     """
+    cost = cost or (lambda c: c + bin_cost)
     lengths = tuple(sorted(set(lengths)))
-    best = None
-    for count in range(len(lengths)):
-        for some in combinations(lengths[:-1], count):
-            where, used, _ = _fit(sizes, (*some, lengths[-1]))
-            final = [lengths[i] for i in np.searchsorted(lengths, used)]
-            cost = sum(final) + bin_cost * len(final)
-            if best is None or cost < best[0]:
-                best = cost, where, used, final
+    down = [min((c for c in lengths if c >= least), key=lambda c: (cost(c), c)) for least in lengths]
+
+    def tried(some: tuple[int, ...]):
+        where, used, _ = _fit(sizes, (*some, lengths[-1]), cost)
+        final = [down[i] for i in np.searchsorted(lengths, used)]
+        return sum(map(cost, final)), where, used, final
+
+    if len(lengths) <= 8:
+        found = [tried(some) for count in range(len(lengths)) for some in combinations(lengths[:-1], count)]
+        return min(found, key=lambda f: f[0])[1:]
+    some, best = lengths[:-1], tried(lengths[:-1])
+    while some:
+        fewer = [(some[:k] + some[k + 1 :]) for k in range(len(some))]
+        now, less = min(((tried(f), f) for f in fewer), key=lambda f: f[0][0])
+        if now[0] > best[0]:
+            break
+        best, some = now, less
     return best[1:]
 
 
@@ -85,35 +97,64 @@ def _pack(lengths: tuple[int, ...], bin_cost: int):
                 offset[order] = before - before[first]
                 part = table.slice(a, b - a).combine_chunks()
                 added = [(grp[a:b] << 32) | where, final[where].astype(np.int32), used[where].astype(np.int32), offset.astype(np.int32)]
-                out = pa.table([*(part.column(c) for c in ("doc_id", "piece", "start", "length")), *map(pa.array, added)], names=["doc_id", "piece", "start", "length", "bin_id", "bin_length", "bin_used", "bin_offset"])
+                names = [n for n in part.column_names if n != "grp"]
+                out = pa.table([*(part.column(c) for c in names), *map(pa.array, added)], names=[*names, "bin_id", "bin_length", "bin_used", "bin_offset"])
                 yield from out.to_batches()
 
     return run
 
 
 def best_fit_pack(
-    spark: SparkSession, docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES, size=None
+    spark: SparkSession, sizes: DataFrame, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Pack every document into sequences of the permitted lengths: one row a piece.
+    """Pack documents of given sizes (doc_id, tokens) into sequences of the permitted lengths: one row a piece.
 
-    doc_id, piece (0 on), start (first token of the piece in its document), length, bin_id, bin_length (the permitted length the bin was
-    downsized to), bin_used, bin_offset (where the piece starts in its bin; pieces lie without gaps).
+    doc_id, piece (0 on), start (first token of the piece in its document), length, the columns of carry (numbers, not null), bin_id, bin_length (the
+    permitted length the bin was downsized to), bin_used, bin_offset (where the piece starts in its bin; pieces lie without gaps).
 
-    A document's size is its number of words (runs without white space) plus one end mark, or the column `size`; a null or empty text
-    has 1. Documents longer than the largest length are cut into pieces of that length and a rest, so no token is lost.
+    Documents longer than the largest length are cut into pieces of that length and a rest, so no token is lost; one without tokens (or null) has no piece.
     Pieces go to groups of about `group_pieces` by a hash of document and piece, so no source, copy or long document fills a group;
-    each group is packed best-fit, largest first (ties: doc_id, piece). Only ids and sizes are shuffled.
-    Repeated rows are packed each. An empty table gives no rows.
+    each group is packed best-fit, largest first (ties: doc_id, piece, carry). Only ids and sizes are shuffled.
+    Repeated rows are packed each. An empty table gives no rows. sizes is read twice.
     """
     largest = max(lengths)
-    tokens = size if size is not None else F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) + 1
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("tokens"))
-    pieces = sizes.select("doc_id", "tokens", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(largest).cast("long"))).alias("piece", "start"))
-    pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(largest), F.col("tokens") - F.col("start")).cast("int").alias("length"))
+    sizes = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *carry).where("tokens > 0")
+    pieces = sizes.select("doc_id", "tokens", *carry, F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(largest).cast("long"))).alias("piece", "start"))
+    pieces = pieces.select("doc_id", "piece", "start", F.least(F.lit(largest), F.col("tokens") - F.col("start")).cast("int").alias("length"), *carry)
     count = sizes.agg(F.sum(F.ceil(F.col("tokens") / largest))).first()[0] or 0
     groups = max(1, -(-int(count) // group_pieces))
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)))
-    ordered = pieces.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.col("doc_id").asc_nulls_first(), "piece")
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "start", *carry), F.lit(groups)))
+    ordered = pieces.repartition("grp").sortWithinPartitions("grp", F.desc("length"), F.col("doc_id").asc_nulls_first(), "piece", *carry)
+    carried = "".join(f"{c} {sizes.schema[c].dataType.simpleString()}, " for c in carry)
     return ordered.mapInArrow(
-        _pack(tuple(sorted(lengths)), bin_cost), "doc_id long, piece int, start long, length int, bin_id long, bin_length int, bin_used int, bin_offset int"
+        _pack(tuple(sorted(lengths)), bin_cost), f"doc_id long, piece int, start long, length int, {carried}bin_id long, bin_length int, bin_used int, bin_offset int"
     )
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """best_fit_pack of documents (doc_id, text) by the number of their token ids, an end mark included; a null or empty text has the end mark alone.
+
+    Whole texts are encoded where they are read (see sstable.encoded for which tokenizers will do); their sizes are stored, as they are read twice.
+    Other columns aren't read.
+    """
+    sizes = stored(spark, sstable.encoded(docs, tokenizer_path).select("doc_id", "tokens"), "sizes")
+    return best_fit_pack(spark, sizes, lengths, bin_cost, group_pieces)
+
+
+def token_sequences(spark: SparkSession, docs: DataFrame, tokenizer_path: str, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The training sequences themselves: bin_id, bin_length, ids (array of int, as long as the bin is filled), pieces (doc_id, start, length in order).
+
+    Ids are encoded once and stored with a number for each row, by which pieces find them; a sequence is put together from at most its length of pieces.
+    """
+    rows = stored(spark, sstable.encoded(docs, tokenizer_path).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    placed = best_fit_pack(spark, rows.select("doc_id", "tokens", "row"), lengths, bin_cost, group_pieces, ("row",))
+    width = F.octet_length("ids") / F.col("tokens")
+    part = F.substring("ids", (F.col("start") * width + 1).cast("int"), (F.col("length") * width).cast("int"))
+    pieces = placed.join(rows.select("row", "ids", "tokens"), "row").select("bin_id", "bin_length", F.struct("bin_offset", "doc_id", "start", "length", F.hex(part).alias("ids"), width.cast("int").alias("width")).alias("p"))
+    bins = pieces.groupBy("bin_id", "bin_length").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    raw, digits = F.array_join("p.ids", ""), 2 * F.col("p")[0]["width"]
+    places = F.sequence(F.lit(0), (F.length(raw) / digits).cast("int") - 1)
+    pair = F.transform(places, lambda k: F.substring(raw, k * digits + 1, digits))
+    # little-endian: the bytes of a number in reverse
+    ids = F.transform(pair, lambda x: F.conv(F.concat(*[F.substring(x, F.lit(2 * b + 1), F.lit(2)) for b in (3, 2, 1, 0)]), 16, 10).cast("int"))
+    return bins.select("bin_id", "bin_length", ids.alias("ids"), F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start"].alias("start"), x["length"].alias("length"))).alias("pieces"))

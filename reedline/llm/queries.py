@@ -35,7 +35,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(spark, table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:

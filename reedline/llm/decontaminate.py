@@ -8,45 +8,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from reedline.llm.common import WORD
 
+#: A seed of so many words is enough to align; of shorter ones two, unless the item is no longer than one.
 SEED_WORDS = 3
 #: A seed is rare: at most so many times as frequent in the corpus as the median n-gram of its item.
 RARE_TIMES = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score, as a part of the score of a perfect copy of the whole item.
 THRESHOLD = 0.5
+#: Items of so many words have single words as seeds too.
+SHORT_WORDS = 8
+#: A part of a long item counts by itself from the score of so many words in a row on.
+PASSAGE_WORDS = 50
 #: Items of one block: what is broadcast at once has at most so many words.
 BLOCK_WORDS = 2_000_000
 
 
 @dataclass
 class Items:
-    """A block of test items: words as numbers, seeds as sorted keys with the places they stand at."""
+    """A block of test items: words as numbers, and for each seed length the seeds as sorted keys with the places they stand at."""
 
     words: dict[str, int]
-    ids: list[int]
+    ids: list
     tokens: list[np.ndarray]
-    keys: np.ndarray  # sorted, one row a place
-    item: np.ndarray
-    place: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> keys (sorted, one a place), item, place
 
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.words.get
         return np.array([get(w, 0) for w in WORD.findall(text.lower())] if text else [], np.int64)
 
-    def seeds(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, numbers: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text whose n-gram is made of words of the items, and their keys."""
-        count = len(numbers) - SEED_WORDS + 1
+        count = len(numbers) - size + 1
         if count < 1:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         full = np.ones(count, bool)
-        for k in range(SEED_WORDS):
+        for k in range(size):
             full &= numbers[k : k + count] > 0
         at = np.flatnonzero(full)
         keys = np.zeros(len(at), np.int64)
-        for k in range(SEED_WORDS):
+        for k in range(size):
             keys = keys * (len(self.words) + 1) + numbers[at + k]
         return at, keys
 
@@ -54,67 +58,81 @@ class Items:
 def _items(rows) -> Items:
     words: dict[str, int] = {}
     ids, tokens = [], []
-    for item_id, text in rows:
+    for item_id, found in rows:
         ids.append(item_id)
-        tokens.append(np.array([words.setdefault(w, len(words) + 1) for w in WORD.findall(text.lower())], np.int64))
-    block = Items(words, ids, tokens, *(np.empty(0, np.int64) for _ in range(3)))
-    found = [(block.seeds(t)[1], block.seeds(t)[0], i) for i, t in enumerate(tokens)]
-    keys = np.concatenate([f[0] for f in found] or [[]]).astype(np.int64)
-    place = np.concatenate([f[1] for f in found] or [[]]).astype(np.int64)
-    item = np.repeat(np.arange(len(found)), [len(f[0]) for f in found]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    block.keys, block.place, block.item = keys[order], place[order], item[order]
+        tokens.append(np.array([words.setdefault(w, len(words) + 1) for w in found], np.int64))
+    block = Items(words, ids, tokens, {})
+    for size in range(1, SEED_WORDS + 1):
+        # single words for short items only, pairs and runs of SEED_WORDS for all
+        some = [(i, *block.keys(t, size)) for i, t in enumerate(tokens) if size > 1 or len(t) <= SHORT_WORDS]
+        keys = np.concatenate([f[2] for f in some] or [[]]).astype(np.int64)
+        place = np.concatenate([f[1] for f in some] or [[]]).astype(np.int64)
+        item = np.repeat([f[0] for f in some], [len(f[1]) for f in some]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        block.seeds[size] = keys[order], item[order], place[order]
     return block
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """The test items in blocks of bounded size, read one partition at a time; items without text have no words."""
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = 1):
+    """The test items of least_words or more in blocks of bounded size, read one partition at a time."""
     rows, size = [], 0
     for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        size += len(r["text"]) // 4 + 1
-        if size > block_words:
+        words = WORD.findall(r["text"].lower())
+        if len(words) < max(1, least_words):
+            continue
+        if rows and size + len(words) > block_words:
             yield _items(rows)
             rows, size = [], 0
+        rows.append((r["item_id"], words))
+        size += len(words)
     if rows:
         yield _items(rows)
 
 
-def seed_counts(spark: SparkSession, docs: DataFrame, block: Items) -> np.ndarray:
-    """In how many documents each distinct seed key occurs, over all documents."""
+def seed_counts(spark: SparkSession, docs: DataFrame, block: Items) -> dict[int, np.ndarray]:
+    """In how many documents each distinct seed occurs, over all documents, by seed length."""
     sent = spark.sparkContext.broadcast(block)
-    distinct = np.unique(block.keys)
+    distinct = {size: np.unique(seeds[0]) for size, seeds in block.seeds.items()}
+    keys_of = spark.sparkContext.broadcast(distinct)
 
     def run(batches):
-        items = sent.value
-        counts = np.zeros(len(distinct), np.int64)
+        items, known = sent.value, keys_of.value
+        counts = {size: np.zeros(len(keys), np.int64) for size, keys in known.items() if len(keys)}
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                keys = np.unique(items.seeds(items.numbers(text))[1])
-                at = np.searchsorted(distinct, keys)
-                at = at[(at < len(distinct)) & (distinct[np.minimum(at, len(distinct) - 1)] == keys)]
-                counts[at] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["seed", "docs"])
-
-    sums = docs.select("text").mapInArrow(run, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toPandas()
-    out = np.zeros(len(distinct), np.int64)
-    out[sums["seed"].to_numpy(int)] = sums["docs"]
+                numbers = items.numbers(text)
+                for size, sums in counts.items():
+                    keys = np.unique(items.keys(numbers, size)[1])
+                    at = np.minimum(np.searchsorted(known[size], keys), len(sums) - 1)
+                    sums[at[known[size][at] == keys]] += 1
+        for size, sums in counts.items():
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size)), pa.array(at), pa.array(sums[at])], ["size", "seed", "docs"])
+
+    # one row a distinct seed of a block, whose words are bounded
+    sums = docs.select("text").mapInArrow(run, "size long, seed long, docs long").groupBy("size", "seed").agg(F.sum("docs").alias("docs")).toArrow()
+    size, seed, n = (sums.column(c).to_numpy() for c in ("size", "seed", "docs"))
+    out = {k: np.zeros(len(keys), np.int64) for k, keys in distinct.items()}
+    for k, found in out.items():
+        found[seed[size == k]] = n[size == k]
     return out
 
 
-def rare_seeds(block: Items, docs_with: np.ndarray, times: int = RARE_TIMES) -> Items:
+def rare_seeds(block: Items, docs_with: dict[int, np.ndarray], times: int = RARE_TIMES) -> Items:
     """The block with those seeds only that are rare beside the other n-grams of their item.
 
     The measure is relative, so an item that leaked into very many documents keeps its seeds; what goes are its common phrases.
     """
-    count = docs_with[np.searchsorted(np.unique(block.keys), block.keys)]
-    order = np.lexsort((count, block.item))
-    edges = np.searchsorted(block.item[order], np.arange(len(block.ids) + 1))
-    half = (edges[:-1] + edges[1:]) // 2
-    middle = np.where(edges[1:] > edges[:-1], np.append(count[order], 0)[half], 0)
-    keep = count <= times * np.maximum(1, middle[block.item])
-    return Items(block.words, block.ids, block.tokens, block.keys[keep], block.item[keep], block.place[keep])
+    rare = {}
+    for size, (keys, item, place) in block.seeds.items():
+        count = docs_with[size][np.searchsorted(np.unique(keys), keys)]
+        order = np.lexsort((count, item))
+        edges = np.searchsorted(item[order], np.arange(len(block.ids) + 1))
+        half = (edges[:-1] + edges[1:]) // 2
+        middle = np.where(edges[1:] > edges[:-1], np.append(count[order], 0)[half], 0)
+        keep = count <= times * np.maximum(1, middle[item])
+        rare[size] = keys[keep], item[keep], place[keep]
+    return Items(block.words, block.ids, block.tokens, rare)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -137,31 +155,42 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def _least_score(words: int, threshold: float) -> float:
+    """The least score that an item of so many words is found with: the threshold, but three words at least (or the whole item), PASSAGE_WORDS at most."""
+    if words < SEED_WORDS:
+        return MATCH * words
+    return min(max(threshold * MATCH * words, MATCH * SEED_WORDS), MATCH * PASSAGE_WORDS)
+
+
 def _matches(items: Items, text: str | None, threshold: float):
     """(item number, score part, first word, last word + 1) of the best alignment of each item that has one."""
     numbers = items.numbers(text)
-    at, keys = items.seeds(numbers)
-    first, last = np.searchsorted(items.keys, keys, "left"), np.searchsorted(items.keys, keys, "right")
-    hit = np.flatnonzero(last > first)
-    spans: dict[int, list[list[int]]] = {}
-    for h in hit:
-        for k in range(first[h], last[h]):
-            size = len(items.tokens[items.item[k]])
-            low = int(at[h] - items.place[k]) - size // 2  # room for words put in or left out
-            spans.setdefault(int(items.item[k]), []).append([max(0, low), min(len(numbers), low + 2 * size)])
+    spans: dict[int, list[tuple]] = {}
+    for size, (known, item, place) in items.seeds.items():
+        at, keys = items.keys(numbers, size)
+        first, last = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
+        for h in np.flatnonzero(last > first):
+            for k in range(first[h], last[h]):
+                words = len(items.tokens[item[k]])
+                low = int(at[h] - place[k]) - words // 2  # room for words put in or left out
+                enough = size == SEED_WORDS or words <= size
+                spans.setdefault(int(item[k]), []).append((max(0, low), min(len(numbers), low + 2 * words + 1), enough, int(place[k])))
     for i, found in spans.items():
         found.sort()
-        merged = [found[0]]
-        for a, b in found[1:]:
-            if a <= merged[-1][1]:
+        merged: list[list] = []
+        for a, b, enough, at in found:
+            if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(b, merged[-1][1])
+                merged[-1][2] |= enough or merged[-1][3] != at  # two pairs of the item are enough too
             else:
-                merged.append([a, b])
+                merged.append([a, b, enough, at])
         item, whole = items.tokens[i], MATCH * len(items.tokens[i])
-        best = (0.0, 0, 0)
-        for a, b in merged:
+        best, least = (0.0, 0, 0), _least_score(len(item), threshold)
+        for a, b, enough, _ in merged:
+            if not enough:
+                continue
             score, end = align(item, numbers[a:b])
-            if score >= threshold * whole and score / whole > best[0]:
+            if score >= least and score / whole > best[0]:
                 back, start = align(item[::-1], numbers[a : a + end][::-1])
                 best = (score / whole, a + end - start, a + end)
         if best[0]:
@@ -169,22 +198,27 @@ def _matches(items: Items, text: str | None, threshold: float):
 
 
 def contaminated(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, least_words: int = 1
 ) -> DataFrame:
     """Documents that hold a test item, whole or edited: doc_id, item_id, score, first_word, last_word; one row a pair.
 
     Words are lower-cased runs of letters, digits and underscores. The n-grams of the items, less those common beside
-    their item's others over all documents, are seeds. Where a document has a seed, the stretch around it is aligned with the
-    item by Smith-Waterman over words (match 2, other word -1, gap -1). score is the best local score as a part of a perfect
-    copy's; pairs reach `threshold`. The words first_word to last_word (0 on) are the aligned stretch.
-
-    Items are read in blocks of bounded size, each block being broadcast and sought in all documents, so no text is shuffled and
-    the work follows the documents. An item of fewer than three words has no seed and matches nothing; null texts match
-    nothing; rows without item_id are passed over. Repeated rows of docs give a row each. Other columns aren't read.
+    their item's others over all documents, are seeds: of three words, of which one is enough, and pairs (single words too for items of SHORT_WORDS or less), of which two are needed. Where a document has
+    them, the stretch around is aligned with the item by Smith-Waterman over words (match 2, other word -1, gap -1). score is the best
+    local score as a part of a perfect copy's. A pair of document and item is found when that part reaches `threshold` and three words' score, or the score
+    of PASSAGE_WORDS words, so that passages of long items count by themselves; an item of one or two words needs its exact run (with
+    least_words, shorter items than that are passed over). The words first_word to last_word (0 on) are the aligned stretch.
+
+    Items are read in blocks of at most block_words words (or one item); a block is broadcast and sought in all documents, so no text is shuffled and
+    the work follows the documents. Null texts and items without words match nothing; rows without item_id are passed over; item_id may be of any
+    type that sorts. A longer item with no two words left side by side isn't found. Repeated rows of docs give a row each. Other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    of_item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id long, item_id {of_item.simpleString()}, score double, first_word int, last_word int"
+    types = (pa.int64(), to_arrow_type(of_item), pa.float64(), pa.int32(), pa.int32())
     out = None
-    for block in item_blocks(benchmark, block_words):
+    for block in item_blocks(benchmark, block_words, least_words):
         sent = spark.sparkContext.broadcast(rare_seeds(block, seed_counts(spark, docs, block)))
 
         def run(batches, sent=sent):
@@ -192,9 +226,8 @@ def contaminated(
             for batch in batches:
                 found = [(d, items.ids[i], *rest) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, *rest in _matches(items, t, threshold)]
                 columns = list(zip(*found)) or [[]] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        found = rows.mapInArrow(run, "doc_id long, item_id long, score double, first_word int, last_word int")
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, score double, first_word int, last_word int")
+    return out if out is not None else spark.createDataFrame([], schema)

@@ -58,3 +58,49 @@ def test_no_rows(spark):
     one = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert decontaminate.contaminated(spark, documents(spark, [], parts=1), one).count() == 0
     assert decontaminate.contaminated(spark, documents(spark, ["a b c d", "a b c d"], ids=[1, 1]), one).count() == 2
+
+
+def brute(texts, items, threshold=0.5):
+    """Every document against every item, over the whole text, without seeds or blocks."""
+    out = set()
+    for d, text in enumerate(texts):
+        words = decontaminate.WORD.findall((text or "").lower())
+        for i, item in items:
+            wanted = decontaminate.WORD.findall((item or "").lower())
+            number = {w: k for k, w in enumerate(dict.fromkeys(wanted), 1)}
+            if not wanted:
+                continue
+            best = decontaminate.align(np.array([number[w] for w in wanted]), np.array([number.get(w, 0) for w in words], int))[0]
+            if best >= decontaminate._least_score(len(wanted), threshold):
+                out.add((d, i, round(best / (2 * len(wanted)), 6)))
+    return out
+
+
+def test_equals_brute_force_over_all_pairs(spark):
+    long = prose(400, 77, 100_000)
+    items = [(f"i{k}", prose(12 + 7 * k, 600 + k, 100_000)) for k in range(10)] + [("long", long), ("one", "onlyword"), ("two", "twin words"), ("five", "fa fb fc fd fe"), ("four", "ga gb gc gd")]
+    r = random.Random(1)
+    texts = AWKWARD[:5] + [prose(150, 40 + k, 100_000) for k in range(30)]
+    for k, (_, item) in enumerate(items):
+        for share in (0, 0.1, 0.2, 0.3):
+            texts.append(f"{prose(40, 300 + k, 100_000)} {edited(item, share, k) if len(item) > 20 else item} {prose(40, 350 + k, 100_000)}")
+    words = long.split()
+    texts += [f"pre {' '.join(words[a : a + n])} post" for a, n in ((0, 49), (100, 50), (310, 90), (5, 190))]
+    texts += ["xx fa fb q fd fe yy", "fa q fb q fc q fd q fe", "fa fb q fc fd q fe", "ga gb x gc gd", "ga gb", "twin q words", "words twin", "so Twin WORDS."]
+    texts += [" ".join(w for k, x in enumerate(items[3][1].split()) for w in ([x, f"in{k}"] if k % 2 else [x]))]
+    r.shuffle(texts)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute(texts, items)
+    for block_words in (10**6, 100):
+        got = {(x.doc_id, x.item_id, round(x.score, 6)) for x in decontaminate.contaminated(spark, documents(spark, texts), bench, block_words=block_words).collect()}
+        assert got == want
+    assert {x[1] for x in want} >= {i for i, _ in items}
+    some = decontaminate.contaminated(spark, documents(spark, texts), bench, least_words=3).collect()
+    assert {x.item_id for x in some} == {x[1] for x in want} - {"one", "two"}
+
+
+def test_a_very_long_text_is_read_to_its_end(spark):
+    text = prose(300_000, 5, 50_000)
+    bench = spark.createDataFrame([(1, "quite unlikely words of a test item here")], "item_id long, text string")
+    got = decontaminate.contaminated(spark, documents(spark, [text + " quite unlikely words of a test item here", text]), bench).collect()
+    assert [(x.doc_id, x.score, x.first_word) for x in got] == [(0, 1.0, 300_000)]

@@ -2,8 +2,10 @@ import re
 
 import corpus_pipeline
 from helpers import prose
+from test_decontaminate import brute as leaks
 from test_exact_dedup import brute as equal_groups
 from test_jaccard_join import brute as near_groups
+from test_packing import ids_of
 
 from reedline.llm import packing
 
@@ -13,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_equal_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    items = [re.findall(r"\w+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     at = docs
     kept = {i: t for i, t in rows.items() if re.search(r"[^\W\d_]", t or "")}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -26,19 +28,13 @@ def test_stages_equal_a_plain_version(spark):
             groups = near_groups([kept[i] for i in ids])
             kept = {ids[k]: kept[ids[k]] for k in groups if groups[k][0] == k}
         elif name == "decontamination":
-            phrases = [" " + " ".join(w) + " " for w in items]
-            held = {i: " " + " ".join(re.findall(r"\w+", t.lower())) + " " for i, t in kept.items()}
-            got = {r["doc_id"] for r in at.select("doc_id").collect()}
-            assert not [i for i in got for p in phrases if p in held[i]]
-            grams = {w[k : k + 3] for w in map(tuple, items) for k in range(len(w) - 2)}
-            for i in set(kept) - got:
-                words = tuple(held[i].split())
-                assert any(words[k : k + 3] in grams for k in range(len(words) - 2))
-            kept = {i: kept[i] for i in got}
+            ids = sorted(kept)
+            held = {ids[d] for d, _, _ in leaks([kept[i] for i in ids], items)}
+            kept = {i: t for i, t in kept.items() if i not in held}
         assert {r["doc_id"] for r in at.select("doc_id").collect()} == set(kept), name
         assert at.columns == docs.columns
     packed = corpus_pipeline.run(spark, SF).toPandas()
-    assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(t.split()) + 1 for i, t in kept.items()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(ids_of(t)) for i, t in kept.items()}
     assert set(packed.bin_length) <= set(packing.LENGTHS)
 
 
@@ -68,3 +64,19 @@ def test_every_document_with_a_letter_has_a_language(spark):
         rows = [(k, "same words", lang, "s", 10) for k, lang in enumerate(langs)] + [(8, "12 ...", "en", "s", 6), (9, None, None, "s", 0)]
         got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "")
         assert sorted(r["doc_id"] for r in got.collect()) == [0, 1, 2, 3]
+
+
+def test_clashing_columns_a_very_long_text_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _text string, score double, place long, class_id long"
+    rows = [(1, prose(700_000, 1), "en", None, 0, "a", 0.5, 1, 2), (2, "short text", "en", None, 0, None, None, None, None), (3, "short  text", None, None, 0, "b", 0.1, 1, 2), (None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert got.groupby("doc_id").length.sum().to_dict() == {1: len(ids_of(rows[0][1])), 3: 3}
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

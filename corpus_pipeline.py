@@ -1,7 +1,12 @@
-"""Documents to packed training sequences: STAGES in order, each reading what the one before wrote."""
+"""Documents to packed training sequences: STAGES in order, each reading what the one before wrote.
+
+A stage takes documents with at least doc_id, text and lang, and any other columns but _row_key, _file and _row; all but the last return the same
+columns. Null and empty texts have no language and go at the first stage; null, equal or repeated doc_ids are rows like others. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +43,16 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item go on."""
+    """Documents that hold no test item go on. Items of one or two words are no evidence and are passed over."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(spark, docs)
-    return _without(docs, rows, decontaminate.contaminated(spark, _by_key(rows), benchmark).select(F.col("doc_id").alias(KEY)))
+    found = decontaminate.contaminated(spark, _by_key(rows), benchmark, least_words=decontaminate.SEED_WORDS)
+    return _without(docs, rows, found.select(F.col("doc_id").alias(KEY)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document, or each piece of a long one, lies in the training sequences."""
-    return packing.best_fit_pack(spark, docs)
+    """Where the token ids of each document, or of each piece of a long one, lie in the training sequences."""
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:

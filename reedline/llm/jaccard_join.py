@@ -29,6 +29,8 @@ BLOCK_SHINGLES = 2_000_000
 BANDS = 10
 #: Sets whose bands sum to this or less are surely linked, and not if the bands differ by that or more (one band of each is left for rounding).
 SURE, NEVER = BANDS - 3, BANDS + 2
+#: The block of a group that has only one.
+WHOLE = -1
 
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -194,7 +196,7 @@ def _verify(similarity: float):
         for table in groups_in_order(batches, "comp", "i", "j"):
             comp, i, j, block, rep, copies = (table.column(c).to_numpy() for c in ("comp", "i", "j", "block", "rep", "copies"))
             texts = table.column("text")
-            out_rep, out_links, out_root = [], [], []
+            out_rep, out_links, out_root, out_whole = [], [], [], []
             edges = bounds(comp, i, j)
             for a, b in zip(edges[:-1], edges[1:]):
                 mine = a + np.flatnonzero(np.append(True, rep[a + 1 : b] != rep[a : b - 1]))  # a repeated row once
@@ -216,7 +218,9 @@ def _verify(similarity: float):
                 out_rep += rep[mine][at].tolist()
                 out_links += links[at].astype(np.int64).tolist()
                 out_root += root[at].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_rep, pa.int64()), pa.array(out_links, pa.int64()), pa.array(out_root, pa.int64())], ["rep", "links", "root"])
+                out_whole += [bool(i[a] == WHOLE)] * len(at)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((out_rep, out_links, out_root, out_whole), types)], ["rep", "links", "root", "whole"])
 
     return run
 
@@ -267,7 +271,7 @@ def _large_groups(spark: SparkSession, members: DataFrame, texts: DataFrame, sim
 
     The distance of Jaccard similarity is a metric: sets that both lie near the first one are linked to each other, sets at very different
     distances from it are not. So the sets are cut into blocks by band; two blocks are counted whole, passed over, or compared. members: comp, rep,
-    copies, n, blocks. work: comp, rep, copies, block, tasks (i, j). known: rep, links, root.
+    copies, n, blocks. work: comp, rep, copies, block, tasks (i, j). known: rep, links, root, whole.
     """
     part = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
     leads = members.where("rep = comp").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("part"), F.lit(0).alias("place"))
@@ -288,7 +292,7 @@ def _large_groups(spark: SparkSession, members: DataFrame, texts: DataFrame, sim
     counted = near.where(sure).groupBy("comp", "block", "band").agg(F.sum("copies2").alias("others"))
     mine = F.when(2 * F.col("band") <= SURE, F.col("copies")).otherwise(0)
     known = sets.join(counted, ["comp", "block", "band"], "left").select(
-        "rep", F.coalesce(F.col("others") - mine, F.lit(0)).cast("long").alias("links"), F.when(F.col("linked"), F.col("comp")).otherwise(F.col("rep")).alias("root")
+        "rep", F.coalesce(F.col("others") - mine, F.lit(0)).cast("long").alias("links"), F.when(F.col("linked"), F.col("comp")).otherwise(F.col("rep")).alias("root"), F.lit(False).alias("whole")
     )
     pair = F.struct(F.least("block", "block2").alias("i"), F.greatest("block", "block2").alias("j"))
     tasks = near.where(~sure).groupBy("comp", "block").agg(F.collect_list(pair).alias("tasks"))  # at most one a block
@@ -323,8 +327,9 @@ def near_duplicates(
     )
     members = groups.join(sizes, "root").select(F.col("root").alias("comp"), F.col("node").alias("rep"), "copies", "n", "blocks")
     zero = F.lit(0).cast("long")
-    one = F.array(F.struct(zero.alias("i"), zero.alias("j")))
-    work = members.where("blocks = 1").select("comp", "rep", "copies", zero.alias("block"), one.alias("tasks"))
+    only = F.lit(WHOLE).cast("long")
+    one = F.array(F.struct(only.alias("i"), only.alias("j")))
+    work = members.where("blocks = 1").select("comp", "rep", "copies", only.alias("block"), one.alias("tasks"))
     # the text of each set, from one row that has it. Always a merge join: the candidates grow with the documents, so they are never sent to all executors
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
     wanted = groups.select(F.col("node").alias("rep"), "doc_id", "text_hash").hint("merge")
@@ -337,12 +342,13 @@ def near_duplicates(
     work = work.hint("merge").join(texts, "rep").select("comp", "rep", "copies", "block", "text", F.explode("tasks").alias("task"))
     work = work.select("comp", "task.i", "task.j", "block", "rep", "copies", "text")
     work = work.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "rep")
-    found = work.mapInArrow(_verify(similarity), "rep long, links long, root long")
+    found = work.mapInArrow(_verify(similarity), "rep long, links long, root long, whole boolean")
     checked = stored(spark, found.unionByName(known) if several else found, "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if several:  # classes that span blocks meet through their shared sets
-        whole = components(spark, checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        links = links.drop("root").join(whole.withColumnRenamed("node", "rep"), "rep")
+        met = components(spark, checked.where("not whole").select(F.col("rep").alias("u"), F.col("root").alias("v")))
+        links = links.join(met.select(F.col("node").alias("rep"), F.col("root").alias("met")), "rep", "left").where("links > 0")
+        links = links.select("rep", "links", F.coalesce("met", "root").alias("root"))
     links = links.join(reps.select("rep", "least_id"), "rep")
     named = links.groupBy("root").agg(F.min("least_id").alias("class_id"))
     links = links.join(named, "root").select("rep", "links", "class_id")

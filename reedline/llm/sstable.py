@@ -24,6 +24,7 @@ from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +40,8 @@ BLOOM_HASHES = 7
 #: A shard has about so many rows or bytes of text at most.
 SHARD_ROWS, SHARD_BYTES = 100_000, 32 << 20
 END_ID = 1
+#: Text that is encoded at once.
+SLICE_BYTES = 4 << 20
 KNOWN_CHUNKS = 1_000_000
 KNOWN_WORDS = 700_000
 #: Latin letters, then marks without an apostrophe: the tokenizer lowers the letters and takes both parts as one word each.
@@ -259,6 +262,52 @@ def checked_tokenizer(path: str):
     return found
 
 
+def _slices(batch: pa.RecordBatch):
+    """A batch in slices of about SLICE_BYTES of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+    group = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _cut_text(text: str):
+    """A very long text in pieces that end at blanks."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut = max(text.rfind(c, at, at + SLICE_BYTES) for c in " \t\n\r")
+        if cut <= at:
+            break  # one chunk without a blank
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+def _encoded(known: ChunkIds, texts: pa.Array, width: int, end: bytes) -> list[bytes]:
+    """The ids of each text with the end mark. Each distinct chunk between blanks is looked up once; ids are then gathered for all places at once."""
+    if len(texts) == 1 and texts[0].is_valid and len(text := texts[0].as_py()) > SLICE_BYTES and len(pieces := list(_cut_text(text))) > 1:
+        return [b"".join(_encoded(known, pa.array([piece]), width, b"")[0] for piece in pieces) + end]
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    chunks = lists.flatten().dictionary_encode()
+    distinct = chunks.dictionary.to_pylist()
+    known.bound()
+    if new := list(filterfalse(known.__contains__, distinct)):
+        known.learn(new)
+    found = list(map(known.__getitem__, distinct))
+    kind = f"<u{width}"
+    flat = np.frombuffer(b"".join(found), kind)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+    starts = np.cumsum(sizes) - sizes
+    at = chunks.indices.to_numpy()
+    n = sizes[at]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(starts[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(flat) else flat
+    edges = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+    raw = ids.astype(kind, copy=False).tobytes()
+    return [raw[a * width : b * width] + end for a, b in zip(edges[:-1], edges[1:])]
+
+
 def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[int] = (), shares: list[int] = ()):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
@@ -281,18 +330,13 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[
         share = np.array([*shares, 1], np.int64)
         base = np.cumsum(share) - share
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                doc_id = batch.column("doc_id").slice(at, 64)
-                texts = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if t else [] for t in batch.column("text").slice(at, 64).to_pylist()]
-                known.bound()
-                if new := set(filterfalse(known.__contains__, chain.from_iterable(texts))):
-                    known.learn(list(new))
-                values = [b"".join(map(known.__getitem__, chunks)) + end for chunks in texts]
+            for rows in _slices(batch):
+                doc_id = rows.column("doc_id")
+                values = _encoded(known, rows.column("text"), width, end)
                 ids = np.array([x if x is not None else NULL_ID for x in doc_id.to_pylist()], np.int64)
                 where = np.searchsorted(limits, ids, side="left")
                 at_limit = np.append(limits, 0)[where] == ids
-                spread = batch.column("spread").slice(at, 64).to_numpy() % share[where]
-                shard = base[where] + np.where(at_limit, spread, 0)
+                shard = base[where] + np.where(at_limit, rows.column("spread").to_numpy() % share[where], 0)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
 
     return run

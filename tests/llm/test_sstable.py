@@ -79,3 +79,28 @@ def test_other_tokenizers_are_refused():
 
     with pytest.raises(ValueError):
         sstable.checked_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_whole_texts_equal_the_library():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    pieces = ["it's", "We'LL", "Straße,", "日本", "x1", "(so)", "<|endoftext|>", "a\u00a0b", "\x0b", "\x0c", "\t", "\n", "  ", "...", "É.", "\u2003", "№5", "\x1c", "\x85", "c\u200bd", "ſ", "İx"]
+    texts = ["".join(r.choice(pieces) + r.choice(["", " ", " "]) for _ in range(r.randrange(30))) for _ in range(400)] + [None, "", " ", prose(50, 1)]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u2").tobytes() for t in texts]
+    known = sstable.ChunkIds(tokenizer, 2)
+    assert sstable._encoded(known, pa.array(texts), 2, b"\x01\x00") == want
+    assert sstable._encoded(known, pa.array(["x", *texts]).slice(1), 2, b"\x01\x00") == want
+
+
+def test_very_long_texts_are_cut_at_blanks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sstable, "SLICE_BYTES", 100)
+    tokenizer = Tokenizer.from_file(PATH)
+    for text in (prose(300, 2), "w" * 500, "w" * 150 + " " + prose(40, 3), " " * 450):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [1], "<u2").tobytes()
+        assert sstable._encoded(sstable.ChunkIds(tokenizer, 2), pa.array([text]), 2, b"\x01\x00") == [want]

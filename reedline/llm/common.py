@@ -3,48 +3,23 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from reedline.sources import shared
+from reedline.sources.shared import fresh_path  # noqa: F401
+
 WORD = re.compile(r"\w+")
 SHINGLE_WORDS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Where the session names none (tests, one machine), a folder beside the warehouse is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return (f"file://{found}" if found.startswith("/") else found).rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/")
-        _OWN[app] = f"file:///{warehouse.lstrip('/')}/_shared"
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there and no executor owns the rows."""
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.stored(df, name)
 
 
 class WordHashes(dict):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A spreadsheet may run a cell that starts with one of these; the quote is guarded too, so the guard can be undone.
+#: A cell that begins with one of these gets a quote before it. The quote is among them, so that plain() finds every guard.
 FORMULA_START = ["=", "+", "-", "@", "\t", "\r", "'"]
 
 
@@ -27,6 +27,18 @@ def plain(text: Column) -> Column:
     return F.when(guarded, F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
 
+def printable(text: Column) -> Column:
+    """A name for a line of a report: characters that can't be printed (controls, formats, separators other than the blank) as escapes of their code."""
+    code = F.ascii  # the code point of a text's first character
+
+    def shown(c: Column) -> Column:
+        width = F.when(code(c) < 256, F.format_string("\\x%02x", code(c))).when(code(c) < 65_536, F.format_string("\\u%04x", code(c))).otherwise(F.format_string("\\U%08x", code(c)))
+        named = F.when(c == "\n", "\\n").when(c == "\t", "\\t").when(c == "\r", "\\r").otherwise(width)
+        return F.when(c.rlike(r"[\p{C}\p{Z}&&[^ ]]"), named).otherwise(c)
+
+    return F.when(text.rlike(r"[\p{C}\p{Z}&&[^ ]]"), F.array_join(F.transform(F.split(text, ""), shown), "")).otherwise(text)
+
+
 def tally(severity: Column) -> Column:
     """How many rows of a group have each severity, worst first."""
     return F.concat_ws(", ", *[F.concat(F.count_if(severity == s).cast("string"), F.lit(f" × sev {s}")) for s in (3, 2, 1)])

@@ -20,13 +20,29 @@ def within(keys: list[str], order: str | list[str]) -> W:
     return W.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
 
 
-def runs(df: DataFrame, keys: list[str], order: str, mask: Column, *aggs: Column) -> DataFrame:
-    """Maximal runs of rows that fulfil mask: keys, start, stop (exclusive), length. order must be consecutive integers."""
-    island = F.col(order) - F.row_number().over(within(keys, order))
-    held = df.where(mask).withColumn("_island", island)
-    return held.groupBy(*keys, "_island").agg(
+def chunked(df: DataFrame, order: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Rows with _chunk, a stretch of `size` numbers of order, and _own; each also in the neighbouring stretch that looks `before` back or `after` ahead at it (at most size).
+
+    So windows of a bounded reach run by keys and stretch, however long one sequence is. order must be consecutive integers.
+    """
+    c = F.floor(F.col(order) / size)
+    later, earlier = F.when(F.col(order) + before >= (c + 1) * size, c + 1), F.when(F.col(order) - after < c * size, c - 1)
+    return df.withColumn("_chunk", F.explode(F.array_compact(F.array(c, later, earlier)))).withColumn("_own", F.col("_chunk") == c)
+
+
+def runs(df: DataFrame, keys: list[str], order: str, mask: Column, *aggs: Column, chunk: int | None = None) -> DataFrame:
+    """Maximal runs of rows that fulfil mask: keys, start, stop (exclusive), length. order must be consecutive integers.
+
+    With chunk (and no aggs), runs are found within stretches of so many rows, and only runs that touch are then joined by a window over runs.
+    """
+    held, by = df.where(mask), keys
+    if chunk:
+        held, by = held.withColumn("_chunk", F.floor(F.col(order) / chunk)), [*keys, "_chunk"]
+    island = F.col(order) - F.row_number().over(within(by, order))
+    found = held.withColumn("_island", island).groupBy(*by, "_island").agg(
         F.min(order).cast("long").alias("start"), (F.max(order) + 1).cast("long").alias("stop"), F.count("*").cast("long").alias("length"), *aggs
-    ).drop("_island")
+    ).drop("_island", "_chunk")
+    return merge_runs(found, keys, 0) if chunk else found
 
 
 def islands(df: DataFrame, keys: list[str], order: str | list[str], breaks: Column, name: str = "island") -> DataFrame:
@@ -45,18 +61,28 @@ def merge_runs(found: DataFrame, keys: list[str], max_gap: int, min_length: int
     return out.where(F.col("length") >= min_length)
 
 
-def envelope(df: DataFrame, keys: list[str], order: str, value: Column, size: int, name: str = "env") -> DataFrame:
-    """Mean of `size` rows from each row on; the last size - 1 rows get the last whole mean. Sequences shorter than size have none."""
-    w = within(keys, order)
-    ahead = w.rowsBetween(0, size - 1)
-    whole = F.when(F.count("*").over(ahead) == size, F.avg(value).over(ahead))
-    out = df.withColumn("_whole", whole)
-    return out.withColumn(name, F.coalesce("_whole", F.last("_whole", True).over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_whole")
+def envelope(df: DataFrame, keys: list[str], order: str, value: Column, size: int, name: str = "env", chunk: int | None = None) -> DataFrame:
+    """Mean of `size` rows from each row on; the last size - 1 rows get the last whole mean. Sequences shorter than size have none.
+
+    With chunk, stretches of so many rows are averaged each by itself, and the last rows find the last whole mean by a join.
+    """
+    by = [*keys, "_chunk"] if chunk else keys
+    ahead = within(by, order).rowsBetween(0, size - 1)
+    source = chunked(df, order, chunk, 0, size - 1) if chunk else df
+    out = source.withColumn("_whole", F.when(F.count("*").over(ahead) == size, F.avg(value).over(ahead)))
+    if not chunk:
+        return out.withColumn(name, F.coalesce("_whole", F.last("_whole", True).over(within(keys, order).rowsBetween(W.unboundedPreceding, 0)))).drop("_whole")
+    out = out.where("_own").drop("_chunk", "_own")
+    last = out.where("_whole is not null").groupBy(*keys).agg(F.max_by("_whole", order).alias("_last"))
+    return out.join(last, keys, "left").withColumn(name, F.coalesce("_whole", "_last")).drop("_whole", "_last")
 
 
-def sliding(df: DataFrame, keys: list[str], order: str, how, before: int, after: int, name: str) -> DataFrame:
-    """A clipped sliding aggregate; for max and min that equals repeating the edge values."""
-    return df.withColumn(name, how.over(within(keys, order).rowsBetween(before, after)))
+def sliding(df: DataFrame, keys: list[str], order: str, how, before: int, after: int, name: str, chunk: int | None = None) -> DataFrame:
+    """A clipped sliding aggregate over rows before..after; for max and min that equals repeating the edge values. With chunk, in stretches of so many rows."""
+    if not chunk:
+        return df.withColumn(name, how.over(within(keys, order).rowsBetween(before, after)))
+    parts = chunked(df, order, chunk, max(0, -before), max(0, after))
+    return parts.withColumn(name, how.over(within([*keys, "_chunk"], order).rowsBetween(before, after))).where("_own").drop("_chunk", "_own")
 
 
 def edge_mean(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, name: str) -> DataFrame:
@@ -75,8 +101,28 @@ def edge_mean(df: DataFrame, keys: list[str], order: str, value: str, before: in
 
 def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """Chained clusters of values: a new one where the step to the value before exceeds tolerance."""
-    step = F.col(value) - F.lag(value).over(within(keys, value) if keys else W.partitionBy(F.lit(0)).orderBy(value))
-    return islands(df, keys or [], value, step > tolerance, "cluster")
+    if not keys:
+        raise ValueError("clusters of a whole table: clusters_1d")
+    step = F.col(value) - F.lag(value).over(within(keys, value))
+    return islands(df, keys, value, step > tolerance, "cluster")
+
+
+def clusters_1d(df: DataFrame, value: str, tolerance: float, width: float) -> DataFrame:
+    """Chained clusters of a whole table's values: low, high, members. Null values are left out.
+
+    Values are clustered within stretches of `width` (more than tolerance) in parallel; then only the first and the last cluster of each stretch, which
+    may go on in the next, are looked at in order: two rows a stretch.
+    """
+    banded = df.where(F.col(value).isNotNull()).select(F.col(value), F.floor(F.col(value) / width).alias("_band"))
+    step = F.col(value) - F.lag(value).over(within(["_band"], value))
+    parts = islands(banded, ["_band"], value, step > tolerance, "cluster").groupBy("_band", "cluster").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("members"))
+    outer = (F.col("cluster") == 0) | (F.col("cluster") == F.max("cluster").over(W.partitionBy("_band")))
+    parts = parts.withColumn("_outer", outer)
+    ends = parts.where("_outer").withColumn("_all", F.lit(0))
+    # clusters inside a stretch lie between its ends, so a gap between neighbours here is one in the whole, or wider
+    gap = (F.col("low") - F.lag("high").over(within(["_all"], "low")) > tolerance) | ((F.col("cluster") > 0) & (F.lag("_band").over(within(["_all"], "low")) == F.col("_band")))
+    chained = islands(ends, ["_all"], "low", gap, "_chain").groupBy("_chain").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("members"))
+    return chained.select("low", "high", "members").unionByName(parts.where(~F.col("_outer")).select("low", "high", "members"))
 
 
 def ladder(value: Column, cuts: list[float]) -> Column:

@@ -1,4 +1,4 @@
-"""Reports as folders that Spark writes: issues, pauses and one JSON line a file. Nothing is collected; an existing report is not overwritten.
+"""Reports as folders that Spark writes: issues and pauses as CSV and as text, JSON lines, and a CSV a file. Nothing is collected; an existing report is not overwritten.
 
 Findings have file, check, sample_rate, start, stop, problem, severity (0: informational) and measures (map of texts); pauses have file,
 sample_rate, start, stop, kind and guess. More columns are left out. Null severity counts as 0.
@@ -7,12 +7,29 @@ sample_rate, start, stop, kind and guess. More columns are left out. Null severi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reedline.functions import text
 
 #: Fixed value: inner pauses from so many seconds are listed, those at head and tail always.
 PAUSE_LISTED_S = 0.5
+#: Findings in one JSON line; a file with more has more lines.
+CHUNK = 1000
+#: The sections of a file's CSV, in order.
+SUMMARY, PROBLEMS, INFORMATIONAL = 0, 1, 2
+
+
+def tunables() -> dict:
+    """All values that change what is found, by check: what a report says of how it was made."""
+    from reedline.operators import breaths, defects, hum, sound, voice
+
+    return {
+        "activity": voice.ACTIVITY, "speech": voice.SPEECH, "pauses": voice.RULES | {"paragraphs": voice.PARAGRAPHS}, "dropouts": sound.DROPOUT, "invalid": sound.INVALID, "gates": sound.GATES,
+        "clicks": defects.CLICK, "ticks": defects.TICK, "noise": defects.NOISE, "plosives": defects.POP | {"clip_start": defects.CLIP_START}, "clip_ends": defects.CLIP_END,
+        "hum": {"lines": hum.LINE, "tracks": hum.TRACK, "harmonics": hum.HARMONIC, "pauses": hum.PAUSE, "filled": hum.FILLED, "hidden": hum.HIDDEN, "edges": hum.EDGE},
+        "breaths": {"loudness": breaths.LOUD_DB, "click": breaths.CLICK, "confirm": breaths.CONFIRM, "cut": breaths.CUT},
+    }
 
 
 def issues(findings: DataFrame, least: int = 1) -> DataFrame:
@@ -25,25 +42,121 @@ def issues(findings: DataFrame, least: int = 1) -> DataFrame:
     )
 
 
+def issues_with_skipped(files: DataFrame, findings: DataFrame, least: int = 1) -> DataFrame:
+    """The issue list with a row for each file that couldn't be read, its reason as the event. files: file and error (null: readable)."""
+    none = F.lit("")
+    skipped = files.where("error is not null").select(
+        text.cell(F.col("file")).alias("file"), none.alias("start_time"), none.alias("end_time"), text.cell(F.concat(F.lit("skipped: "), "error")).alias("event"),
+        F.lit(None).cast("int").alias("severity"), F.lit("file").alias("check"), none.alias("measures"),
+    )
+    return skipped.unionByName(issues(findings, least)).orderBy("file", "start_time")
+
+
+def issue_lines(files: DataFrame, findings: DataFrame, least: int = 1) -> DataFrame:
+    """The text listing, one row a line (file, place, line): a heading with the tally of all severities, notes, then the issues listed. files: file, notes (array)."""
+    s = F.coalesce("severity", F.lit(0))
+    tallies = files.select("file", "notes").join(findings.groupBy("file").agg(text.tally(F.col("severity")).alias("tally")), "file", "left")
+    nothing = F.lit("0 × sev 3, 0 × sev 2, 0 × sev 1")
+    heads = tallies.select("file", F.lit(0).cast("long").alias("place"), F.concat(F.lit("== "), text.printable(F.col("file")), F.lit(" — "), F.coalesce("tally", nothing)).alias("line"))
+    notes = files.select("file", F.posexplode("notes").alias("n", "note")).select("file", (F.col("n") + 1).cast("long").alias("place"), F.concat(F.lit("   note: "), "note").alias("line"))
+    at = text.clock(F.col("start"), F.col("sample_rate"))
+    rows = findings.where(s >= least).select("file", (F.col("start") + (1 << 20)).alias("place"), F.concat(F.lit("   "), at, F.format_string("  sev %d  ", s), "problem").alias("line"))
+    return heads.unionByName(notes).unionByName(rows).orderBy("file", "place", "line")
+
+
+def pause_lines(found: DataFrame) -> DataFrame:
+    """The pause map as text, one row a line (file, place, line)."""
+    listed = _listed(found)
+    heads = found.select("file").distinct().select("file", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("== "), text.printable(F.col("file"))).alias("line"))
+    seconds = F.round((F.col("stop") - F.col("start")) * 1000 / F.col("sample_rate")) / 1000
+    rows = listed.select("file", F.col("start").alias("place"), F.concat(F.lit("   "), text.clock(F.col("start"), F.col("sample_rate")), F.format_string("  %6.2f s  ", seconds), "guess").alias("line"))
+    return heads.unionByName(rows).orderBy("file", "place")
+
+
+def file_rows(files: DataFrame, findings: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """What the CSV of each file holds, in order: file, section, start, file_cell, start_time, end_time, event, severity, check, measures.
+
+    Sections: SUMMARY (names and values of files' columns), PROBLEMS (severity 1 and more), INFORMATIONAL (severity 0, and listed pauses if found is given).
+    """
+    s = F.coalesce("severity", F.lit(0))
+    rate, none = F.col("sample_rate"), F.lit("")
+    known = F.create_map(*[x for c in files.columns if c != "file" for x in (F.lit(c), F.col(c).cast("string"))])
+    facts = files.select("file", F.posexplode(F.map_entries(known)).alias("n", "fact"))
+    facts = facts.select("file", F.lit(SUMMARY).alias("section"), F.col("n").cast("long").alias("start"), none.alias("start_time"), none.alias("end_time"), F.concat_ws(": ", "fact.key", F.coalesce("fact.value", none)).alias("event"), none.alias("severity"), none.alias("check"), none.alias("measures"))
+    rows = findings.select(
+        "file", F.when(s > 0, PROBLEMS).otherwise(INFORMATIONAL).alias("section"), "start", text.clock(F.col("start"), rate).alias("start_time"), text.clock(F.col("stop"), rate).alias("end_time"),
+        text.cell(F.col("problem")).alias("event"), F.when(s > 0, s.cast("string")).otherwise("").alias("severity"), "check", text.cell(text.measures(F.col("measures"))).alias("measures"),
+    )
+    out = facts.unionByName(rows)
+    if found is not None:
+        seconds = (F.col("stop") - F.col("start")) / rate
+        out = out.unionByName(_listed(found).select(
+            "file", F.lit(INFORMATIONAL).alias("section"), "start", text.clock(F.col("start"), rate).alias("start_time"), text.clock(F.col("stop"), rate).alias("end_time"),
+            F.format_string("pause %.2f s — %s", seconds, "guess").alias("event"), none.alias("severity"), F.lit("pause").alias("check"), F.format_string("kind=%s; duration_s=%.3f", "kind", seconds).alias("measures"),
+        ))
+    return out.withColumn("file_cell", text.cell(F.col("file"))).orderBy("file", "section", "start", "event")
+
+
+def write_files(path: str, names: DataFrame, rows: DataFrame) -> None:
+    """A folder for each file under path, with its CSV: rows is file_rows, names (file, name) as numbered() gives them. Existing ones are not touched."""
+    named = rows.join(names.select("file", "name"), "file").drop("file").withColumnRenamed("file_cell", "file")
+    ordered = named.repartition("name").sortWithinPartitions("name", "section", "start", "event").drop("start")
+    ordered.write.mode("errorifexists").partitionBy("name").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
+
+
+#: Fixed value: bytes of a name that file systems take.
+LONGEST_NAME, MOST_NUMBERED = 255, 10_000
+
+
+def numbered(files: DataFrame, taken: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """A name of its own for each file's report: file, name, error. 'x.csv', or 'x (2).csv' and so on where names (without regard to case) repeat or are in taken (name).
+
+    Files of one base are numbered in order, past the numbers that are taken. A name beyond LONGEST_NAME bytes or MOST_NUMBERED tries is an error instead.
+    """
+    base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    keyed = files.select("file", base.alias("base"), F.lower(base).alias("key"))
+    used = taken.select(F.regexp_extract(F.lower("name"), r"^(.*?)(?: \((\d+)\))?\.[^.]*$", 1).alias("key"), F.coalesce(F.regexp_extract(F.lower("name"), r"^(.*?)(?: \((\d+)\))?\.[^.]*$", 2).try_cast("int"), F.lit(1)).alias("n"))
+    used = used.groupBy("key").agg(F.sort_array(F.collect_set("n")).alias("used"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("file"))
+    rows = keyed.withColumn("k", place).join(used, "key", "left")
+    # the k-th number that isn't used: each used one at or below it moves it on
+    number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    name = F.when(F.col("n") == 1, F.concat("base", F.lit(suffix))).otherwise(F.concat("base", F.format_string(" (%d)", "n"), F.lit(suffix)))
+    rows = rows.withColumn("n", number).withColumn("name", name)
+    error = F.when(F.octet_length("name") > LONGEST_NAME, "the numbered name is too long").when(F.col("n") >= MOST_NUMBERED, "no free name")
+    return rows.select("file", F.when(error.isNull(), F.col("name")).alias("name"), error.alias("error"))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind").isin("head", "tail") | ((F.col("stop") - F.col("start")) / F.col("sample_rate") >= PAUSE_LISTED_S))
+
+
 def pauses(found: DataFrame) -> DataFrame:
     """Rows of the pause list."""
     seconds = (F.col("stop") - F.col("start")) / F.col("sample_rate")
-    listed = F.col("kind").isin("head", "tail") | (seconds >= PAUSE_LISTED_S)
     start = text.clock(F.col("start"), F.col("sample_rate")).alias("start_time")
-    return found.where(listed).orderBy("file", "start").select(text.cell(F.col("file")).alias("file"), start, F.round(seconds, 3).alias("duration_s"), "guess", "kind")
+    return _listed(found).orderBy("file", "start").select(text.cell(F.col("file")).alias("file"), start, F.round(seconds, 3).alias("duration_s"), "guess", "kind")
 
 
 def documents(files: DataFrame, findings: DataFrame, found: DataFrame) -> DataFrame:
-    """file and report, a JSON text with tally, findings and pauses in order; every severity is in it, and files without findings are too."""
-    by_sample = findings.groupBy("file").agg(
-        text.tally(F.col("severity")).alias("tally"), F.sort_array(F.collect_list(F.struct("start", "stop", "check", "severity", "problem", F.to_json("measures").alias("measures")))).alias("findings")
-    )
-    gaps = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "guess"))).alias("pauses"))
-    return files.select("file").distinct().join(by_sample, "file", "left").join(gaps, "file", "left").select("file", F.to_json(F.struct("file", "tally", "findings", "pauses")).alias("report"))
+    """file, chunk and report, a JSON text with tally, findings and pauses in order; every severity is in it, and files without findings are too.
+
+    A file's findings, and its pauses, come CHUNK at a time: chunk 0 has the first of both and the tally of all, so no row grows with a file.
+    """
+    tallies = findings.groupBy("file").agg(text.tally(F.col("severity")).alias("tally"))
+    order = W.partitionBy("file").orderBy("start", "stop")
+    chunk = F.floor((F.row_number().over(order) - 1) / CHUNK).alias("chunk")
+    some = findings.select("file", chunk, F.struct("start", "stop", "check", "severity", "problem", F.to_json("measures").alias("measures")).alias("one"))
+    by_sample = some.groupBy("file", "chunk").agg(F.sort_array(F.collect_list("one")).alias("findings"))
+    gaps = found.select("file", chunk, F.struct("start", "stop", "kind", "guess").alias("one")).groupBy("file", "chunk").agg(F.sort_array(F.collect_list("one")).alias("pauses"))
+    first = files.select("file", F.lit(0).cast("long").alias("chunk")).distinct().join(tallies, "file", "left")
+    rows = first.join(by_sample, ["file", "chunk"], "full").join(gaps, ["file", "chunk"], "full")
+    return rows.select("file", "chunk", F.to_json(F.struct("file", "chunk", "tally", "findings", "pauses")).alias("report"))
 
 
 def write(path: str, files: DataFrame, findings: DataFrame, found: DataFrame, least: int = 1) -> None:
     """Folders issues, pauses (CSV) and report (JSON lines) under path. Each is whole or absent, by Spark's committer."""
-    for name, rows in (("issues", issues(findings, least)), ("pauses", pauses(found))):
+    listed = issues_with_skipped(files, findings, least) if "error" in files.columns else issues(findings, least)
+    for name, rows in (("issues", listed), ("pauses", pauses(found))):
         rows.write.mode("errorifexists").option("escape", '"').csv(f"{path}/{name}", header=True)
     documents(files, findings, found).select("report").write.mode("errorifexists").text(f"{path}/report")

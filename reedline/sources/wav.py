@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 CHANNEL_TOLERANCE = 4 / 32768
 LARGEST_SAMPLE = 16.0
 
-FILES = "file string, sample_rate int, bit_depth int, channels int, n_samples long, bytes_claimed long, bytes_actual long, note string, error string"
+FILES = "file string, sample_rate int, bit_depth int, channels int, n_samples long, block_align int, bytes_claimed long, bytes_actual long, note string, error string"
 CHUNKS = "file string, sample_rate int, bit_depth int, n_samples long, chunk long, start long, core_stop long, window_start long, samples array<float>, invalid array<long>"
 
 _PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
@@ -87,7 +87,7 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             row |= head | {"n_samples": len(x), "note": note}
         except NotReadable as why:
             row["error"] = str(why)
-        yield pd.DataFrame([row]).astype({c: "Int64" for c in ("sample_rate", "bit_depth", "channels", "n_samples", "bytes_claimed", "bytes_actual")})
+        yield pd.DataFrame([row]).astype({c: "Int64" for c in ("sample_rate", "bit_depth", "channels", "n_samples", "block_align", "bytes_claimed", "bytes_actual")})
 
 
 def decode(raw: bytes) -> tuple[dict, np.ndarray, np.ndarray, str | None]:
@@ -98,10 +98,10 @@ def decode(raw: bytes) -> tuple[dict, np.ndarray, np.ndarray, str | None]:
         kind = struct.unpack_from("<H", form, 24)[0]
     if not channels or not rate or block != channels * ((bits + 7) // 8):
         raise NotReadable("header fields don't fit each other")
-    head = {"sample_rate": rate, "bit_depth": bits, "channels": channels, "bytes_claimed": claimed, "bytes_actual": len(data)}
+    head = {"sample_rate": rate, "bit_depth": bits, "channels": channels, "block_align": block, "bytes_claimed": claimed, "bytes_actual": len(data)}
     table = _numbers(data[: len(data) // block * block], kind, bits).reshape(-1, channels)
     if not len(table):
-        raise NotReadable("empty file (no samples)")
+        raise NotReadable("no samples in the data part")
     x, note = table[:, 0].copy(), None
     if channels > 1:
         whole = np.isfinite(table).all(axis=1)

@@ -125,3 +125,45 @@ def test_tensor_files(spark, tmp_path):
     good = {r["name"]: (r["shape"], r["values"]) for r in rows if r["error"] is None}
     assert good == {"a": ([2], [0.0, 1.0]), "b": ([2, 2], [2.0, 3.0, 4.0, 5.0])}
     assert {r["file"].rsplit("/", 1)[1] for r in rows if r["error"]} == set(bad) | {"json", "length", "short"}
+
+
+def test_all_broken_rules_are_told_and_checksums_compared(spark, tmp_path):
+    import hashlib
+
+    data = np.arange(6, dtype="<f4").tobytes()
+    _tensors(tmp_path / "a", {"x": {"dtype": "F32", "shape": [2], "data_offsets": [4, 12]}, "y": {"dtype": "F32", "shape": [9], "data_offsets": [12, 20]}, "__metadata__": {"k": "v"}}, data)
+    (row,) = weights.tensors(spark, str(tmp_path / "a")).collect()
+    assert [e.split(":")[0] for e in row.error.split("; ")] == ["y", "x", "end of the data"]
+    _tensors(tmp_path / "b", {"x": {"dtype": "F32", "shape": [6], "data_offsets": [0, 24]}, "__metadata__": {"k": "v"}}, data)
+    raw = (tmp_path / "b").read_bytes()
+    path, sha = str(tmp_path / "b"), hashlib.sha256(raw).hexdigest()
+    assert weights.tensors(spark, path, sha, len(raw)).first().error is None
+    assert weights.tensors(spark, path, "0" * 64, len(raw)).first().error == "checksum is not the expected one"
+    assert "size" in weights.tensors(spark, path, sha, 5).first().error and weights.tensors(spark, path, metadata=False).first().error == "metadata is not allowed"
+
+
+@pytest.mark.parametrize("claimed, listed", [(0xFFFFFFFF, 0), (0x7FFFFFFF, 0), (88_201, 0), (88_202, 1), (0, 0)])
+def test_a_file_is_cut_short_by_a_whole_frame_only(spark, tmp_path, claimed, listed):
+    _wav(tmp_path / "a.wav", _tone(1.0), claimed=claimed if claimed else None)
+    cut = wav.chunks(spark, str(tmp_path))
+    told = sound.file_problems(wav.files(spark, str(tmp_path)), sound.invalid_stretches(cut)).collect()
+    assert [r.problem.split(":")[0] for r in told] == ["file is cut short"] * listed
+    assert all(r.start == r.stop == RATE for r in told)
+
+
+def test_files_without_narration_are_listed(spark, tmp_path):
+    _wav(tmp_path / "tone.wav", np.zeros(2 * RATE) + 0.001)
+    files = wav.files(spark, str(tmp_path))
+    levels = files.selectExpr("file", "cast(null AS double) AS narration_db")
+    told = sound.file_problems(files, sound.invalid_stretches(wav.chunks(spark, str(tmp_path))), levels).collect()
+    assert [r.problem for r in told] == ["no narration found in the file"]
+
+
+def test_gates_by_rate_and_depth(spark, tmp_path):
+    for name, rate, bits in (("a", 11_025, 16), ("b", 16_000, 16), ("c", 32_000, 16), ("d", 44_100, 8), ("e", 44_100, 24)):
+        _wav(tmp_path / f"{name}.wav", _tone(1.0, rate=rate), bits, rate=rate)
+    got = {r.file.rsplit("/", 1)[1][0]: r for r in sound.gates(wav.files(spark, str(tmp_path))).collect()}
+    assert {k: (r.breaths, r.dropouts, r.plosives, r.ticks, len(r.notes)) for k, r in got.items()} == {
+        "a": (False, True, False, False, 3), "b": (True, True, False, False, 2), "c": (True, True, True, False, 1), "d": (True, False, True, True, 1), "e": (True, True, True, True, 0),
+    }
+    assert got["a"].notes[0] == "breath check skipped: 11.025 kHz is below 16 kHz"

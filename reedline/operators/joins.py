@@ -27,7 +27,7 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str,
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, how: str) -> DataFrame:
     """Semi or anti join of aliases l and r: equal keys and a condition on both sides.
 
-    The keys make it an equi-join; only rows of one sequence meet, and Spark splits a long sequence's side.
+    The keys make it an equi-join: all rows of one sequence meet, so both sides should have few rows a key. Spans of long sequences: with_overlap.
     """
     same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     where = condition
@@ -36,6 +36,42 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], condition: C
     return left.alias("l").join(right.alias("r"), where, {"semi": "left_semi", "anti": "left_anti", "inner": "inner", "left": "left"}[how])
 
 
+def with_overlap(left: DataFrame, right: DataFrame, keys: list[str], start: Column, stop: Column, from_: Column, to: Column, how: str) -> DataFrame:
+    """Semi or anti join: left rows with (without) a right row that begins before stop and ends after start, of equal keys.
+
+    start and stop are columns of left, from_ and to of right. No pairs are made: of all right rows that begin before a left row's stop, the
+    greatest end decides, a running maximum over one union. A null bound overlaps nothing.
+    """
+    packed = F.struct(*left.columns)
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ends = [f"_k{i}" for i in range(len(keys))]
+    a = left.select(*names, stop.alias("_at"), F.lit(0).alias("_side"), start.alias("_from"), F.lit(None).cast("long").alias("_to"), packed.alias("_row"))
+    b = right.select(*names, from_.alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_from"), to.alias("_to"))
+    before = W.partitionBy(*ends).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = a.unionByName(b.where("_at is not null"), allowMissingColumns=True).withColumn("_most", F.max("_to").over(before))
+    hit = F.coalesce(F.col("_most") > F.col("_from"), F.lit(False)) & F.col("_at").isNotNull()
+    return both.where(F.col("_side") == 0).where(hit if how == "semi" else ~hit).select("_row.*")
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: int) -> DataFrame:
+    """Inner join of aliases l and r whose spans overlap, of equal keys. Spans meet by time buckets of `width`; a pair is made in the first bucket that both touch.
+
+    Spans are (start, stop) columns of their own side, stop exclusive. Work follows the pairs and the buckets that spans touch, not all pairs of a key.
+    """
+
+    def spread(df, span):
+        a, b = F.floor(span[0] / width), F.floor((span[1] - 1) / width)
+        rows = df.withColumn("_a", span[0]).withColumn("_b", span[1]).where("_b > _a").withColumn("_first", a)
+        return rows.withColumn("_bucket", F.explode(F.sequence(a, b)))
+
+    l, r = spread(left, left_span).alias("l"), spread(right, right_span).alias("r")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_bucket"]]
+    where = (F.col("l._a") < F.col("r._b")) & (F.col("r._a") < F.col("l._b")) & (F.col("l._bucket") == F.greatest("l._first", "r._first"))
+    for x in same:
+        where = where & x
+    return l.join(r, where)
+
+
 def band(left: DataFrame, right: DataFrame, keys: list[str], time: str, before: int, after: int, how: str, extra: Column | None = None) -> DataFrame:
     """Semi or anti join on -before <= r.time - l.time <= after for one sequence.
 

@@ -61,8 +61,8 @@ def _overlap_sql(word: str) -> str:
 
 def _overlap(spark, sf_dir, how):
     s = signal(spark, sf_dir)
-    near = (F.col("r.from_us") < F.col("l.to_us") + HOUR) & (F.col("r.to_us") > F.col("l.from_us") - HOUR)
-    return joins.overlapping(timed(s, sound()), timed(s, zero()), U, near, how).select("user_id", "start", "stop")
+    a, b = F.col("from_us"), F.col("to_us")
+    return joins.with_overlap(timed(s, sound()), timed(s, zero()), U, a - HOUR, b + HOUR, a, b, how).select("user_id", "start", "stop")
 
 
 @query(_overlap_sql("NOT"))
@@ -111,8 +111,8 @@ def join_anti_conditional(spark, sf_dir):
  (SELECT 1 FROM rt WHERE rt.user_id = zt.user_id AND rt.from_us < zt.from_us + {HOUR} AND rt.to_us > zt.from_us - {6 * HOUR})""")
 def join_anti_asymmetric(spark, sf_dir):
     s = signal(spark, sf_dir)
-    near = (F.col("r.from_us") < F.col("l.from_us") + HOUR) & (F.col("r.to_us") > F.col("l.from_us") - 6 * HOUR)
-    return joins.overlapping(timed(s, zero()), timed(s, sound()), U, near, "anti").select("user_id", "start", "stop")
+    a, b = F.col("from_us"), F.col("to_us")
+    return joins.with_overlap(timed(s, zero()), timed(s, sound()), U, a - 6 * HOUR, a + HOUR, a, b, "anti").select("user_id", "start", "stop")
 
 
 @query(f"WITH {EV}, {_SOUND} SELECT r.user_id, r.start, count(e.i) AS clicks, greatest(count(e.i), 1) AS inspected FROM r LEFT JOIN ev e ON e.user_id = r.user_id AND e.i >= r.start AND e.i < r.stop AND e.event_type = 'click' GROUP BY 1, 2")
@@ -301,13 +301,13 @@ def setop_difference(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT CAST(round(p_retailprice) AS BIGINT) AS v FROM part UNION SELECT CAST(round(value) AS BIGINT) FROM events),
- g AS (SELECT v, v // 1000 AS band, CASE WHEN v - lag(v) OVER (PARTITION BY v // 1000 ORDER BY v) > 2 THEN 1 ELSE 0 END AS n FROM u), k AS (SELECT *, sum(n) OVER (PARTITION BY band ORDER BY v) AS c FROM g)
-SELECT band, min(v) AS low, max(v) AS high, count(*) AS members FROM k GROUP BY band, c""")
+ g AS (SELECT v, CASE WHEN v - lag(v) OVER (ORDER BY v) > 2 THEN 1 ELSE 0 END AS n FROM u), k AS (SELECT *, sum(n) OVER (ORDER BY v) AS c FROM g)
+SELECT min(v) // 1000 AS band, min(v) AS low, max(v) AS high, count(*) AS members FROM k GROUP BY c""")
 def setop_union_merge(spark, sf_dir):
     a = table(spark, sf_dir, "part").select(F.round("p_retailprice").cast("long").alias("v"))
     b = table(spark, sf_dir, "events").select(F.round("value").cast("long").alias("v"))
-    u = a.union(b).distinct().withColumn("band", F.expr("v div 1000"))
-    return seq.cluster_1d(u, ["band"], "v", 2).groupBy("band", "cluster").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("members")).drop("cluster")
+    found = seq.clusters_1d(a.union(b).distinct(), "v", 2, 1000)
+    return found.select(F.expr("low div 1000").alias("band"), "low", "high", "members")
 
 
 @query(f"WITH {EV} SELECT user_id, i, CASE WHEN value > 320 THEN 0 ELSE value END AS value, value > 320 AS invalid FROM ev")
@@ -341,7 +341,9 @@ def pred_interval(spark, sf_dir):
     s = signal(spark, sf_dir)
     a, b = F.col("l.from_us") - HOUR, F.col("l.to_us") + HOUR
     x, y = F.col("r.from_us"), F.col("r.to_us")
-    hits = joins.overlapping(timed(s, sound()), timed(s, zero()), U, (x < b) & (y > a), "inner")
+    # spans without length are given one microsecond to meet by, so the exact condition follows
+    here, there = (F.col("from_us") - HOUR, F.col("to_us") + HOUR), (F.col("from_us"), F.col("to_us") + 1)
+    hits = joins.overlapping_pairs(timed(s, sound()), timed(s, zero()), U, here, there, DAY).where((x < b) & (y > a))
     return hits.select(F.col("l.user_id"), F.col("l.start"), F.col("r.start").alias("z_start"), ((x >= a) & (y <= b)).alias("within"), (2 * (F.least(y, b) - F.greatest(x, a)) >= y - x).alias("mostly"))
 
 
@@ -391,9 +393,10 @@ def report_assemble(spark, sf_dir):
 
 @query()
 def report_json(spark, sf_dir):
-    s = signal(spark, sf_dir).withColumn("severity", severity())
+    """JSON lines of at most 1000 findings, so that no row grows with a user."""
+    s = signal(spark, sf_dir).withColumn("severity", severity()).withColumn("chunk", F.floor((F.col("i") - 1) / 1000))
     rows = F.sort_array(F.collect_list(F.struct("i", "event_type", "c", "severity")))
-    return s.groupBy("user_id").agg(F.to_json(F.struct(F.count("*").alias("events"), rows.alias("findings"))).alias("report"))
+    return s.groupBy("user_id", "chunk").agg(F.to_json(F.struct(F.count("*").alias("events"), rows.alias("findings"))).alias("report"))
 
 
 @query(f"""WITH {EV}, s(name, head_us, tolerance_us) AS (VALUES ('short', {6 * HOUR}, {HOUR}), ('long', {DAY}, {2 * HOUR})), g AS (SELECT user_id, t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY i) AS gap_us FROM ev)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reedline.operators import seq
 from reedline.plans.registry import query, table
 
 SIZE = 64
@@ -18,49 +19,80 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
-def powers(v):
-    """Power of a real vector's 33 lines, by two dot products with constant waves each; no row leaves its place."""
+def spectrum(spark, sf_dir, lines, schema):
+    """lines(powers) of a batch of spectra (vectors x 33) gives arrays of row number and values; no row leaves its task."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
+            row, *values = lines(np.abs(np.fft.rfft(v, axis=1)) ** 2)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), *map(pa.array, values)], ["vec_id", *names])
+
+    source = vectors(spark, sf_dir).where(F.size("v") == SIZE)
+    key = source.schema["vec_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"vec_id {key}, {schema}")
+
+
+def _every(values):
+    """Row number, place and value of each element."""
+    import numpy as np
+
+    n, m = values.shape
+    return np.repeat(np.arange(n), m), np.tile(np.arange(m), n), values.ravel()
+
+
+def _decibels(power):
+    import numpy as np
+
+    return 10 * np.log10(np.maximum(power, 1e-20))
 
-    def dot(wave):
-        terms = F.zip_with(v, F.array(*[F.lit(w) for w in wave]), lambda a, b: a * b)
-        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
-    def line(k):
-        re, im = ([f(2 * math.pi * k * n / SIZE) for n in range(SIZE)] for f in (math.cos, math.sin))
-        return F.pow(dot(re), F.lit(2.0)) + F.pow(dot(im), F.lit(2.0))
+def _peaks(power):
+    import numpy as np
+
+    row, k = np.nonzero((power[:, 1:-1] > power[:, :-2]) & (power[:, 1:-1] >= power[:, 2:]))
+    left, mid, right = power[row, k], power[row, k + 1], power[row, k + 2]
+    return row, k + 1, 0.5 * (left - right) / (left - 2 * mid + right)
 
-    return F.array(*[line(k) for k in range(SIZE // 2 + 1)])
 
+def _octaves(power):
+    import numpy as np
 
-def spectrum(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.posexplode(powers(F.col("v"))).alias("k", "power"))
+    return _every(_decibels(np.stack([power[:, 1 << b : 2 << b].sum(axis=1) for b in range(6)], axis=1)))
+
+
+def _prominences(power):
+    import numpy as np
+
+    db = np.pad(_decibels(power), [(0, 0), (5, 5)], constant_values=np.nan)
+    around = np.nanmedian(np.lib.stride_tricks.sliding_window_view(db, 11, axis=1), axis=2)
+    return _every(db[:, 5:-5] - around)
 
 
 @query(f"WITH {_P} SELECT vec_id, k, round(power, 6) AS power FROM p")
 def spec_dft(spark, sf_dir):
-    return spectrum(spark, sf_dir).select("vec_id", F.col("k").cast("long").alias("k"), F.round("power", 6).alias("power"))
+    return spectrum(spark, sf_dir, _every, "k long, power double").select("vec_id", "k", F.round("power", 6).alias("power"))
 
 
 @query(f"""WITH {_P}, d AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS r FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY k))
 SELECT vec_id, k, round(0.5 * (l - r) / (l - 2 * power + r), 6) AS shift FROM d WHERE power > l AND power >= r""")
 def spec_peaks(spark, sf_dir):
-    w = W.partitionBy("vec_id").orderBy("k")
-    d = spectrum(spark, sf_dir).withColumn("l", F.lag("power").over(w)).withColumn("r", F.lead("power").over(w)).where("power > l and power >= r")
-    return d.select("vec_id", F.col("k").cast("long").alias("k"), F.round(0.5 * (F.col("l") - F.col("r")) / (F.col("l") - 2 * F.col("power") + F.col("r")), 6).alias("shift"))
+    return spectrum(spark, sf_dir, _peaks, "k long, shift double").select("vec_id", "k", F.round("shift", 6).alias("shift"))
 
 
 @query(f"WITH {_P} SELECT vec_id, CAST(floor(log2(k)) AS BIGINT) AS band, round(10 * log10(greatest(sum(power), 1e-20)), 6) AS db FROM p WHERE k > 0 GROUP BY 1, 2")
 def spec_bands(spark, sf_dir):
-    s = spectrum(spark, sf_dir).where("k > 0").groupBy("vec_id", F.floor(F.log2("k")).alias("band"))
-    return s.agg(F.round(10 * F.log10(F.greatest(F.sum("power"), F.lit(1e-20))), 6).alias("db"))
+    return spectrum(spark, sf_dir, _octaves, "band long, db double").select("vec_id", "band", F.round("db", 6).alias("db"))
 
 
 @query(f"""WITH {_P}, d AS (SELECT vec_id, k, 10 * log10(greatest(power, 1e-20)) AS db FROM p)
 SELECT vec_id, k, round(db - median(db) OVER (PARTITION BY vec_id ORDER BY k ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), 6) AS prominence FROM d""")
 def spec_prominence(spark, sf_dir):
-    near = W.partitionBy("vec_id").orderBy("k").rowsBetween(-5, 5)
-    d = spectrum(spark, sf_dir).withColumn("db", 10 * F.log10(F.greatest("power", F.lit(1e-20))))
-    return d.select("vec_id", F.col("k").cast("long").alias("k"), F.round(F.col("db") - F.percentile("db", 0.5).over(near), 6).alias("prominence"))
+    return spectrum(spark, sf_dir, _prominences, "k long, prominence double").select("vec_id", "k", F.round("prominence", 6).alias("prominence"))
 
 
 @query(f"""WITH {_X}, d AS (SELECT *, lag(v) OVER (PARTITION BY vec_id ORDER BY n) AS b FROM x)
@@ -142,10 +174,10 @@ def text_escape(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", shown.alias("shown"))
 
 
-@query("""WITH c AS (SELECT doc_id, substr('=+-@' || chr(39) || 'ab', CAST(doc_id % 7 AS INT) + 1, 1) || substr(text, 1, 20) AS cell FROM documents)
+@query("""WITH c AS (SELECT doc_id, substr('=+-@' || chr(39) || 'ab', CAST(doc_id % 7 AS INT) + 1, 1) || text AS cell FROM documents)
 SELECT doc_id, CASE WHEN substr(cell, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13), chr(39)) THEN chr(39) || cell ELSE cell END AS guarded FROM c""")
 def text_formula_guard(spark, sf_dir):
-    cell = F.concat(F.substring(F.lit("=+-@'ab"), (F.col("doc_id") % 7 + 1).cast("int"), F.lit(1)), F.substring("text", 1, 20))
+    cell = F.concat(F.substring(F.lit("=+-@'ab"), (F.col("doc_id") % 7 + 1).cast("int"), F.lit(1)), F.col("text"))
     d = table(spark, sf_dir, "documents").select("doc_id", cell.alias("cell"))
     return d.select("doc_id", F.when(F.substring("cell", 1, 1).isin("=", "+", "-", "@", "\t", "\r", "'"), F.concat(F.lit("'"), "cell")).otherwise(F.col("cell")).alias("guarded"))
 
@@ -171,7 +203,10 @@ def name_plan(spark, sf_dir):
 
 @query()
 def track_lines(spark, sf_dir):
-    """Greedy tracking of daily lines, a fold over days, one task a user: each line joins the nearest open track within 2, which closes after two days without."""
+    """Greedy tracking of daily lines, a fold over days: each line joins the nearest open track within 2, which closes after two days without.
+
+    A user's days are cut where no track can stay open, and each stretch is folded by itself.
+    """
     import pandas as pd
 
     from reedline.plans.registry import DAY, signal
@@ -195,4 +230,6 @@ def track_lines(spark, sf_dir):
                     used.add(len(open_tracks) - 1)
         return pd.DataFrame([(key[0], *t) for t in done + open_tracks if t[3] > 1], columns=["user_id", "first_day", "last_day", "last_value", "members"])
 
-    return lines.groupBy("user_id").applyInPandas(follow, "user_id long, first_day long, last_day long, last_value double, members long")
+    quiet = F.col("day") - F.lag("day").over(W.partitionBy("user_id").orderBy("day", "i")) > 3
+    lines = seq.islands(lines, ["user_id"], ["day", "i"], quiet, "stretch")
+    return lines.groupBy("user_id", "stretch").applyInPandas(follow, "user_id long, first_day long, last_day long, last_value double, members long")

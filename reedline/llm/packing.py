@@ -131,13 +131,13 @@ def best_fit_pack(
     )
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, lengths: tuple[int, ...] = LENGTHS, bin_cost: int = BIN_COST, group_pieces: int = GROUP_PIECES, lean: bool = False) -> DataFrame:
     """best_fit_pack of documents (doc_id, text) by the number of their token ids, an end mark included; a null or empty text has the end mark alone.
 
     Whole texts are encoded where they are read (see sstable.encoded for which tokenizers will do); their sizes are stored, as they are read twice.
-    Other columns aren't read.
+    Other columns aren't read. lean: see sstable.encoded.
     """
-    sizes = stored(spark, sstable.encoded(docs, tokenizer_path).select("doc_id", "tokens"), "sizes")
+    sizes = stored(spark, sstable.encoded(docs, tokenizer_path, lean=lean).select("doc_id", "tokens"), "sizes")
     return best_fit_pack(spark, sizes, lengths, bin_cost, group_pieces)
 
 

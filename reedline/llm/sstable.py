@@ -41,9 +41,11 @@ BLOOM_HASHES = 7
 SHARD_ROWS, SHARD_BYTES = 100_000, 32 << 20
 END_ID = 1
 #: Text that is encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 KNOWN_CHUNKS = 1_000_000
 KNOWN_WORDS = 700_000
+#: The same for a worker that should stay small; it forgets all when a task ends.
+LEAN = 150_000
 #: Latin letters, then marks without an apostrophe: the tokenizer lowers the letters and takes both parts as one word each.
 _WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 #: Null ids count as the least number where ranges are sought; in the files they are the empty key.
@@ -213,17 +215,18 @@ def _word_ids(tokenizer, words: list[str], width: int, pretokenized: bool) -> li
 class ChunkIds(dict):
     """chunk between blanks -> its ids as bytes; encodes what is new in one call and forgets all beyond a fixed number."""
 
-    def __init__(self, tokenizer, width: int):
+    def __init__(self, tokenizer, width: int, lean: bool = False):
         super().__init__({"": b""})
         self.tokenizer, self.width, self.words = tokenizer, width, {"": b""}
+        self.most, self.most_words = (LEAN, LEAN) if lean else (KNOWN_CHUNKS, KNOWN_WORDS)
 
     def bound(self) -> None:
-        if len(self) > KNOWN_CHUNKS:
+        if len(self) > self.most:
             self.clear()
             self[""] = b""
 
     def learn(self, new: list[str]) -> None:
-        if len(self.words) > KNOWN_WORDS:
+        if len(self.words) > self.most_words:
             self.words = {"": b""}
         parts, other = [], []
         for chunk in new:
@@ -308,7 +311,7 @@ def _encoded(known: ChunkIds, texts: pa.Array, width: int, end: bytes) -> list[b
     return [raw[a * width : b * width] + end for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[int] = (), shares: list[int] = ()):
+def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[int] = (), shares: list[int] = (), lean: bool = False):
     """Encode texts where they are read, and find each document's shard from the limits of the key ranges.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks between blanks, in order. The library
@@ -324,7 +327,7 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[
 
         if name not in sstable._SEEN:
             sstable._SEEN.clear()
-            sstable._SEEN[name] = ChunkIds(Tokenizer.from_file(tokenizer_path), width)
+            sstable._SEEN[name] = ChunkIds(Tokenizer.from_file(tokenizer_path), width, lean)
         known = sstable._SEEN[name]
         limits, end = np.array(cuts, np.int64), np.array([end_id], f"<u{width}").tobytes()
         share = np.array([*shares, 1], np.int64)
@@ -338,6 +341,8 @@ def _tokens(tokenizer_path: str, end_id: int, width: int, name: str, cuts: list[
                 at_limit = np.append(limits, 0)[where] == ids
                 shard = base[where] + np.where(at_limit, rows.column("spread").to_numpy() % share[where], 0)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), doc_id, pa.array(values, pa.binary())], ["shard", "doc_id", "ids"])
+        if lean:
+            sstable._SEEN.clear()
 
     return run
 
@@ -350,10 +355,13 @@ def _width(tokenizer, end_id: int) -> int:
     return 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary) and tokens (how many) of every row, the end mark included; encoded where the texts are read."""
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lean: bool = False) -> DataFrame:
+    """doc_id, ids (binary) and tokens (how many) of every row, the end mark included; encoded where the texts are read.
+
+    With lean, workers remember less and nothing beyond a task: slower, for jobs whose other steps need the memory.
+    """
     width = _width(checked_tokenizer(tokenizer_path), end_id)
-    rows = _source(docs).mapInArrow(_tokens(tokenizer_path, end_id, width, uuid.uuid4().hex), "shard int, doc_id long, ids binary")
+    rows = _source(docs).mapInArrow(_tokens(tokenizer_path, end_id, width, uuid.uuid4().hex, lean=lean), "shard int, doc_id long, ids binary")
     return rows.select("doc_id", "ids", (F.octet_length("ids") / width).cast("long").alias("tokens"))
 
 

@@ -52,7 +52,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where the token ids of each document, or of each piece of a long one, lie in the training sequences."""
-    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"), lean=True)
 
 
 def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, packing, pii, sharding, sstable, url_filter
+from reedline.llm import centroids, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, lm_score, packing, pii, sharding, sstable, url_filter, whitening
 
 #: A key for the tests; a production run passes its own.
 PII_KEY = b"reedline test key"
@@ -89,6 +89,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(spark, table(spark, sf_dir, "documents"), good)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digested(*centroids.cluster(spark, table(spark, sf_dir, "embeddings")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +109,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sharding, op2_decontamination, op3_exact_dedup, op4_language_id, op5_packing, op6_token_table, op7_jaccard_join, op8_url_filter, op9_pii, op10_lm_scoring, pipeline]
+    found = [op1_sharding, op2_decontamination, op3_exact_dedup, op4_language_id, op5_packing, op6_token_table, op7_jaccard_join, op8_url_filter, op9_pii, op10_lm_scoring]
+    found += [op11_line_dedup, op12_centroid_clustering, op13_whitening, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -149,5 +163,41 @@ FROM k LEFT JOIN j ON j.page_id = k.page_id AND j.nth = 1
 """
 
 
+#: op11: the same lines by grouping the keys themselves.
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS nth FROM d),
+k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, c.last IS NOT NULL AND c.last <> k.doc_id AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op12_sql(clusters: int = centroids.CLUSTERS, rounds: int = centroids.ROUNDS, dimensions: int = centroids.DIMENSIONS) -> str:
+    """The rounds of op12 one after another, in whole numbers."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor({centroids.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        f" WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dimensions})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{centroids.SALT}' || vec_id)) - 1 AS INTEGER) AS k, x AS c FROM v QUALIFY k < {clusters})",
+    ]
+    distance = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, k, {distance} AS dist FROM v, c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, k) = 1)")
+        if r < rounds:
+            parts.append(
+                f"m{r} AS (SELECT k, i, CAST(sum(e) AS HUGEINT) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS e, unnest(range({dimensions})) AS i FROM a{r}) GROUP BY k, i),"
+                f" u{r} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY k),"
+                f" c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(u{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN u{r} USING (k))"
+            )
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, a.k AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,"
+        f" CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} AS a JOIN c{rounds} AS c USING (k)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op8_url_filter": OP8_SQL, "op11_line_dedup": OP11_SQL, "op12_centroid_clustering": op12_sql()}

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reedline.operators import seq
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], tolerance: int | None = None) -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: list[str], tolerance: int | None = None, width: int | None = None) -> DataFrame:
     """Each left row with the columns of the last right row at or before it: one union and one window, no range join.
 
-    Where several right rows share that time, the one with the greatest columns counts. Beyond tolerance: nulls.
+    Where several right rows share that time, the one with the greatest columns counts. Beyond tolerance: nulls. With width, the window runs in stretches of so much time (see seq.scan).
     """
     packed = F.struct(F.col(time).alias("t"), *[F.col(c).alias(c) for c in columns])
     kind = right.select(packed.alias("s")).schema["s"].dataType
     a = left.withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(kind))
     b = right.select(*keys, time, F.lit(0).alias("_side"), packed.alias("_hit"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy(time, "_side", "_hit").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("_seen", F.last("_hit", True).over(order)).where("_side = 1")
+    order = [time, "_side", "_hit"]
+    if width:
+        out = seq.scan(both, keys, order, F.floor(F.col(time) / width), _seen=("last", F.col("_hit"))).where("_side = 1")
+    else:
+        out = both.withColumn("_seen", F.last("_hit", True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).where("_side = 1")
     if tolerance is not None:
         out = out.withColumn("_seen", F.when(F.col(time) - F.col("_seen.t") <= tolerance, F.col("_seen")))
     return out.select(*left.columns, F.col("_seen.t").alias(f"match_{time}"), *[F.col(f"_seen.{c}").alias(f"match_{c}") for c in columns])
@@ -36,19 +41,22 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], condition: C
     return left.alias("l").join(right.alias("r"), where, {"semi": "left_semi", "anti": "left_anti", "inner": "inner", "left": "left"}[how])
 
 
-def with_overlap(left: DataFrame, right: DataFrame, keys: list[str], start: Column, stop: Column, from_: Column, to: Column, how: str) -> DataFrame:
+def with_overlap(left: DataFrame, right: DataFrame, keys: list[str], start: Column, stop: Column, from_: Column, to: Column, how: str, width: int | None = None) -> DataFrame:
     """Semi or anti join: left rows with (without) a right row that begins before stop and ends after start, of equal keys.
 
-    start and stop are columns of left, from_ and to of right. No pairs are made: of all right rows that begin before a left row's stop, the
-    greatest end decides, a running maximum over one union. A null bound overlaps nothing.
+    start and stop are columns of left, from_ and to of right, numbers or times. No pairs are made: of all right rows that begin before a left row's stop, the
+    greatest end decides, a running maximum over one union. A null bound overlaps nothing. With width (numbers only), that runs in stretches of so much (see seq.scan).
     """
     packed = F.struct(*left.columns)
     names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     ends = [f"_k{i}" for i in range(len(keys))]
-    a = left.select(*names, stop.alias("_at"), F.lit(0).alias("_side"), start.alias("_from"), F.lit(None).cast("long").alias("_to"), packed.alias("_row"))
-    b = right.select(*names, from_.alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_from"), to.alias("_to"))
-    before = W.partitionBy(*ends).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b.where("_at is not null"), allowMissingColumns=True).withColumn("_most", F.max("_to").over(before))
+    a = left.select(*names, stop.alias("_at"), F.lit(0).alias("_side"), start.alias("_from"), packed.alias("_row"))
+    b = right.select(*names, from_.alias("_at"), F.lit(1).alias("_side"), to.alias("_to")).where("_at is not null")
+    both = a.unionByName(b, allowMissingColumns=True)
+    if width:
+        both = seq.scan(both, ends, ["_at", "_side"], F.floor(F.col("_at") / width), _most=("max", F.col("_to")))
+    else:
+        both = both.withColumn("_most", F.max("_to").over(W.partitionBy(*ends).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)))
     hit = F.coalesce(F.col("_most") > F.col("_from"), F.lit(False)) & F.col("_at").isNotNull()
     return both.where(F.col("_side") == 0).where(hit if how == "semi" else ~hit).select("_row.*")
 

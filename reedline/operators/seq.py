@@ -1,6 +1,7 @@
 """Operators on ordered sequences: any DataFrame with key columns, an order column and values.
 
-Every window is partitioned by the keys, so sequences run in parallel and nothing is ordered globally.
+Every window is partitioned by the keys, so sequences run in parallel and nothing is ordered globally. One very long sequence runs in parallel too where a stretch
+is given: windows of a bounded reach look into the neighbouring stretch (chunked), and those that look back to the start get what came before as one row (scan).
 """
 
 from __future__ import annotations
@@ -30,10 +31,45 @@ def chunked(df: DataFrame, order: str, size: int, before: int = 0, after: int =
     return df.withColumn("_chunk", F.explode(F.array_compact(F.array(c, later, earlier)))).withColumn("_own", F.col("_chunk") == c)
 
 
+def scan(df: DataFrame, keys: list[str], order: list[str], stretch: Column, **columns: tuple[str, Column]) -> DataFrame:
+    """df with columns that follow from all rows before, however long one sequence is: name=(kind, value).
+
+    Kinds: sum, max and last (the last value that isn't null) up to and with the row; previous and next, the value of the neighbouring row, null at the ends. stretch is a number that
+    never falls along order. Each stretch is summed up to one row, those rows are scanned in order, and what came before a stretch leads its rows in a
+    window by keys and stretch, so no task sees more than one stretch, or the summaries of one sequence. Rows of equal order count in any order; null keys are a sequence, a null stretch comes first.
+    """
+    held = {n: (kind, F.struct(value.alias("v")) if kind in ("previous", "next") else value) for n, (kind, value) in columns.items()}
+    place = F.struct(*order)
+    parts = df.select("*", stretch.alias("_s"), F.lit(1).alias("_lead"), *[value.alias(f"_v_{n}") for n, (_, value) in held.items()])
+    whole = {
+        "sum": lambda v: F.sum(v), "max": lambda v: F.max(v), "last": lambda v: F.max_by(v, F.when(v.isNotNull(), place)), "previous": lambda v: F.max_by(v, place), "next": lambda v: F.min_by(v, place),
+    }
+    sums = parts.groupBy(*keys, "_s").agg(*[whole[kind](F.col(f"_v_{n}")).alias(f"_v_{n}") for n, (kind, _) in held.items()])
+    along = W.partitionBy(*keys).orderBy("_s")
+    before = along.rowsBetween(W.unboundedPreceding, -1)
+    carried = {
+        "sum": lambda v: F.sum(v).over(before), "max": lambda v: F.max(v).over(before), "last": lambda v: F.last(v, True).over(before), "previous": lambda v: F.lag(v).over(along), "next": lambda v: F.lead(v).over(along),
+    }
+    sides = [(0, [n for n, (kind, _) in held.items() if kind != "next"]), (2, [n for n, (kind, _) in held.items() if kind == "next"])]
+    both = parts
+    for side, names in sides:
+        if names:
+            lead = sums.select(*keys, "_s", F.lit(side).alias("_lead"), *[carried[held[n][0]](F.col(f"_v_{n}")).alias(f"_v_{n}") for n in names])
+            both = both.unionByName(lead, allowMissingColumns=True)
+    inside = W.partitionBy(*keys, "_s").orderBy("_lead", *order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+    found = {
+        "sum": lambda v: F.sum(v).over(upto), "max": lambda v: F.max(v).over(upto), "last": lambda v: F.last(v, True).over(upto),
+        "previous": lambda v: F.lag(v).over(inside).getField("v"), "next": lambda v: F.lead(v).over(inside).getField("v"),
+    }
+    out = both.select("*", *[found[kind](F.col(f"_v_{n}")).alias(n) for n, (kind, _) in held.items()])
+    return out.where(F.col("_lead") == 1).select(*df.columns, *held)
+
+
 def runs(df: DataFrame, keys: list[str], order: str, mask: Column, *aggs: Column, chunk: int | None = None) -> DataFrame:
     """Maximal runs of rows that fulfil mask: keys, start, stop (exclusive), length. order must be consecutive integers.
 
-    With chunk (and no aggs), runs are found within stretches of so many rows, and only runs that touch are then joined by a window over runs.
+    With chunk (and no aggs), runs are found within stretches of so many rows, and runs that touch are then joined, in stretches too.
     """
     held, by = df.where(mask), keys
     if chunk:
@@ -42,7 +78,19 @@ def runs(df: DataFrame, keys: list[str], order: str, mask: Column, *aggs: Column
     found = held.withColumn("_island", island).groupBy(*by, "_island").agg(
         F.min(order).cast("long").alias("start"), (F.max(order) + 1).cast("long").alias("stop"), F.count("*").cast("long").alias("length"), *aggs
     ).drop("_island", "_chunk")
-    return merge_runs(found, keys, 0) if chunk else found
+    return merge_runs(found, keys, 0, width=chunk) if chunk else found
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], stretch: Column, name: str = "i") -> DataFrame:
+    """Number the rows of each sequence from 1, in stretches (see scan). order must be total."""
+    return scan(df, keys, order, stretch, **{name: ("sum", F.lit(1).cast("long"))})
+
+
+def islands_after(df: DataFrame, keys: list[str], order: list[str], stretch: Column, value: Column, breaks, name: str = "island") -> DataFrame:
+    """islands in stretches (see scan): a new group where breaks(value of the row before), a column, is true; null there is the first row."""
+    before = scan(df, keys, order, stretch, _before=("previous", value))
+    flagged = before.withColumn("_new", F.coalesce(breaks(F.col("_before")).cast("long"), F.lit(0).cast("long"))).drop("_before")
+    return scan(flagged, keys, order, stretch, **{name: ("sum", F.col("_new"))}).drop("_new")
 
 
 def islands(df: DataFrame, keys: list[str], order: str | list[str], breaks: Column, name: str = "island") -> DataFrame:
@@ -52,10 +100,12 @@ def islands(df: DataFrame, keys: list[str], order: str | list[str], breaks: Colu
     return flagged.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
-def merge_runs(found: DataFrame, keys: list[str], max_gap: int, min_length: int = 0) -> DataFrame:
-    """Runs whose gap is at most max_gap become one; those of min_length or more stay: keys, start, stop, length."""
-    gap = F.col("start") - F.lag("stop").over(within(keys, "start"))
-    joined = islands(found, keys, "start", gap > max_gap)
+def merge_runs(found: DataFrame, keys: list[str], max_gap: int, min_length: int = 0, width: int | None = None) -> DataFrame:
+    """Runs whose gap is at most max_gap become one; those of min_length or more stay: keys, start, stop, length. With width, in stretches of so many places (see scan)."""
+    if width:
+        joined = islands_after(found, keys, ["start"], F.floor(F.col("start") / width), F.col("stop"), lambda stop: F.col("start") - stop > max_gap)
+    else:
+        joined = islands(found, keys, "start", F.col("start") - F.lag("stop").over(within(keys, "start")) > max_gap)
     out = joined.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
     out = out.withColumn("length", F.col("stop") - F.col("start"))
     return out.where(F.col("length") >= min_length)

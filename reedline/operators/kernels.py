@@ -103,6 +103,11 @@ def frames(x: np.ndarray, size: int, hop: int, first: int, count: int) -> np.nda
     return np.where(inside, x[np.clip(at, 0, len(x) - 1)], 0.0) if len(x) else np.zeros((count, size))
 
 
+def surroundings(values: np.ndarray, at: np.ndarray, low: int, high: int, outside: float) -> np.ndarray:
+    """A row for each place: values from low to before high places on from it, `outside` where there are none."""
+    return np.pad(values, (max(0, -low), max(0, high)), constant_values=outside)[at[:, None] + max(0, -low) + np.arange(low, high)] if high > low else np.empty((len(at), 0))
+
+
 def band_sums(power: np.ndarray, freqs: np.ndarray, edges: list[tuple[float, float]]) -> np.ndarray:
     """Sums of spectra over bands (from the first edge on, below the second)."""
     masks = np.stack([(freqs >= a) & (freqs < b) for a, b in edges], axis=1).astype(np.float64)

@@ -31,6 +31,8 @@ def found(spark, tmp_path_factory):
         "two": speech + sum(tone(len(speech) / RATE, f, db)[: len(speech)] for f, db in ((43, -65), (99, -56), (142, -80), (86, -74))),
         "harmonic": speech + tone(len(speech) / RATE, 50, -62)[: len(speech)] + tone(len(speech) / RATE, 150, -58)[: len(speech)],
         "short": add(base, tone(1.5, 300, -50), 8 * RATE),
+        "two_seconds": add(base, tone(2.0, 300, -50), 8 * RATE),
+        "three_seconds": add(base, tone(3.0, 300, -50), 8 * RATE),
     }
     for name, x in sounds.items():
         write(folder / f"{name}.wav", x)
@@ -50,7 +52,7 @@ def test_a_steady_tone_is_one_hum(found):
 
 
 def test_clean_narration_and_short_tones_have_none(found):
-    assert found["clean"] == [] and found["short"] == []
+    assert found["clean"] == [] and found["short"] == [] and found["two_seconds"] == [] and found["three_seconds"] == []
 
 
 def test_an_abrupt_hum_is_graded_three_and_a_fading_one_less(found):
@@ -81,8 +83,13 @@ def test_tracks_follow_the_nearest_line_and_close_after_two_misses():
     lines = pd.DataFrame([(w, hz, db, 12.0) for w, hz, db in rows], columns=["window", "hz", "level_db", "prominence_db"])
     sizes = sorted(len(t) for t in hum._follow(lines))
     assert sizes == [2, 2, 3, 8]
-    joined = hum._joined([[(w, 100.0, -50, 12) for w in range(4)], [(w, 100.3, -50, 12) for w in range(8, 12)], [(w, 300.0 + w, -50, 12) for w in range(9)]])
-    assert [len(t) for t in joined] == [8]
+    joined = hum._joined([[(w, 100.0, -50, 12) for w in range(7)], [(w, 100.3, -50, 12) for w in range(11, 18)], [(w, 300.0 + w, -50, 12) for w in range(9)]])
+    assert [len(t) for t in joined] == [14]
+
+
+@pytest.mark.parametrize(("windows", "kept"), [(3, 0), (5, 0), (6, 0), (7, 1), (8, 1)])
+def test_a_track_lasts_three_seconds_from_first_to_last_window(windows, kept):
+    assert len(hum._joined([[(w, 100.0, -50, 12) for w in range(windows)]])) == kept
 
 
 def test_harmonics_go_with_their_tone(spark):
@@ -127,3 +134,45 @@ def test_a_cut_that_lands_on_a_word(spark, tmp_path):
     levels = voice.narration(files, voice.speech_frames(cut))
     (row,) = hum.word_cuts(cut, tones, hum.pauses_of(cut, voice.bins(cut), levels)).collect()
     assert (row.cut_start, row.cut_end) == (False, True)
+
+
+def test_a_tone_that_pauses_carry_grows_outwards_from_its_track(spark):
+    pauses = [("f", RATE * a, RATE * (a + 1)) for a in (2, 6, 10, 14, 18, 40)]
+    heard = [("f", a, b, hz, db) for (_, a, b), hz, db in zip(pauses, (200.0, 200.4, 200.1, 199.8, 200.2, 200.0), (-50.0, -52.0, -51.0, -50.5, -70.0, -50.0))]
+    tones = [("f", 1, RATE, 200.0, 9.0, 12.0), ("f", 2, RATE, 500.0, 9.0, 12.0)]
+    spans = "file string, start long, stop long"
+    args = spark.createDataFrame(tones, "file string, track int, sample_rate int, hz double, start_s double, stop_s double"), spark.createDataFrame(heard, f"{spans}, hz double, line_db double"), spark.createDataFrame(pauses, spans)
+    (row,) = hum.carrying(*args).collect()
+    # the loud pause at 18 s ends it, so the one at 40 s isn't reached
+    assert (row.track, row.from_s, row.to_s, row.outside) == (1, 2.0, 15.0, True)
+    (row,) = hum.carrying(args[0], args[1].where("start <> %d" % (6 * RATE)), args[2]).collect()
+    assert (row.from_s, row.to_s) == (10.0, 15.0)
+
+
+@pytest.mark.parametrize("fade", [0.0, 1.2])
+def test_edges_between_pauses(spark, tmp_path, fade):
+    x = np.concatenate([room(1.0), phrase(4), room(1.0), phrase(4), room(1.0), phrase(4), room(1.0), phrase(4), room(1.0)])
+    word = len(phrase(4))
+    starts, ends = RATE + word // 2, len(x) - RATE - word // 2
+    y = x.copy()
+    held = tone((ends - starts) / RATE, 60.0, -45, fade=fade)
+    y[starts : starts + len(held)] += held
+    write(tmp_path / "a.wav", y)
+    files, cut = wav.files(spark, str(tmp_path)), wav.chunks(spark, str(tmp_path), 100_000, hum.MARGIN_S)
+    name = files.first().file
+    at = [0, RATE + word, 2 * RATE + 2 * word, 3 * RATE + 3 * word, len(x) - RATE]
+    pauses = spark.createDataFrame([(name, a, a + RATE) for a in at], "file string, start long, stop long")
+    asked = spark.createDataFrame([(name, "p", 60.0, -45.0, at[1] / RATE, (at[3] + RATE) / RATE, RATE)], "file string, hum string, hz double, full_db double, start_s double, stop_s double, sample_rate int")
+    rows = hum.pause_edges(cut, asked, pauses).collect()
+    if fade:
+        assert all(r.cut_start_s is None and r.cut_end_s is None for r in rows)
+    else:
+        (row,) = rows
+        assert abs(row.cut_start_s - starts / RATE) < 0.3 and abs(row.cut_end_s - ends / RATE) < 0.3
+
+
+def test_a_loud_tone_fills_gaps_at_its_level(spark):
+    table = spark.range(6000).selectExpr("'f' AS file", "44100 AS sample_rate", "id AS bin", "CASE WHEN id BETWEEN 2000 AND 2999 THEN 1e-4D ELSE 1e-2D END AS power")
+    tones = spark.createDataFrame([("f", 1, 44_100, 0.5, 5.5, -40.0, -18.0), ("f", 2, 44_100, 0.5, 5.5, -60.0, -18.0), ("f", 3, 44_100, 0.5, 5.5, -30.0, -18.0), ("f", 4, 44_100, 2.5, 5.5, -40.0, -18.0)], "file string, track int, sample_rate int, start_s double, stop_s double, level_db double, narration_db double")
+    got = {r.track: (r.start, r.stop) for r in hum.gaps_at_level(table, tones).collect()}
+    assert set(got) == {1, 4} and abs(got[1][0] / 44_100 - 2.0) < 0.06 and abs(got[1][1] / 44_100 - 3.0) < 0.06 and got[4][0] / 44_100 >= 2.5

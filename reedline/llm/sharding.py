@@ -6,18 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reedline.llm.common import fresh_path
+from reedline.llm.common import fresh_path, stored
 
 SLOTS = 4096
 SHARDS = 16
+#: Equal records that one task numbers at once.
+COPIES = 100_000
 
 
-def slot_of(key: str, slots: int = SLOTS, text: str = "text") -> Column:
-    """The virtual slot of a record, from its key and text; it never changes, whatever the number of shards.
+def slot_of(key: str, checksum: str, copy: str, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record, from its key, its text's checksum and which of its equal records it is; it never changes, whatever the number of shards.
 
-    The text counts too, so that rows without key, or a key with very many rows, don't fill one slot.
+    The text counts too, so that rows without key, or a key with very many rows, don't fill one slot; so does the copy (0 on), so that equal rows don't either.
     """
-    return F.pmod(F.xxhash64(F.col(key), F.crc32(F.encode(F.col(text), "UTF-8"))), F.lit(slots)).cast("int")
+    alone, again = F.xxhash64(key, checksum), F.xxhash64(key, checksum, copy)
+    return F.pmod(F.when(F.col(copy) == 0, alone).otherwise(again), F.lit(slots)).cast("int")
+
+
+def records_of(spark: SparkSession, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, size, text_crc32, copy) of every row. Equal records are counted where they lie, and only their number is shuffled; then each gets a copy number of its own.
+
+    A record with very many copies is numbered in blocks of COPIES, so no task makes more at once.
+    """
+    sized = docs.select(
+        F.col(key).alias("_key"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(F.encode(F.col(text), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32")
+    )
+    counted = stored(spark, sized.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("n")), "records")
+    zero = F.lit(0).cast("long")
+    few = counted.where(F.col("n") <= COPIES).select("_key", "size", "text_crc32", F.explode(F.sequence(zero, F.col("n") - 1)).alias("copy"))
+    blocks = counted.where(F.col("n") > COPIES).select("*", F.explode(F.sequence(zero, F.floor((F.col("n") - 1) / COPIES))).alias("block"))
+    first, last = F.col("block") * COPIES, F.least((F.col("block") + 1) * COPIES, "n") - 1
+    many = blocks.repartition("_key", "text_crc32", "block").select("_key", "size", "text_crc32", F.explode(F.sequence(first, last)).alias("copy"))
+    return few.unionByName(many)
 
 
 def slot_bytes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -104,19 +124,13 @@ def shard_documents(
     grown_shard (null under this law), vslot, map_version.
 
     A null text has size 1 and the checksum of no bytes, 0. Repeated rows each get a place of their
-    own. An empty table gives no rows. Other columns are not carried. One slot holds a part of 1/slots of the pairs of key and text, so no
-    key, copy, source or text makes it large; a slot moves whole, so sizes are as near equal as its largest members allow.
+    own. An empty table gives no rows. Other columns are not carried. Slots follow key, text and the number of the copy, so no
+    key, copy, source or text makes one large; a slot moves whole, so sizes are as near equal as its largest members allow.
     """
-    raw = F.encode(F.col(text), "UTF-8")
-    records = docs.select(
-        F.col(key),
-        (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        slot_of(key, slots, text).alias("vslot"),
-    )
+    records = records_of(spark, docs, key, text).withColumn("vslot", slot_of("_key", "text_crc32", "copy", slots))
     path = fresh_path(spark, "shard-slots")
     sizes_at, map_at = f"{path}/sizes", map_path or f"{path}/map"
-    slot_bytes(docs.select(slot_of(key, slots, text).alias("vslot"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size")), slots).coalesce(1).write.parquet(sizes_at)
+    slot_bytes(records, slots).coalesce(1).write.parquet(sizes_at)
     sizes = spark.read.parquet(sizes_at)
     if not _exists(spark, map_at):
         store_map(first_map(spark, slots, shards), map_at)
@@ -126,10 +140,10 @@ def shard_documents(
     placed = in_force.join(sizes, "vslot").select(
         "vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("offset"), "version"
     )
-    in_slot = W.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
+    in_slot = W.partitionBy("vslot").orderBy(F.col("_key").asc_nulls_first(), "text_crc32", "size", "copy")
     numbered = records.withColumn("nth", F.row_number().over(in_slot))
     rows = numbered.join(F.broadcast(placed), "vslot").select(  # one row a slot
-        key,
+        F.col("_key").alias(key),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -80,3 +80,19 @@ def test_a_key_with_a_third_of_the_rows_fills_no_slot(spark):
     for hot in (None, 7):
         got = sharding.shard_documents(spark, documents(spark, texts, ids=[hot if k % 3 == 0 else k for k in range(900)]), 4, 256)[0].toPandas()
         assert got.groupby("vslot").size().max() < 20
+
+
+@pytest.mark.parametrize("same", [(None, None), (5, "the very same text")])
+def test_equal_rows_are_dealt_like_others(spark, same, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 700)
+    texts = [prose(3, k % 7) + str(k) for k in range(4000)] + [same[1]] * 4000
+    got = sharding.shard_documents(spark, documents(spark, texts, ids=[*range(4000), *[same[0]] * 4000]))[0].toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == 8000 and len(loads) == 16 and loads.max() <= 1.01 * loads.min()
+    assert got.groupby("vslot").size().max() < 20 and not got.duplicated(["shard", "slot"]).any()
+
+
+def test_a_very_long_text(spark):
+    texts = ["x" * 3_000_000, prose(400_000, 1), *AWKWARD, *[prose(20, k) for k in range(50)]]
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.shard_documents(spark, documents(spark, texts))[0].collect()}
+    assert got == {k: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in enumerate(texts)}

@@ -17,8 +17,11 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Buckets of up to this many sets are compared by brute force; larger ones are split again.
 SMALL = 32
-MAX_DEPTH = 4
-#: A bucket that keeps this part of its parent holds sets alike enough for the exact check: it is not split again.
+#: Runs are as many as buckets of this depth need; sets that lie in deeper ones get more runs.
+BASE_DEPTH = 4
+#: Splits at most; a bucket shrinks by DENSE or is sorted out around a pivot, so that even 10^9 sets of one bucket need fewer.
+MOST_DEPTH = 60
+#: A bucket that keeps this part of its parent may hold sets alike enough for the exact check: they are told apart by a pivot.
 DENSE = 0.7
 #: Shared tokens are sampled through this many min-hash coordinates of a set.
 COORDINATES = 64
@@ -86,16 +89,17 @@ def _taken(coordinate) -> Column:
     return F.substring(F.col("sig"), coordinate * 4 + 1, F.lit(4))
 
 
-def _first_paths(runs: int, similarity: float) -> Column:
+def _first_paths(runs: range, similarity: float) -> Column:
     """The children of each run's root. The root is one for all sets, so its sampled coordinates are constants."""
     rng = np.random.default_rng(7)
     order = [int(c) for c in rng.permutation(COORDINATES)]
     paths, used = [], 0
-    for r in range(runs):
+    for r in range(runs.stop):
         for _ in range(1 + (rng.random() < 1 / similarity - 1)):
             c = order[used % COORDINATES]
             used += 1
-            paths.append(F.xxhash64(F.lit(r), F.lit(c), _taken(F.lit(c))))
+            if r in runs:
+                paths.append(F.xxhash64(F.lit(r), F.lit(c), _taken(F.lit(c))))
     return F.array(*paths)
 
 
@@ -110,7 +114,7 @@ def _next_paths(similarity: float) -> Column:
 
 def _leaf_links(similarity: float):
     """In small buckets, all members are compared by their sketches; a spanning forest of the likely links is kept."""
-    least = similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+    least = _least_sketch(similarity)
 
     def run(batches):
         for table in groups_in_order(batches, "path"):
@@ -143,28 +147,73 @@ def _leaf_links(similarity: float):
     return run
 
 
-def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Links (u, v) whose components hold every pair that shared a last bucket: chosen-path recursion, level by level.
+def _least_sketch(similarity: float) -> float:
+    """The part of equal sketch bytes that a pair of that similarity falls below with a chance of 3 in 10 million."""
+    return similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
+
+
+def _around_pivot(similarity: float):
+    """Members of dense buckets by their sketch's likeness to the pivot's: near ones may be linked to it, and those that are not surely so go on to be split."""
+    least = _least_sketch(similarity)
+
+    def run(batches):
+        for batch in batches:
+            mine, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+            like = (mine == other).mean(axis=1)
+            columns = [batch.column(c) for c in ("rep", "path", "held", "pivot")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= least), pa.array(like < similarity)], ["rep", "path", "held", "pivot", "near", "open"])
+
+    return run
 
-    Each run splits the sets on sampled coordinates; a bucket of at most SMALL sets ends there and is compared by brute force, one with
-    a single set is dropped, a larger one is split again by coordinates that its own path samples. A large bucket that kept most of its
-    parent, or is still large at MAX_DEPTH, holds sets that agree in their samples; its members are linked to the least, for the exact check.
+
+def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
+    """Some chosen-path runs over sets (rep, sig, sketch), level by level: links (u, v), the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
+
+    A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. Where a
+    bucket kept most of its parent, all members are held against one of them, the pivot: those near it by sketches are linked to it, and those not alike it are split again. A
+    set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
     """
-    rows = reps.select("rep", F.explode(_first_paths(runs_for(recall, similarity, MAX_DEPTH), similarity)).alias("path"), F.lit(None).cast("long").alias("above"))
-    links = None
-    for depth in range(1, MAX_DEPTH + 1):
-        held = rows.groupBy("path").agg(F.count("*").alias("held"), F.min("rep").alias("least")).where("held > 1")
+    rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"), F.lit(None).cast("long").alias("above"))
+    links = deep = None
+    for depth in range(1, MOST_DEPTH + 1):
+        pivot = F.min_by("rep", F.struct(F.xxhash64("rep", "path"), "rep")).alias("pivot")
+        held = rows.groupBy("path").agg(F.count("*").alias("held"), pivot).where("held > 1")
         shared = stored(spark, rows.join(held, "path"), f"paths-{depth}")
-        small = shared.where(F.col("held") <= SMALL).join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+        small = shared.where(F.col("held") <= SMALL).join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
         found = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
         links = found if links is None else links.unionByName(found)
         large = shared.where(F.col("held") > SMALL)
         if large.isEmpty():
             break
-        dense = F.coalesce(F.col("held") >= DENSE * F.col("above"), F.lit(False)) if depth < MAX_DEPTH else F.lit(True)
-        links = links.unionByName(large.where(dense).select(F.col("rep").alias("u"), F.col("least").alias("v")))
-        split = large.where(~dense).select("rep", "path", F.col("held").alias("above"))
-        rows = split.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"), "above")
+        if depth == BASE_DEPTH:
+            deep = large.select("rep").distinct()
+        if depth == MOST_DEPTH:  # the exact check tells them apart
+            links = links.unionByName(large.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+            break
+        dense = F.coalesce(F.col("held") >= DENSE * F.col("above"), F.lit(False))
+        split = large.where(~dense).select("rep", "path", "held")
+        packed = large.where(dense)
+        if not packed.isEmpty():
+            pivots = packed.select("path", F.col("pivot").alias("rep")).distinct().join(sets.select("rep", F.col("sketch").alias("pivot_sketch")), "rep").drop("rep")
+            both = packed.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "held", "pivot", "sketch", "pivot_sketch")
+            placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, held long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
+            links = links.unionByName(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+            split = split.unionByName(placed.where("open").select("rep", "path", "held"))
+        rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"), F.col("held").alias("above"))
+    return links, deep, depth
+
+
+def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """Links (u, v) whose components hold every pair that shared a last bucket of some run: chosen-path recursion (see _descend), as deep as buckets are large.
+
+    The runs that buckets of BASE_DEPTH need are made over all sets. A pair of similar sets whose bucket is still too large there shares it in some run (with the target's probability), so both are
+    among the sets that have come so far, and those sets alone go through the further runs that the depth reached calls for.
+    """
+    first = runs_for(recall, similarity, BASE_DEPTH)
+    links, deep, depth = _descend(spark, reps, similarity, range(first))
+    if deep is not None:
+        again = stored(spark, reps.join(deep, "rep", "left_semi").select("rep", "sig", "sketch"), "deep-sets")
+        links = links.unionByName(_descend(spark, again, similarity, range(first, max(first + 1, runs_for(recall, similarity, depth))))[0])
     return links.where("u <> v").distinct()
 
 

@@ -90,8 +90,8 @@ def _count(batches):
 def train(spark: SparkSession, labelled: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on labelled rows (doc_id, text, lang); only text and lang are learnt from.
 
-    Rows without text or lang are passed over. Beyond `sample_per_lang` documents of a language, those whose hashed id lies under that
-    language's share are taken: a bounded, repeatable sample. Counting runs in the tasks, sums in an aggregation;
+    Rows without text or lang are passed over. Beyond `sample_per_lang` documents of a language, those whose hashed id and text lie under that
+    language's share are taken: a bounded, repeatable sample (of rows without id, one that follows how the table is read). Counting runs in the tasks, sums in an aggregation;
     the driver gets languages x buckets numbers.
     """
     known = labelled.where("lang is not null and text is not null")
@@ -101,7 +101,9 @@ def train(spark: SparkSession, labelled: DataFrame, sample_per_lang: int = SAMPL
     langs = [r["lang"] for r in sizes]
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    # rows without id count by text and place, so that they aren't taken or passed over together
+    place = F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    place = F.pmod(place, F.lit(1_000_003)) / 1_000_003
     share = F.lit(1.0)
     for r in sizes:
         if r["count"] > sample_per_lang:

@@ -105,6 +105,44 @@ def test_recall_of_ten_thousand_links_at_the_threshold(spark):
     assert got.where("class_id <> doc_id - doc_id % 2 and n_links > 0").isEmpty()
 
 
+def deep_texts(pairs, others, shared=400, own=300):
+    """Documents that share most of their words, so that buckets stay large for levels: pairs of near copies (Jaccard 0.8 to 0.85), and others without a partner."""
+    block = [f"s{i}" for i in range(shared)]
+    out = []
+    for k in range(pairs + others):
+        words = block + [f"d{k}x{i}" for i in range(own)]
+        out.append(" ".join(words))
+        if k < pairs:
+            out.append(" ".join([*words[: len(words) - 100 - k % 15], *[f"e{k}x{i}" for i in range(30)]]))
+    return out
+
+
+def test_links_inside_deep_buckets(spark):
+    """Any two share 396 of about 1,100 shingles: no link, but a bucket of all."""
+    rows = deep_texts(300, 400)
+    got = jaccard_join.near_duplicates(spark, documents(spark, rows, parts=8))
+    found = {r.doc_id: (r.class_id, r.n_links) for r in got.collect()}
+    want = brute_pairs(300, 400)
+    hit = sum(found[i] == w for i, w in want.items())
+    assert hit >= 0.99 * len(rows) and all(found[i] in (w, (i, 0)) for i, w in want.items())
+
+
+def brute_pairs(pairs, others):
+    out = {i: (i - i % 2, 1) for i in range(2 * pairs)}
+    return out | {i: (i, 0) for i in range(2 * pairs, 2 * pairs + others)}
+
+
+def test_deep_buckets_give_no_large_groups(spark):
+    from reedline.llm.common import stored
+
+    rows = deep_texts(50, 900)
+    signed = jaccard_join.signatures(documents(spark, rows, parts=8))
+    sketch = jaccard_join.F.concat(*[jaccard_join.F.substring("sig", 4 * k + 1, 1) for k in range(jaccard_join.COORDINATES)])
+    reps = stored(spark, signed.select(jaccard_join.F.col("doc_id").alias("rep"), "sig", sketch.alias("sketch")), "sets")
+    groups = components(spark, jaccard_join.candidate_links(spark, reps, 0.8, 0.9999)).groupBy("root").count().toPandas()
+    assert 45 <= len(groups) and groups["count"].max() <= 20
+
+
 def test_runs_reach_the_target():
     assert jaccard_join.runs_for(0.9999, 0.8, 1) < jaccard_join.runs_for(0.9999, 0.8, 4) <= 16
 

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import AWKWARD, documents
+from helpers import AWKWARD, documents, prose
 
 from reedline.llm import language_id
 
@@ -87,3 +87,28 @@ def test_awkward_rows(spark):
     nothing = language_id.train(spark, docs.where("false"))
     assert set(language_id.identify(spark, docs, nothing, ["doc_id"]).toPandas().lang_pred) == {"und"}
     assert language_id.identify(spark, docs.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[None] * 3000, [5] * 3000, list(range(3000))])
+def test_the_sample_is_bounded_with_and_without_ids(spark, monkeypatch, ids):
+    real = language_id._count
+    docs = documents(spark, [prose(5, k) for k in range(3000)], ids=ids)
+    taken = docs.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                taken.add(batch.num_rows)
+                yield batch
+
+        yield from real(each())
+
+    monkeypatch.setattr(language_id, "_count", counted)
+    language_id.train(spark, docs, 100)
+    assert 50 <= taken.value <= 160
+
+
+def test_equal_rows_without_id_are_sampled_too(spark, monkeypatch):
+    docs = documents(spark, ["the very same text"] * 3000, ids=[None] * 3000)
+    model = language_id.train(spark, docs, 100)
+    assert model.langs == ["en"]

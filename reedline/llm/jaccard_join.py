@@ -19,10 +19,8 @@ TARGET_RECALL = 0.9999
 SMALL = 32
 #: Runs are as many as buckets of this depth need; sets that lie in deeper ones get more runs.
 BASE_DEPTH = 4
-#: Splits at most; a bucket shrinks by DENSE or is sorted out around a pivot, so that even 10^9 sets of one bucket need fewer.
+#: Splits at most. Sets far from a bucket's pivot agree on a coordinate less than six times in ten, so that even 10^9 sets of one bucket need fewer.
 MOST_DEPTH = 60
-#: A bucket that keeps this part of its parent may hold sets alike enough for the exact check: they are told apart by a pivot.
-DENSE = 0.7
 #: Shared tokens are sampled through this many min-hash coordinates of a set.
 COORDINATES = 64
 #: Sets, and shingles, that one verifying task compares within a block or between two.
@@ -153,15 +151,15 @@ def _least_sketch(similarity: float) -> float:
 
 
 def _around_pivot(similarity: float):
-    """Members of dense buckets by their sketch's likeness to the pivot's: near ones may be linked to it, and those that are not surely so go on to be split."""
+    """Members of large buckets by their sketch's likeness to the pivot's: near ones may be linked to it; those that aren't surely so are open."""
     least = _least_sketch(similarity)
 
     def run(batches):
         for batch in batches:
             mine, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
             like = (mine == other).mean(axis=1)
-            columns = [batch.column(c) for c in ("rep", "path", "held", "pivot")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= least), pa.array(like < similarity)], ["rep", "path", "held", "pivot", "near", "open"])
+            columns = [batch.column(c) for c in ("rep", "path", "pivot")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= least), pa.array(like < similarity)], ["rep", "path", "pivot", "near", "open"])
 
     return run
 
@@ -169,15 +167,16 @@ def _around_pivot(similarity: float):
 def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
     """Some chosen-path runs over sets (rep, sig, sketch), level by level: links (u, v), the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
 
-    A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. Where a
-    bucket kept most of its parent, all members are held against one of them, the pivot: those near it by sketches are linked to it, and those not alike it are split again. A
-    set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
+    A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. First all members of a
+    large bucket are held against one of them, the pivot: those near it by sketches are linked to it. Where none is far from it, they are one group for the exact check, and the bucket ends; else the far
+    ones are split again, and the near ones that aren't alike the pivot with them. A set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
     """
-    rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"), F.lit(None).cast("long").alias("above"))
+    rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"))
     links = deep = None
     for depth in range(1, MOST_DEPTH + 1):
-        pivot = F.min_by("rep", F.struct(F.xxhash64("rep", "path"), "rep")).alias("pivot")
-        held = rows.groupBy("path").agg(F.count("*").alias("held"), pivot).where("held > 1")
+        pick = F.min(F.col("rep").bitwiseXOR(F.col("path")))  # another order in each bucket
+        held = rows.groupBy("path").agg(F.count("*").alias("held"), pick.alias("pick")).where("held > 1")
+        held = held.select("path", "held", F.col("pick").bitwiseXOR(F.col("path")).alias("pivot"))
         shared = stored(spark, rows.join(held, "path"), f"paths-{depth}")
         small = shared.where(F.col("held") <= SMALL).join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
         found = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
@@ -185,21 +184,18 @@ def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: rang
         large = shared.where(F.col("held") > SMALL)
         if large.isEmpty():
             break
-        if depth == BASE_DEPTH:
-            deep = large.select("rep").distinct()
         if depth == MOST_DEPTH:  # the exact check tells them apart
             links = links.unionByName(large.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
             break
-        dense = F.coalesce(F.col("held") >= DENSE * F.col("above"), F.lit(False))
-        split = large.where(~dense).select("rep", "path", "held")
-        packed = large.where(dense)
-        if not packed.isEmpty():
-            pivots = packed.select("path", F.col("pivot").alias("rep")).distinct().join(sets.select("rep", F.col("sketch").alias("pivot_sketch")), "rep").drop("rep")
-            both = packed.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "held", "pivot", "sketch", "pivot_sketch")
-            placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, held long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
-            links = links.unionByName(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-            split = split.unionByName(placed.where("open").select("rep", "path", "held"))
-        rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"), F.col("held").alias("above"))
+        pivots = large.select("path", F.col("pivot").alias("rep")).distinct().join(sets.select("rep", F.col("sketch").alias("pivot_sketch")), "rep").drop("rep")
+        both = large.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "pivot", "sketch", "pivot_sketch")
+        placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
+        links = links.unionByName(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        mixed = placed.groupBy("path").agg(F.max((~F.col("near")).cast("int")).alias("far")).where("far = 1").select("path")
+        split = placed.where("open").join(mixed, "path", "left_semi").select("rep", "path")
+        if depth == BASE_DEPTH:
+            deep = split.select("rep").distinct()
+        rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"))
     return links, deep, depth
 
 
@@ -211,7 +207,7 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     """
     first = runs_for(recall, similarity, BASE_DEPTH)
     links, deep, depth = _descend(spark, reps, similarity, range(first))
-    if deep is not None:
+    if deep is not None and not deep.isEmpty():
         again = stored(spark, reps.join(deep, "rep", "left_semi").select("rep", "sig", "sketch"), "deep-sets")
         links = links.unionByName(_descend(spark, again, similarity, range(first, max(first + 1, runs_for(recall, similarity, depth))))[0])
     return links.where("u <> v").distinct()

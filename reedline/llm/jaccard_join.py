@@ -15,8 +15,8 @@ from reedline.llm.components import components
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
-#: Buckets of up to this many sets are compared by brute force; larger ones are split again.
-SMALL = 32
+#: Buckets of up to this many sets are compared by brute force, by sketches of 64 bytes; larger ones are split again.
+SMALL = 256
 #: Runs are as many as buckets of this depth need; sets that lie in deeper ones get more runs.
 BASE_DEPTH = 4
 #: Splits at most. Sets far from a bucket's pivot agree on a coordinate less than six times in ten, so that even 10^9 sets of one bucket need fewer.

@@ -48,3 +48,14 @@ def measures(values: Column) -> Column:
     """A map of texts as k=v; k=v, keys in order; empty and null values are left out."""
     shown = F.filter(F.map_entries(values), lambda e: e["value"] != "")
     return F.array_join(F.transform(F.array_sort(shown), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
+
+
+def csv_line(cells: Column) -> Column:
+    """A line of CSV of an array of texts (null: empty), quoted where it must be, with its ending."""
+    shown = F.transform(cells, lambda c: F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))))
+    return F.concat(F.array_join(shown, ","), F.lit("\r\n"))
+
+
+def dbfs(level: Column) -> Column:
+    """A level with a true minus, which no spreadsheet takes for a formula; n/a where there is none."""
+    return F.when(level.isNotNull(), F.concat(F.replace(F.format_string("%.1f", level), F.lit("-"), F.lit("\u2212")), F.lit(" dBFS"))).otherwise("n/a")

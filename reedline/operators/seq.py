@@ -135,6 +135,12 @@ def sliding(df: DataFrame, keys: list[str], order: str, how, before: int, after:
     return parts.withColumn(name, how.over(within([*keys, "_chunk"], order).rowsBetween(before, after))).where("_own").drop("_chunk", "_own")
 
 
+def sliding_range(df: DataFrame, keys: list[str], order: str, how, before: int, after: int, name: str, width: int) -> DataFrame:
+    """An aggregate over the rows whose order lies `before` below to `after` above the row's, in stretches of so much (at least before and after)."""
+    parts = chunked(df, order, width, max(0, before, -after), max(0, before, after))
+    return parts.withColumn(name, how.over(within([*keys, "_chunk"], order).rangeBetween(-before, after))).where("_own").drop("_chunk", "_own")
+
+
 def edge_mean(df: DataFrame, keys: list[str], order: str, value: str, before: int, after: int, name: str) -> DataFrame:
     """Sliding mean over rows before..after with edge values repeated outside."""
     w = within(keys, order)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reedline.operators import kernels, seq
+from reedline.operators import kernels, quantiles, seq
+from reedline.sources.shared import stored
 
 #: Fixed values of activity: sound lies so far under the narration (dB), or over the floor; bins of the envelope; shorter sounds are clicks (bins); least pause (s);
 #: black below (dB); with this share of black there is no floor; the threshold stays so far under the narration.
@@ -84,7 +85,8 @@ def speech(frames: DataFrame) -> DataFrame:
 
 def narration(files: DataFrame, frames: DataFrame) -> DataFrame:
     """file, narration_db of every file: the median level of its speech, null where there is none."""
-    levels = speech(frames).groupBy("file").agg(F.percentile("level_db", F.lit(0.5)).alias("narration_db"))
+    voiced = stored(speech(frames).select("file", "level_db"), "speech")  # read once a round
+    levels = quantiles.percentiles(voiced, ["file"], "level_db", {"narration_db": 0.5})
     return files.select("file").distinct().join(levels, "file", "left")
 
 
@@ -123,10 +125,11 @@ def activity(files: DataFrame, table: DataFrame, levels: DataFrame, breaths: Dat
     """
     a = ACTIVITY
     env = seq.envelope(table, ["file"], "bin", F.col("power"), a["envelope"], chunk=STRETCH)
-    env = env.withColumn("db", 10 * F.log10(F.greatest(F.coalesce("env", F.lit(0.0)), F.lit(kernels.FLOOR))))
+    env = stored(env.withColumn("db", 10 * F.log10(F.greatest(F.coalesce("env", F.lit(0.0)), F.lit(kernels.FLOOR)))), "envelope")
     audible = F.when(F.col("db") > a["black_db"], F.col("db"))
-    share = F.count(audible) > (1 - a["black_share"]) * F.count("*")
-    floors = env.groupBy("file").agg(F.when(share, F.percentile(audible, F.lit(0.1))).alias("floor_db"))
+    shares = env.groupBy("file").agg((F.count(audible) > (1 - a["black_share"]) * F.count("*")).alias("enough"))
+    lows = quantiles.percentiles(env.select("file", audible.alias("db")), ["file"], "db", {"low": 0.1})
+    floors = shares.join(lows, "file").select("file", F.when(F.col("enough"), F.col("low")).alias("floor_db"))
     limits = floors.join(levels, "file", "left")
     over = F.greatest(F.col("floor_db") + a["above_floor"], F.col("narration_db") - a["below_narration"])
     limits = limits.select("file", "floor_db", F.least(F.coalesce(over, F.lit(a["black_db"])), F.col("narration_db") - a["under_narration"]).alias("threshold_db"))

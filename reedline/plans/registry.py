@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.operators.seq import micros, within
+from reedline.operators import seq
+from reedline.operators.seq import micros
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+#: A stretch of one user's time, and of one user's rows, that a task looks at: what comes before it is carried in as one row.
+SPAN = 30 * DAY
+ROWS = 1 << 16
 
 #: The signal that the event table is read as: one sequence a user, in time order; errors are digital zeros, 60 or more is sound.
 EV = """ev AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t_us, CAST(round(value * 100) AS BIGINT) AS c, value / 500.0 AS a,
@@ -32,8 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.select(
+    events = table(spark, sf_dir, "events").select(
         "user_id",
         "event_id",
         "event_type",
@@ -41,8 +44,13 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         micros("ts").alias("t_us"),
         F.round(F.col("value") * 100).cast("long").alias("c"),
         (F.col("value") / 500.0).alias("a"),
-        F.row_number().over(within(["user_id"], ["ts", "event_id"])).cast("long").alias("i"),
     )
+    return seq.numbered(events, ["user_id"], ["t_us", "event_id"], F.floor(F.col("t_us") / SPAN))
+
+
+def rows_of(order: str = "i"):
+    """The stretch of rows that a number lies in."""
+    return F.floor(F.col(order) / ROWS)
 
 
 def runs_sql(name: str, mask: str, source: str = "ev") -> str:

@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reedline.functions.grade import amplitude_decibels, decibels
-from reedline.operators import joins, seq
+from reedline.operators import joins, quantiles, seq
 from reedline.operators.seq import within
-from reedline.plans.registry import DAY, EV, HOUR, query, runs_sql, signal, table
+from reedline.plans.registry import DAY, EV, HOUR, ROWS, SPAN, query, rows_of, runs_sql, signal, table
 from reedline.plans.sequence import silence, sound, zero
 
 U = ["user_id"]
@@ -38,14 +38,14 @@ def _matched():
 @query(asof_sql(""))
 def join_asof_backward(spark, sf_dir):
     s = signal(spark, sf_dir)
-    return joins.asof_backward(kind(s, "click").select("user_id", "i", "t_us"), kind(s, "purchase"), U, "t_us", ["i"]).select("user_id", "i", *_matched())
+    return joins.asof_backward(kind(s, "click").select("user_id", "i", "t_us"), kind(s, "purchase"), U, "t_us", ["i"], width=SPAN).select("user_id", "i", *_matched())
 
 
 @query(f"""SELECT user_id, i, CASE WHEN t_us - match_t_us <= {DAY} THEN match_t_us ELSE -1 END AS match_t_us, CASE WHEN t_us - match_t_us <= {DAY} THEN match_i ELSE -1 END AS match_i
 FROM ({asof_sql("").replace("SELECT c.user_id, c.i,", "SELECT c.user_id, c.i, c.t_us,")})""")
 def join_asof_tolerance(spark, sf_dir):
     s = signal(spark, sf_dir)
-    return joins.asof_backward(kind(s, "click").select("user_id", "i", "t_us"), kind(s, "purchase"), U, "t_us", ["i"], DAY).select("user_id", "i", *_matched())
+    return joins.asof_backward(kind(s, "click").select("user_id", "i", "t_us"), kind(s, "purchase"), U, "t_us", ["i"], DAY, SPAN).select("user_id", "i", *_matched())
 
 
 @query(f"""WITH {EV} SELECT user_id, i FROM ev v WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.user_id = v.user_id AND e.event_type = 'error' AND abs(e.t_us - v.t_us) <= {2 * HOUR})""")
@@ -62,7 +62,7 @@ def _overlap_sql(word: str) -> str:
 def _overlap(spark, sf_dir, how):
     s = signal(spark, sf_dir)
     a, b = F.col("from_us"), F.col("to_us")
-    return joins.with_overlap(timed(s, sound()), timed(s, zero()), U, a - HOUR, b + HOUR, a, b, how).select("user_id", "start", "stop")
+    return joins.with_overlap(timed(s, sound()), timed(s, zero()), U, a - HOUR, b + HOUR, a, b, how, SPAN).select("user_id", "start", "stop")
 
 
 @query(_overlap_sql("NOT"))
@@ -86,8 +86,8 @@ def join_self_twin(spark, sf_dir):
 @query(f"""WITH {EV}, p AS (SELECT user_id, i, t_us, lag(t_us) OVER w AS b, lead(t_us) OVER w AS n FROM ev WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT user_id, i, CASE WHEN t_us - b <= {2 * DAY} THEN t_us - b ELSE -1 END AS since_us, CASE WHEN n - t_us <= {2 * DAY} THEN n - t_us ELSE -1 END AS until_us FROM p""")
 def join_next_prev(spark, sf_dir):
-    w = within(U, "i")
-    p = kind(signal(spark, sf_dir), "purchase").select("user_id", "i", (F.col("t_us") - F.lag("t_us").over(w)).alias("b"), (F.lead("t_us").over(w) - F.col("t_us")).alias("n"))
+    p = seq.scan(kind(signal(spark, sf_dir), "purchase"), U, ["i"], rows_of(), back=("previous", F.col("t_us")), ahead=("next", F.col("t_us")))
+    p = p.select("user_id", "i", (F.col("t_us") - F.col("back")).alias("b"), (F.col("ahead") - F.col("t_us")).alias("n"))
     return p.select("user_id", "i", F.when(F.col("b") <= 2 * DAY, F.col("b")).otherwise(-1).alias("since_us"), F.when(F.col("n") <= 2 * DAY, F.col("n")).otherwise(-1).alias("until_us"))
 
 
@@ -103,7 +103,7 @@ def join_range_2d(spark, sf_dir):
 @query(f"""WITH {EV} SELECT user_id, i, event_type FROM ev e WHERE event_type NOT IN ('view', 'click') OR NOT EXISTS
  (SELECT 1 FROM ev b WHERE b.user_id = e.user_id AND b.value > 320 AND abs(b.i - e.i) <= 2)""")
 def join_anti_conditional(spark, sf_dir):
-    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -2, 2, "top")
+    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -2, 2, "top", ROWS)
     return s.where(~F.col("event_type").isin("view", "click") | (F.col("top") <= 320)).select("user_id", "i", "event_type")
 
 
@@ -112,7 +112,7 @@ def join_anti_conditional(spark, sf_dir):
 def join_anti_asymmetric(spark, sf_dir):
     s = signal(spark, sf_dir)
     a, b = F.col("from_us"), F.col("to_us")
-    return joins.with_overlap(timed(s, zero()), timed(s, sound()), U, a - 6 * HOUR, a + HOUR, a, b, "anti").select("user_id", "start", "stop")
+    return joins.with_overlap(timed(s, zero()), timed(s, sound()), U, a - 6 * HOUR, a + HOUR, a, b, "anti", SPAN).select("user_id", "start", "stop")
 
 
 @query(f"WITH {EV}, {_SOUND} SELECT r.user_id, r.start, count(e.i) AS clicks, greatest(count(e.i), 1) AS inspected FROM r LEFT JOIN ev e ON e.user_id = r.user_id AND e.i >= r.start AND e.i < r.stop AND e.event_type = 'click' GROUP BY 1, 2")
@@ -123,8 +123,7 @@ def join_range_count(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT user_id, i FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN {DAY} PRECEDING AND {DAY} FOLLOWING) AS top FROM ev) WHERE top < 10 * value")
 def join_self_mask(spark, sf_dir):
-    near = W.partitionBy("user_id").orderBy("t_us").rangeBetween(-DAY, DAY)
-    return signal(spark, sf_dir).withColumn("top", F.max("value").over(near)).where("top < 10 * value").select("user_id", "i")
+    return seq.sliding_range(signal(spark, sf_dir), U, "t_us", F.max("value"), DAY, DAY, "top", SPAN).where("top < 10 * value").select("user_id", "i")
 
 
 @query(f"WITH {EV} SELECT user_id, i, CASE WHEN value >= 200 THEN 3 WHEN value >= 80 THEN 2 ELSE 1 END AS severity FROM ev")
@@ -160,8 +159,8 @@ def grade_level_scale(spark, sf_dir):
 SELECT user_id, i, CASE WHEN silence >= 5 AND {_DB} >= -20 THEN 3 WHEN silence >= 2 AND {_DB} >= -30 THEN 2 ELSE 0 END AS click, CASE WHEN {_DB} >= -10 AND step THEN 3 WHEN step OR {_DB} >= -6 THEN 2 ELSE 1 END AS hum FROM s""")
 def grade_two_key(spark, sf_dir):
     s = silence(signal(spark, sf_dir)).withColumn("db", amplitude_decibels(F.col("a")))
-    step = F.abs(F.coalesce(F.col("value") - F.lag("value").over(within(U, "i")), F.lit(0.0))) >= 100
-    s = s.withColumn("step", step)
+    s = seq.scan(s, U, ["i"], rows_of(), before=("previous", F.col("value")))
+    s = s.withColumn("step", F.abs(F.coalesce(F.col("value") - F.col("before"), F.lit(0.0))) >= 100)
     quiet, db, step = F.col("silence"), F.col("db"), F.col("step")
     click = F.when((quiet >= 5) & (db >= -20), 3).when((quiet >= 2) & (db >= -30), 2).otherwise(0)
     return s.select("user_id", "i", click.cast("long").alias("click"), F.when((db >= -10) & step, 3).when(step | (db >= -6), 2).otherwise(1).cast("long").alias("hum"))
@@ -182,9 +181,9 @@ def filter_min_sev(spark, sf_dir):
 @query(f"""WITH {EV}, g AS (SELECT user_id, i, coalesce(t_us - lag(t_us) OVER w, -1) AS gap_us, CASE WHEN lag(t_us) OVER w IS NULL THEN 'head' WHEN lead(t_us) OVER w IS NULL THEN 'tail' ELSE 'inner' END AS place FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY i))
 SELECT * FROM g WHERE place <> 'inner' OR gap_us >= {12 * HOUR}""")
 def filter_listed(spark, sf_dir):
-    w = within(U, "i")
-    back, ahead = F.lag("t_us").over(w), F.lead("t_us").over(w)
-    g = signal(spark, sf_dir).select("user_id", "i", F.coalesce(F.col("t_us") - back, F.lit(-1)).alias("gap_us"), F.when(back.isNull(), "head").when(ahead.isNull(), "tail").otherwise("inner").alias("place"))
+    s = seq.scan(signal(spark, sf_dir), U, ["i"], rows_of(), back=("previous", F.col("t_us")), ahead=("next", F.col("t_us")))
+    back, ahead = F.col("back"), F.col("ahead")
+    g = s.select("user_id", "i", F.coalesce(F.col("t_us") - back, F.lit(-1)).alias("gap_us"), F.when(back.isNull(), "head").when(ahead.isNull(), "tail").otherwise("inner").alias("place"))
     return g.where((F.col("place") != "inner") | (F.col("gap_us") >= 12 * HOUR))
 
 
@@ -211,7 +210,8 @@ def agg_quorum(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT event_type, {', '.join(f'round(quantile_cont(value, {p / 100}), 6) AS p{p}' for p in (10, 50, 90))} FROM ev GROUP BY 1")
 def agg_percentiles(spark, sf_dir):
-    return signal(spark, sf_dir).groupBy("event_type").agg(*[F.round(F.percentile("value", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)])
+    found = quantiles.percentiles(signal(spark, sf_dir), ["event_type"], "value", {f"p{p}": p / 100 for p in (10, 50, 90)})
+    return found.select("event_type", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (10, 50, 90)])
 
 
 @query(f"""WITH {EV} SELECT user_id, min(value) AS low, max(value) AS high, coalesce(min(i) FILTER (WHERE value >= 200), -1) AS first_hit, coalesce(max(i) FILTER (WHERE value >= 200), -1) AS last_hit, max({_SEV}) AS worst, arg_max(i, (value, -i)) AS top_i FROM ev GROUP BY 1""")

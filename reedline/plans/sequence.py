@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reedline.functions.grade import pause_guess
-from reedline.operators import seq
+from reedline.operators import quantiles, seq
 from reedline.operators.seq import within
-from reedline.plans.registry import DAY, EV, HOUR, merge_sql, query, runs_sql, signal
+from reedline.plans.registry import DAY, EV, HOUR, ROWS, SPAN, merge_sql, query, rows_of, runs_sql, signal
 
 U = ["user_id"]
 def sound():
@@ -28,7 +28,7 @@ _GAPS = f"{EV}, g AS (SELECT user_id, i, t_us, t_us - lag(t_us) OVER (PARTITION
 
 def gaps(spark, sf_dir):
     s = signal(spark, sf_dir)
-    return s.withColumn("gap_us", F.col("t_us") - F.lag("t_us").over(within(U, "i"))).where("gap_us is not null")
+    return seq.scan(s, U, ["i"], rows_of(), before=("previous", F.col("t_us"))).withColumn("gap_us", F.col("t_us") - F.col("before")).where("gap_us is not null")
 
 
 @query(f"WITH {_GAPS} SELECT {_GUESS} AS guess, count(*) AS pauses FROM g WHERE gap_us IS NOT NULL GROUP BY 1")
@@ -41,8 +41,8 @@ SELECT user_id, i, t_us - gap_us AS start_us, gap_us, CASE WHEN guess = 'section
  (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'heading' ELSE guess END AS guess FROM h""")
 def seq_pause_rows(spark, sf_dir):
     found = gaps(spark, sf_dir).withColumn("guess", pause_guess(F.col("gap_us")))
-    before = F.max((F.col("guess") == "section").cast("int")).over(within(U, "i").rowsBetween(W.unboundedPreceding, -1))
-    heading = (F.col("guess") == "section") & (F.coalesce(before, F.lit(0)) == 0)
+    found = seq.scan(found, U, ["i"], rows_of(), sections=("sum", (F.col("guess") == "section").cast("long")))
+    heading = (F.col("guess") == "section") & (F.col("sections") == 1)
     return found.select("user_id", "i", (F.col("t_us") - F.col("gap_us")).alias("start_us"), "gap_us", F.when(heading, "heading").otherwise(F.col("guess")).alias("guess"))
 
 
@@ -64,22 +64,22 @@ def seq_head_tail(spark, sf_dir):
 
 @query(f"WITH {EV}, {runs_sql('r', 'value >= 60')} SELECT * FROM r")
 def seq_runs(spark, sf_dir):
-    return seq.runs(signal(spark, sf_dir), U, "i", sound())
+    return seq.runs(signal(spark, sf_dir), U, "i", sound(), chunk=ROWS)
 
 
 @query(f"WITH {EV}, {runs_sql('r', chr(39).join(['event_type = ', 'error', '']))} SELECT * FROM r")
 def seq_zero_runs(spark, sf_dir):
-    return seq.runs(signal(spark, sf_dir), U, "i", zero())
+    return seq.runs(signal(spark, sf_dir), U, "i", zero(), chunk=ROWS)
 
 
 @query(f"WITH {EV}, {runs_sql('r', 'value >= 60')}, {merge_sql('m', 'r', 2, 3)} SELECT * FROM m")
 def seq_merge_runs(spark, sf_dir):
-    return seq.merge_runs(seq.runs(signal(spark, sf_dir), U, "i", sound()), U, 2, 3).select(*RUN)
+    return seq.merge_runs(seq.runs(signal(spark, sf_dir), U, "i", sound(), chunk=ROWS), U, 2, 3, ROWS).select(*RUN)
 
 
 @query(f"WITH {EV}, {runs_sql('r', 'value >= 60')}, {merge_sql('m', '(SELECT * FROM r WHERE length > 1)', 0, 1)} SELECT * FROM m")
 def seq_erode_runs(spark, sf_dir):
-    return seq.merge_runs(seq.runs(signal(spark, sf_dir), U, "i", sound()).where("length > 1"), U, 0).select(*RUN)
+    return seq.merge_runs(seq.runs(signal(spark, sf_dir), U, "i", sound(), chunk=ROWS).where("length > 1"), U, 0, width=ROWS).select(*RUN)
 
 
 _ERR = runs_sql("z", "event_type = 'error'")
@@ -97,7 +97,7 @@ def seq_dropouts(spark, sf_dir):
 
 @query(f"WITH {EV}, {_ERR} SELECT user_id, start, length FROM z WHERE length >= 2 AND start > 1")
 def seq_clip_ends(spark, sf_dir):
-    return seq.runs(signal(spark, sf_dir), U, "i", zero()).where("length >= 2 and start > 1").select("user_id", "start", "length")
+    return seq.runs(signal(spark, sf_dir), U, "i", zero(), chunk=ROWS).where("length >= 2 and start > 1").select("user_id", "start", "length")
 
 
 @query(f"WITH {EV} SELECT user_id, CAST(floor(t_us / {DAY}.0) AS BIGINT) AS day, CAST(sum(c * c) AS BIGINT) AS energy FROM ev GROUP BY 1, 2")
@@ -111,7 +111,7 @@ _ENV = """e AS (SELECT *, last_value(w IGNORE NULLS) OVER (PARTITION BY user_id
 
 @query(f"WITH {EV}, {_ENV} SELECT user_id, i, round(env, 6) AS env FROM e")
 def seq_envelope(spark, sf_dir):
-    return seq.envelope(signal(spark, sf_dir), U, "i", F.col("value") * F.col("value"), 5).select("user_id", "i", F.round("env", 6).alias("env"))
+    return seq.envelope(signal(spark, sf_dir), U, "i", F.col("value") * F.col("value"), 5, chunk=ROWS).select("user_id", "i", F.round("env", 6).alias("env"))
 
 
 @query(f"WITH {EV} SELECT user_id, i, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM ev) WHERE value = top AND value >= 150")
@@ -120,15 +120,15 @@ def seq_peaks(spark, sf_dir):
 
 
 def peaks(s):
-    return seq.sliding(s, U, "i", F.max("value"), -5, 5, "top").where("value = top and value >= 150")
+    return seq.sliding(s, U, "i", F.max("value"), -5, 5, "top", ROWS).where("value = top and value >= 150")
 
 
 @query(f"""WITH {EV} SELECT user_id, i, round(value - greatest(coalesce(l, r), coalesce(r, l)), 6) AS rise FROM (SELECT *,
  max(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING) AS l,
  max(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 3 FOLLOWING AND 8 FOLLOWING) AS r FROM ev)""")
 def seq_rise_guard(spark, sf_dir):
-    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -8, -3, "l")
-    s = seq.sliding(s, U, "i", F.max("value"), 3, 8, "r")
+    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -8, -3, "l", ROWS)
+    s = seq.sliding(s, U, "i", F.max("value"), 3, 8, "r", ROWS)
     return s.select("user_id", "i", F.round(F.col("value") - F.greatest("l", "r"), 6).alias("rise"))
 
 
@@ -146,7 +146,7 @@ def seq_smooth3_edge(spark, sf_dir):
  WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), f AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING))
 SELECT user_id, i, round(least(low * 1.5, (s + greatest(0, 12 - (i - 1)) * v1 + greatest(0, 11 - (n - i)) * vn) / 24), 6) AS floor FROM x""")
 def seq_min_floor(spark, sf_dir):
-    s = seq.sliding(signal(spark, sf_dir), U, "i", F.min("value"), -12, 11, "low")
+    s = seq.sliding(signal(spark, sf_dir), U, "i", F.min("value"), -12, 11, "low", ROWS)
     s = seq.edge_mean(s, U, "i", "value", -12, 11, "mean")
     return s.select("user_id", "i", F.round(F.least(F.col("low") * 1.5, "mean"), 6).alias("floor"))
 
@@ -156,7 +156,7 @@ _THR = """p AS (SELECT user_id, quantile_cont(value, 0.1) AS p10, quantile_cont(
 
 
 def threshold(s):
-    cut = s.groupBy("user_id").agg(F.percentile("value", 0.1).alias("p10"), F.percentile("value", 0.9).alias("p90"))
+    cut = quantiles.percentiles(s, U, "value", {"p10": 0.1, "p90": 0.9})
     return cut.select("user_id", "p10", F.least(F.greatest(F.col("p10") + 8, F.col("p90") - 45), F.col("p90") - 10).alias("threshold"))
 
 
@@ -172,9 +172,12 @@ def seq_percentile_threshold(spark, sf_dir):
  WINDOW f AS (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN {DAY} PRECEDING AND {DAY} FOLLOWING))
 SELECT user_id, i, round(CASE WHEN n >= 3 THEN near ELSE whole END, 6) AS level FROM m""")
 def seq_local_median(spark, sf_dir):
-    near = W.partitionBy("user_id").orderBy("t_us").rangeBetween(-DAY, DAY)
-    s = signal(spark, sf_dir).withColumn("near", F.percentile("value", 0.5).over(near)).withColumn("n", F.count("*").over(near))
-    s = s.withColumn("whole", F.percentile("value", 0.5).over(W.partitionBy("user_id")))
+    s = signal(spark, sf_dir).select("user_id", "i", "t_us", "value")
+    whole = quantiles.percentiles(s, U, "value", {"whole": 0.5})
+    s = seq.sliding_range(s, U, "t_us", F.collect_list("value"), DAY, DAY, "values", SPAN).withColumn("values", F.sort_array("values"))  # of two days
+    n = F.size("values")
+    near = (F.element_at("values", F.floor((n + 1) / 2).cast("int")) + F.element_at("values", F.ceil((n + 1) / 2).cast("int"))) / 2
+    s = s.select("user_id", "i", n.alias("n"), near.alias("near")).join(whole, "user_id")
     return s.select("user_id", "i", F.round(F.when(F.col("n") >= 3, F.col("near")).otherwise(F.col("whole")), 6).alias("level"))
 
 
@@ -191,15 +194,16 @@ def seq_silence_before(spark, sf_dir):
 
 
 def silence(s):
-    last = F.max(F.when(sound(), F.col("i"))).over(within(U, "i").rowsBetween(W.unboundedPreceding, -1))
-    return s.withColumn("silence", F.least(F.lit(20), F.coalesce(F.col("i") - last, F.lit(20))).cast("long"))
+    s = seq.scan(s, U, ["i"], rows_of(), heard=("max", F.when(sound(), F.col("i"))))
+    s = seq.scan(s, U, ["i"], rows_of(), last=("previous", F.col("heard")))
+    return s.withColumn("silence", F.least(F.lit(20), F.coalesce(F.col("i") - F.col("last"), F.lit(20))).cast("long"))
 
 
 @query(f"""WITH {EV} SELECT p.user_id, p.i, count(c.i) AS confirmed FROM ev p LEFT JOIN ev c ON c.user_id = p.user_id AND c.event_type = 'click'
  AND c.t_us > p.t_us AND c.t_us <= p.t_us + {HOUR} WHERE p.event_type = 'purchase' GROUP BY 1, 2""")
 def seq_confirmed(spark, sf_dir):
-    ahead = W.partitionBy("user_id").orderBy("t_us").rangeBetween(1, HOUR)
-    s = signal(spark, sf_dir).withColumn("confirmed", F.coalesce(F.sum((F.col("event_type") == "click").cast("long")).over(ahead), F.lit(0)).cast("long"))
+    s = seq.sliding_range(signal(spark, sf_dir), U, "t_us", F.sum((F.col("event_type") == "click").cast("long")), -1, HOUR, "clicks", SPAN)
+    s = s.withColumn("confirmed", F.coalesce("clicks", F.lit(0)).cast("long"))
     return s.where("event_type = 'purchase'").select("user_id", "i", "confirmed")
 
 
@@ -207,7 +211,7 @@ def seq_confirmed(spark, sf_dir):
 SELECT user_id, min(i) AS start, count(*) AS length, max(value) AS top, arg_max(i, (value, -i)) AS top_i FROM g GROUP BY user_id, island""")
 def seq_burst_argmax(spark, sf_dir):
     s = signal(spark, sf_dir)
-    s = seq.islands(s, U, "i", F.col("t_us") - F.lag("t_us").over(within(U, "i")) > 6 * HOUR)
+    s = seq.islands_after(s, U, ["i"], rows_of(), F.col("t_us"), lambda before: F.col("t_us") - before > 6 * HOUR)
     return s.groupBy("user_id", "island").agg(
         F.min("i").alias("start"), F.count("*").alias("length"), F.max("value").alias("top"), F.max_by("i", F.struct("value", -F.col("i"))).alias("top_i")
     ).drop("island")
@@ -218,8 +222,7 @@ def seq_burst_argmax(spark, sf_dir):
 SELECT user_id, least(k, 5) AS stretch, min(i) AS start, max(i) AS last, count(*) AS samples FROM g GROUP BY 1, 2""")
 def seq_invalid_stretches(spark, sf_dir):
     s = signal(spark, sf_dir).where("value > 320")
-    back = F.lag("i").over(within(U, "i"))
-    s = seq.islands(s, U, "i", back.isNull() | (F.col("i") - back > 20))
+    s = seq.islands_after(s, U, ["i"], rows_of(), F.col("i"), lambda before: before.isNull() | (F.col("i") - before > 20))
     return s.groupBy("user_id", F.least("island", F.lit(5)).cast("long").alias("stretch")).agg(F.min("i").alias("start"), F.max("i").alias("last"), F.count("*").alias("samples"))
 
 
@@ -231,7 +234,7 @@ def seq_block_db(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT user_id, i FROM (SELECT *, max(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM ev) WHERE x = 0")
 def seq_mask_spans(spark, sf_dir):
-    return seq.sliding(signal(spark, sf_dir), U, "i", F.max(zero().cast("int")), -1, 1, "x").where("x = 0").select("user_id", "i")
+    return seq.sliding(signal(spark, sf_dir), U, "i", F.max(zero().cast("int")), -1, 1, "x", ROWS).where("x = 0").select("user_id", "i")
 
 
 @query(f"""WITH {EV}, {_ENV}, {runs_sql('q', 'env <= 2500', 'e')}, n AS (SELECT user_id, max(i) AS n FROM ev GROUP BY 1)
@@ -251,11 +254,11 @@ SELECT user_id, i, value, r - l AS width, round(word, 6) AS word FROM x WHERE va
 def seq_pop_rule(spark, sf_dir):
     s = signal(spark, sf_dir)
     s = s.withColumn("high", F.abs(F.col("value") - F.lag("value").over(within(U, "i"))))
-    s = seq.sliding(s, U, "i", F.max("value"), -5, 5, "top")
+    s = seq.sliding(s, U, "i", F.max("value"), -5, 5, "top", ROWS)
     low = F.when(F.col("value") < 0.3 * F.col("top"), F.col("i"))
-    s = seq.sliding(s, U, "i", F.max(low), -4, -1, "l")
-    s = seq.sliding(s, U, "i", F.min(low), 1, 4, "r")
-    s = seq.sliding(s, U, "i", F.max("high"), 2, 6, "word")
+    s = seq.sliding(s, U, "i", F.max(low), -4, -1, "l", ROWS)
+    s = seq.sliding(s, U, "i", F.min(low), 1, 4, "r", ROWS)
+    s = seq.sliding(s, U, "i", F.max("high"), 2, 6, "word", ROWS)
     found = s.where("value = top and value >= 150 and l is not null and r is not null and word >= 20")
     return found.select("user_id", "i", "value", (F.col("r") - F.col("l")).alias("width"), F.round("word", 6).alias("word"))
 
@@ -265,8 +268,8 @@ def seq_pop_rule(spark, sf_dir):
  greatest(coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY i), 0), coalesce(lead(value) OVER (PARTITION BY user_id ORDER BY i), 0)) AS side FROM ev)
  WHERE value >= 3 * greatest(coalesce(l, r), coalesce(r, l)) AND side < value / 2""")
 def seq_isolated_spike(spark, sf_dir):
-    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -6, -2, "l")
-    s = seq.sliding(s, U, "i", F.max("value"), 2, 6, "r")
+    s = seq.sliding(signal(spark, sf_dir), U, "i", F.max("value"), -6, -2, "l", ROWS)
+    s = seq.sliding(s, U, "i", F.max("value"), 2, 6, "r", ROWS)
     w = within(U, "i")
     side = F.greatest(F.coalesce(F.lag("value").over(w), F.lit(0.0)), F.coalesce(F.lead("value").over(w), F.lit(0.0)))
     s = s.withColumn("side", side)
@@ -277,8 +280,8 @@ def seq_isolated_spike(spark, sf_dir):
 SELECT m.user_id, m.start, m.stop, min(z.start) AS hole FROM m JOIN z ON z.user_id = m.user_id AND z.start - m.stop BETWEEN 0 AND 2 GROUP BY 1, 2, 3""")
 def seq_merge_dips(spark, sf_dir):
     s = signal(spark, sf_dir)
-    m = seq.merge_runs(seq.runs(s, U, "i", sound()), U, 1)
-    z = seq.runs(s, U, "i", zero()).select("user_id", F.col("start").alias("hole"))
+    m = seq.merge_runs(seq.runs(s, U, "i", sound(), chunk=ROWS), U, 1, width=ROWS)
+    z = seq.runs(s, U, "i", zero(), chunk=ROWS).select("user_id", F.col("start").alias("hole"))
     near = z.withColumn("stop", F.explode(F.array(F.col("hole"), F.col("hole") - 1, F.col("hole") - 2)))
     return m.join(near, ["user_id", "stop"]).groupBy("user_id", "start", "stop").agg(F.min("hole").alias("hole"))
 
@@ -317,8 +320,9 @@ SELECT * FROM (SELECT user_id, lag(stop) OVER (PARTITION BY user_id ORDER BY sta
 def seq_activity(spark, sf_dir):
     s = signal(spark, sf_dir)
     loud = s.join(threshold(s), "user_id")
-    m = seq.merge_runs(seq.runs(loud, U, "i", F.col("value") >= F.col("threshold")).where("length > 1"), U, 0)
-    return m.select("user_id", F.lag("stop").over(within(U, "start")).alias("gap_start"), F.col("start").alias("gap_stop")).where("gap_start is not null")
+    m = seq.merge_runs(seq.runs(loud, U, "i", F.col("value") >= F.col("threshold"), chunk=ROWS).where("length > 1"), U, 0, width=ROWS)
+    m = seq.scan(m, U, ["start"], rows_of("start"), gap_start=("previous", F.col("stop")))
+    return m.select("user_id", "gap_start", F.col("start").alias("gap_stop")).where("gap_start is not null")
 
 
 @query(f"""WITH {EV}, d AS (SELECT CAST(floor(t_us / {DAY}.0) AS BIGINT) AS day, event_type, CAST(sum(c * c) AS DOUBLE) AS e FROM ev GROUP BY 1, 2),
@@ -337,9 +341,8 @@ def seq_floor_bands(spark, sf_dir):
  t_us - lag(t_us) OVER (PARTITION BY user_id ORDER BY i) AS gap, max(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY user_id ORDER BY t_us RANGE BETWEEN {2 * HOUR} PRECEDING AND {2 * HOUR} FOLLOWING) AS err FROM ev)
 SELECT user_id, i, value, CASE WHEN value >= 300 THEN 3 ELSE 2 END AS severity FROM t WHERE value = top AND value >= 150 AND gap >= {6 * HOUR} AND err = 0""")
 def seq_clicks_in_gaps(spark, sf_dir):
-    s = signal(spark, sf_dir).withColumn("gap", F.col("t_us") - F.lag("t_us").over(within(U, "i")))
-    near = W.partitionBy("user_id").orderBy("t_us").rangeBetween(-2 * HOUR, 2 * HOUR)
-    found = peaks(s.withColumn("err", F.max(zero().cast("int")).over(near))).where((F.col("gap") >= 6 * HOUR) & (F.col("err") == 0))
+    s = seq.scan(signal(spark, sf_dir), U, ["i"], rows_of(), before=("previous", F.col("t_us"))).withColumn("gap", F.col("t_us") - F.col("before"))
+    found = peaks(seq.sliding_range(s, U, "t_us", F.max(zero().cast("int")), 2 * HOUR, 2 * HOUR, "err", SPAN)).where((F.col("gap") >= 6 * HOUR) & (F.col("err") == 0))
     return found.select("user_id", "i", "value", F.when(F.col("value") >= 300, 3).otherwise(2).cast("long").alias("severity"))
 
 

@@ -1,4 +1,7 @@
-"""Frames, spectra and text of embeddings, parts, pages and documents."""
+"""Frames, spectra and text of embeddings, parts, pages and documents.
+
+The spectra and the small network are defined for vectors of SIZE components, each a frame of that length; a vector of another length is no frame and has no rows.
+"""
 
 from __future__ import annotations
 
@@ -148,7 +151,7 @@ def model_forward(spark, sf_dir):
             y = ((a / a.sum(axis=2, keepdims=True)) @ h).mean(axis=1) @ out
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(np.round(y[:, c], 6)) for c in range(3))], ["vec_id", "y0", "y1", "y2"])
 
-    return vectors(spark, sf_dir).mapInArrow(run, "vec_id long, y0 double, y1 double, y2 double")
+    return vectors(spark, sf_dir).where(F.size("v") == SIZE).mapInArrow(run, "vec_id long, y0 double, y1 double, y2 double")
 
 
 #: A 19-point table: sizes and factors, doubling from 1.

@@ -1,4 +1,4 @@
-"""Reports as folders that Spark writes: issues and pauses as CSV and as text, JSON lines, and a CSV a file. Nothing is collected; an existing report is not overwritten.
+"""Reports: the five files of a run and a CSV a file as exact files, or folders that Spark writes. Nothing is collected; an existing report is not overwritten.
 
 Findings have file, check, sample_rate, start, stop, problem, severity (0: informational) and measures (map of texts); pauses have file,
 sample_rate, start, stop, kind and guess. More columns are left out. Null severity counts as 0.
@@ -6,11 +6,17 @@ sample_rate, start, stop, kind and guess. More columns are left out. Null severi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reedline.functions import text
+from reedline.sources import exact_files
 
 #: Fixed value: inner pauses from so many seconds are listed, those at head and tail always.
 PAUSE_LISTED_S = 0.5
@@ -108,23 +114,200 @@ def write_files(path: str, names: DataFrame, rows: DataFrame) -> None:
 LONGEST_NAME, MOST_NUMBERED = 255, 10_000
 
 
-def numbered(files: DataFrame, taken: DataFrame, suffix: str = ".csv") -> DataFrame:
-    """A name of its own for each file's report: file, name, error. 'x.csv', or 'x (2).csv' and so on where names (without regard to case) repeat or are in taken (name).
+def name_key(name: str) -> str:
+    """What file systems that pass over case and Unicode forms take for the same name."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", name).casefold())
+
+
+def numbered(files: DataFrame, taken: DataFrame, suffix: str = ".csv", beside: bool = False) -> DataFrame:
+    """A name of its own for each file's report: file, name, error. 'x.csv', or 'x (2).csv' and so on, the first that neither an earlier file (by path) has nor taken (name) holds.
 
-    Files of one base are numbered in order, past the numbers that are taken. A name beyond LONGEST_NAME bytes or MOST_NUMBERED tries is an error instead.
+    Names are compared without regard to case and Unicode form, and over all files together: the numbered name of one file is never another's, though that one be called 'x (2)' itself. Only names that are one once
+    their numbers are taken off can meet, so those are one group, of which only names are kept in memory. beside: reports lie in the folder of their file, so names are told apart by
+    folder, and a name that is another sound file's own is passed over. A name beyond LONGEST_NAME bytes or MOST_NUMBERED tries is an error instead.
     """
-    base = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
-    keyed = files.select("file", base.alias("base"), F.lower(base).alias("key"))
-    used = taken.select(F.regexp_extract(F.lower("name"), r"^(.*?)(?: \((\d+)\))?\.[^.]*$", 1).alias("key"), F.coalesce(F.regexp_extract(F.lower("name"), r"^(.*?)(?: \((\d+)\))?\.[^.]*$", 2).try_cast("int"), F.lit(1)).alias("n"))
-    used = used.groupBy("key").agg(F.sort_array(F.collect_set("n")).alias("used"))
-    place = F.row_number().over(W.partitionBy("key").orderBy("file"))
-    rows = keyed.withColumn("k", place).join(used, "key", "left")
-    # the k-th number that isn't used: each used one at or below it moves it on
-    number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    name = F.when(F.col("n") == 1, F.concat("base", F.lit(suffix))).otherwise(F.concat("base", F.format_string(" (%d)", "n"), F.lit(suffix)))
-    rows = rows.withColumn("n", number).withColumn("name", name)
-    error = F.when(F.octet_length("name") > LONGEST_NAME, "the numbered name is too long").when(F.col("n") >= MOST_NUMBERED, "no free name")
-    return rows.select("file", F.when(error.isNull(), F.col("name")).alias("name"), error.alias("error"))
+    path = F.col("file")
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    folder = F.regexp_replace(path, "[^/]*$", "") if beside else F.lit("")
+    own = files.select(folder.alias("folder"), base.alias("base"), "file")
+    held = taken.select((F.regexp_replace("name", "[^/]*$", "") if beside else F.lit("")).alias("folder"), F.element_at(F.split("name", "/"), -1).alias("base"), F.lit(None).cast("string").alias("file"))
+
+    def keyed(batches):
+        for batch in batches:
+            stems = batch["base"].where(batch["file"].notna(), batch["base"].str.removesuffix(suffix).str.replace(r"\.[^.]*$", "", regex=True))
+            yield batch.assign(root=[re.sub(r"( \(\d+\))+$", "", name_key(x)) for x in stems])
+
+    def named(part: pd.DataFrame) -> pd.DataFrame:
+        mine = part[part["file"].notna()].sort_values("file")
+        seen = {name_key(x) for x in part.loc[part["file"].isna(), "base"]}
+        stems: dict[str, int] = {}
+        for x in mine["base"]:
+            stems[name_key(x)] = stems.get(name_key(x), 0) + 1
+        start: dict[str, int] = {}
+        rows = []
+        for file, stem in zip(mine["file"], mine["base"]):
+            key = name_key(stem)
+            name, why = None, "no free name"
+            for k in range(start.get(key, 1), MOST_NUMBERED):
+                tried = stem if k == 1 else f"{stem} ({k})"
+                start[key] = k + 1
+                if len((tried + suffix).encode()) > LONGEST_NAME:
+                    why = "the numbered name is too long"
+                    break
+                others = stems.get(name_key(tried), 0) - (name_key(tried) == key) if beside else 0
+                if name_key(tried + suffix) not in seen and not others:
+                    name, why = tried + suffix, None
+                    break
+            if name:
+                seen.add(name_key(name))
+            rows.append((file, name, why))
+        return pd.DataFrame(rows, columns=["file", "name", "error"])
+
+    both = own.unionByName(held).mapInPandas(keyed, "folder string, base string, file string, root string")
+    return both.groupBy("folder", "root").applyInPandas(named, "file string, name string, error string")
+
+
+#: Fixed texts of a file's CSV and of the listings.
+MARKER = "Reedline report"
+PROBLEM_LABEL, PROBLEM_NOTE = "PROBLEM EVENTS", "severity 3 = worst, 2 = likely to draw a note, 1 = worth a listen"
+INFORMATIONAL_LABEL, INFORMATIONAL_NOTE = "INFORMATIONAL EVENTS", "quiet breaths, breaths cut off into silence and, when asked for, the pause map; no severity"
+NO_PAUSES = "pause map not included (pause rows are off)"
+CUT_OFF = "breath cut off into silence"
+ISSUE_COLUMNS = ["file", "start_time", "end_time", "event", "severity", "check", "measures"]
+PAUSE_COLUMNS = ["file", "start_time", "duration_s", "guess", "kind"]
+LEGEND = ["Severity 3 = worst, 2 = likely to draw a note, 1 = worth a listen.", "Nothing here fails a delivery: it tells you where to listen first.", "Times are from the start of each file (H:MM:SS.mmm)."]
+PAUSE_LEGEND = ["Informational. The kind of each pause is a GUESS from its length alone;", "the tool cannot see headings, sections or paragraphs."]
+CONTEXT = ["rules", "chopped-word check", "breath model", "analysed"]
+BOM = "\ufeff"
+RUN_FILES = ["issues.txt", "issues.csv", "pauses.txt", "pauses.csv", "report.json"]
+
+
+def _cells(*cells) -> Column:
+    return text.csv_line(F.array(*[c.cast("string") if isinstance(c, Column) else F.lit(c).cast("string") for c in cells]))
+
+
+def summary_lines(files: DataFrame, findings: DataFrame, found: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+    """The summary block of each file's CSV: file, place, line. A label, then one short fact a cell.
+
+    files: file, and of sample_rate, bit_depth, channels, n_samples, narration_db, noise_floor_db, breath_model, notes (array) and counts (a map: breaths, breaths_listed, mouth_click_inhales, quiet_breaths,
+    breaths_cut_off, breaths_not_confirmed) what there is. context: version, and values of CONTEXT.
+    """
+    context = context or {}
+    s = F.coalesce("severity", F.lit(0))
+    cut = (s == 0) & (F.col("problem") == CUT_OFF)
+    sums = findings.groupBy("file").agg(F.count_if(s > 0).alias("_problems"), *[F.count_if(s == k).alias(f"_sev{k}") for k in (3, 2, 1)], F.count_if((s == 0) & ~cut).alias("_quiet"), F.count_if(cut).alias("_cut"))
+    rows = files.join(sums, "file", "left")
+    if found is not None:
+        rows = rows.join(_listed(found).groupBy("file").agg(F.count("*").alias("_pauses")), "file", "left")
+
+    def n(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0)).cast("long")
+
+    def of(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in files.columns else F.lit(None).cast(kind)
+
+    def said(number: Column, what: str) -> Column:
+        return F.concat(number.cast("string"), F.lit(what))
+
+    def counted(name: str) -> Column:
+        return F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0)) if "counts" in files.columns else F.lit(0)
+
+    rate, channels = of("sample_rate", "int"), of("channels", "int")
+    khz = F.regexp_replace(F.format_string("%.3f", rate / 1000), r"\.?0+$", "")
+    facts = [F.concat(of("bit_depth", "string"), F.lit("-bit")), F.concat(khz, F.lit(" kHz")), F.concat(channels.cast("string"), F.when(channels == 1, F.lit(" channel")).otherwise(F.lit(" channels")))]
+    pauses = n("_pauses") if found is not None else F.lit(0)
+    model = F.coalesce(of("breath_model", "string"), F.lit(context.get("breath model")))
+    optional = [F.when(n("_cut") > 0, said(n("_cut"), " breaths cut off into silence"))]
+    breaths = [F.lit("breaths"), counted("breaths").cast("string"), said(counted("breaths_listed"), " problems"), said(counted("mouth_click_inhales"), " mouth-click inhales"), said(counted("quiet_breaths"), " quiet")]
+    breaths += [F.when(counted("breaths_cut_off") > 0, said(counted("breaths_cut_off"), " cut off into silence")), F.when(counted("breaths_not_confirmed") > 0, said(counted("breaths_not_confirmed"), " not confirmed by the breath model"))]
+    has_breaths = F.coalesce(F.map_contains_key("counts", F.lit("breaths")), F.lit(False)) if "counts" in files.columns else F.lit(False)
+
+    def line(*cells) -> Column:
+        return text.csv_line(F.array_compact(F.array(*cells)))
+
+    name, folder = F.element_at(F.split("file", "/"), -1), F.regexp_replace("file", "/?[^/]*$", "")
+    notes = F.array_join(of("notes", "array<string>"), "; ")
+    lines = [
+        _cells(MARKER, context.get("version", "")), _cells("file", text.cell(name)), _cells("folder", text.cell(folder)), line(F.lit("format"), *facts), _cells("duration", F.coalesce(text.clock(of("n_samples", "long"), rate), F.lit(""))),
+        _cells("problem events", n("_problems"), *[said(n(f"_sev{k}"), f" × sev {k}") for k in (3, 2, 1)]),
+        line(F.lit("informational events"), (n("_quiet") + n("_cut") + pauses).cast("string"), said(n("_quiet"), " quiet breaths"), said(pauses, " pauses") if found is not None else F.lit("pause rows off"), *optional),
+        F.when(has_breaths, line(*breaths)), _cells("narration level", text.dbfs(of("narration_db", "double"))), _cells("noise floor", text.dbfs(of("noise_floor_db", "double"))),
+        *[F.when(F.length(value) > 0, _cells(label, text.cell(value))) for label, value in ((c, model if c == "breath model" else F.lit(context.get(c)).cast("string")) for c in CONTEXT)],
+        F.when(F.length(notes) > 0, _cells("notes", "", "", text.cell(notes))),
+    ]
+    return rows.select("file", F.posexplode(F.array(*lines)).alias("place", "line")).where("line is not null").select("file", F.col("place").cast("long").alias("place"), "line")
+
+
+def file_lines(files: DataFrame, findings: DataFrame, names: DataFrame, found: DataFrame | None = None, context: dict | None = None) -> DataFrame:
+    """The CSV of each file, for exact_files.write: path, section, place, line. names: file and name, as numbered() gives them; files without a name have none."""
+    spacer = text.csv_line(F.array(*[F.lit("")] * len(ISSUE_COLUMNS)))
+    header = _cells(*ISSUE_COLUMNS)
+    fixed = [(1, [spacer, _cells(PROBLEM_LABEL, "", "", PROBLEM_NOTE), spacer, header]), (3, [spacer, spacer, _cells(INFORMATIONAL_LABEL, "", "", INFORMATIONAL_NOTE), spacer, header])]
+    if found is None:
+        fixed.append((5, [_cells("", "", "", NO_PAUSES)]))
+    known = files.select("file").distinct()
+    out = summary_lines(files, findings, found, context).withColumn("section", F.lit(0))
+    for section, lines in fixed:
+        out = out.unionByName(known.select("file", F.posexplode(F.array(*lines)).alias("place", "line")).select("file", F.col("place").cast("long").alias("place"), "line", F.lit(section).alias("section")))
+    rows = file_rows(files.select("file"), findings, found).where(F.col("section") != SUMMARY)
+    body = rows.select("file", F.col("start").alias("place"), text.csv_line(F.array("file_cell", *ISSUE_COLUMNS[1:])).alias("line"), F.when(F.col("section") == PROBLEMS, 2).otherwise(4).alias("section"))
+    out = out.unionByName(body)
+    first = (F.col("section") == 0) & (F.col("place") == 0)
+    named = out.join(names.where("name is not null").select("file", F.col("name").alias("path")), "file")
+    return named.select("path", "section", "place", F.when(first, F.concat(F.lit(BOM), "line")).otherwise(F.col("line")).alias("line"))
+
+
+def run_lines(files: DataFrame, findings: DataFrame, found: DataFrame, least: int = 1, context: dict | None = None, settings: dict | None = None) -> DataFrame:
+    """The five files of a whole run (RUN_FILES), for exact_files.write: path, section, file, place, line.
+
+    files: file, and notes (array) and error where there are. report.json holds the settings (tunables() by default), the context, and for each file its chunks (see documents).
+    """
+    context = context or {}
+    spark = files.sparkSession
+    with_error = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
+    with_notes = with_error if "notes" in files.columns else with_error.withColumn("notes", F.array().cast("array<string>"))
+    columns = ["path", "section", "file", "place", "line"]
+
+    def heads(path: str, lines: list[str], end: str) -> DataFrame:
+        return spark.createDataFrame([(path, 0, "", k, line + end) for k, line in enumerate(lines)], "path string, section int, file string, place long, line string")
+
+    title = f"{MARKER} {context.get('version', '')}".strip()
+    rules = f"rules: {context.get('rules', 'standard')}"
+    told = [f"{title} — {rules}", *LEGEND, f"Breath model: {context.get('breath model', 'off')}."] + ([f"Listing severity {least} and above only."] if least > 1 else [])
+    issue_text = issue_lines(with_notes, findings, least)
+    spaced = F.when(F.col("place") == 0, F.concat(F.lit("\n"), "line", F.lit("\n"))).otherwise(F.concat("line", F.lit("\n")))
+    pause_text = pause_lines(found)
+    spaced_pauses = F.when(F.col("place") == -1, F.concat(F.lit("\n"), "line", F.lit("\n"))).otherwise(F.concat("line", F.lit("\n")))
+    skipped = with_error.where("error is not null").select("file", F.lit(-1).cast("long").alias("place"), _cells(text.cell(F.col("file")), "", "", text.cell(F.concat(F.lit("skipped: "), "error")), "", "file", "").alias("line"))
+    s = F.coalesce("severity", F.lit(0))
+    rate = F.col("sample_rate")
+    listed = findings.where(s >= least).select("file", F.col("start").alias("place"), _cells(text.cell(F.col("file")), text.clock(F.col("start"), rate), text.clock(F.col("stop"), rate), text.cell(F.col("problem")), F.when(s > 0, s), F.col("check"), text.cell(text.measures(F.col("measures")))).alias("line"))
+    seconds = (F.col("stop") - F.col("start")) / rate
+    gaps = _listed(found).select("file", F.col("start").alias("place"), _cells(text.cell(F.col("file")), text.clock(F.col("start"), rate), F.format_string("%.2f", seconds), F.col("guess"), F.col("kind")).alias("line"))
+    reports_ = documents(files, findings, found)
+    first = reports_.agg(F.min(F.struct("file", "chunk")).alias("first"))
+    texts = reports_.join(F.broadcast(first)).select("file", F.col("chunk").alias("place"), F.concat(F.when(F.struct("file", "chunk") == F.col("first"), "").otherwise(","), "report", F.lit("\n")).alias("line"))  # one row
+    top = json.dumps({"context": context, "settings": settings if settings is not None else tunables()}, ensure_ascii=False)[:-1]
+    parts = [
+        heads("issues.txt", told, "\n"), heads("pauses.txt", [f"{title} — pause map — {rules}", *PAUSE_LEGEND], "\n"), heads("issues.csv", [BOM + ",".join(ISSUE_COLUMNS)], "\r\n"), heads("pauses.csv", [BOM + ",".join(PAUSE_COLUMNS)], "\r\n"), heads("report.json", [top + ', "files": ['], "\n"),
+        issue_text.select(F.lit("issues.txt").alias("path"), F.lit(1).alias("section"), "file", "place", spaced.alias("line")), pause_text.select(F.lit("pauses.txt").alias("path"), F.lit(1).alias("section"), "file", "place", spaced_pauses.alias("line")),
+        skipped.unionByName(listed).select(F.lit("issues.csv").alias("path"), F.lit(1).alias("section"), "file", "place", "line"), gaps.select(F.lit("pauses.csv").alias("path"), F.lit(1).alias("section"), "file", "place", "line"),
+        texts.select(F.lit("report.json").alias("path"), F.lit(1).alias("section"), "file", "place", "line"), heads("report.json", ["]}"], "\n").withColumn("section", F.lit(2)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*columns)
+
+
+def write_run(folder: str, files: DataFrame, findings: DataFrame, found: DataFrame, least: int = 1, context: dict | None = None, progress: str | None = None) -> None:
+    """The five files of a run as exact files: all of them, or none."""
+    exact_files.write(run_lines(files, findings, found, least, context), folder, ["section", "file", "place", "line"], progress)
+
+
+def write_file_reports(folder: str, files: DataFrame, findings: DataFrame, names: DataFrame, found: DataFrame | None = None, context: dict | None = None, progress: str | None = None) -> None:
+    """A CSV for each file that has a name, as exact files; none that exists is touched."""
+    exact_files.write(file_lines(files, findings, names, found, context), folder, ["section", "place", "line"], progress)
 
 
 def _listed(found: DataFrame) -> DataFrame:

@@ -176,3 +176,50 @@ def test_a_loud_tone_fills_gaps_at_its_level(spark):
     tones = spark.createDataFrame([("f", 1, 44_100, 0.5, 5.5, -40.0, -18.0), ("f", 2, 44_100, 0.5, 5.5, -60.0, -18.0), ("f", 3, 44_100, 0.5, 5.5, -30.0, -18.0), ("f", 4, 44_100, 2.5, 5.5, -40.0, -18.0)], "file string, track int, sample_rate int, start_s double, stop_s double, level_db double, narration_db double")
     got = {r.track: (r.start, r.stop) for r in hum.gaps_at_level(table, tones).collect()}
     assert set(got) == {1, 4} and abs(got[1][0] / 44_100 - 2.0) < 0.06 and abs(got[1][1] / 44_100 - 3.0) < 0.06 and got[4][0] / 44_100 >= 2.5
+
+
+def low_rate(path, x, rate=4410):
+    """A file at a rate that is analysed as it is."""
+    import struct
+
+    body = np.round(x * 2**15).astype("<i2").tobytes()
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16)
+    path.write_bytes(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVE" + form + b"data" + struct.pack("<I", len(body)) + body)
+
+
+def sines(seconds, lines, rate=4410, noise_db=-75.0):
+    t = np.arange(int(seconds * rate)) / rate
+    x = np.random.default_rng(3).standard_normal(len(t)) * 10 ** (noise_db / 20)
+    for hz, db in lines:
+        x += 10 ** (db / 20) * 2**0.5 * np.sin(2 * np.pi * hz * t + hz)
+    return x
+
+
+def test_bands_of_a_long_pause_equal_its_whole_spectrum(spark, tmp_path, monkeypatch):
+    planted = [(60.3, -60), (99.5, -72), (440.52, -66), (444.1, -70), (998.7, -64)]
+    x = np.concatenate([room(2.0, -30, 4410), sines(90, planted), room(2.0, -30, 4410)])
+    low_rate(tmp_path / "a.wav", x)
+    name = wav.files(spark, str(tmp_path)).first().file
+    cut = stored(wav.chunks(spark, str(tmp_path), 50_000, hum.MARGIN_S), "chunks")
+    pause = spark.createDataFrame([(name, 2 * 4410, 92 * 4410)], "file string, start long, stop long")
+    tones = pause.selectExpr("*", "explode(array(60.0D, 440.0D, 700.0D)) AS hz")
+    long = sorted((r.hz, r.line_db) for r in hum.pause_lines(cut, pause).collect() if r.line_db > -90)
+    long_levels = {r.hz: r.level_db for r in hum.pause_levels(cut, tones).collect()}
+    monkeypatch.setitem(hum.LONG, "from_s", 1000.0)
+    whole = sorted((r.hz, r.line_db) for r in hum.pause_lines(cut, pause).collect() if r.line_db > -90)
+    levels = {r.hz: r.level_db for r in hum.pause_levels(cut, tones).collect()}
+    assert [round(f, 1) for f, _ in long] == [round(f, 1) for f, _ in planted] and len(whole) == len(long)
+    for (f, a), (g, b) in zip(long, whole):
+        assert abs(f - g) < 0.01 and abs(a - b) < 0.1
+    assert set(levels) == set(long_levels) and all(abs(levels[f] - long_levels[f]) < 0.1 for f in (60.0, 440.0)) and abs(levels[700.0] - long_levels[700.0]) < 1.5
+
+
+def test_an_hour_of_silence_is_one_pause_and_many_groups(spark, tmp_path):
+    planted = [(50.01, -70), (333.3, -80)]
+    x = sines(3600, planted)
+    low_rate(tmp_path / "a.wav", x)
+    name = wav.files(spark, str(tmp_path)).first().file
+    cut = stored(wav.chunks(spark, str(tmp_path), 1 << 20, hum.MARGIN_S), "chunks")
+    pause = spark.createDataFrame([(name, 0, len(x))], "file string, start long, stop long")
+    found = sorted((r.hz, r.line_db) for r in hum.pause_lines(cut, pause).collect() if r.line_db > -100)
+    assert len(found) == 2 and all(abs(f - g) < 0.005 and abs(a - b) < 0.1 for (f, a), (g, b) in zip(found, planted))

@@ -1,0 +1,80 @@
+"""Joins of two streams against the same joins of the whole tables."""
+
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from reedline.operators import joins as whole
+from reedline.streaming import joins
+
+SF = "/root/testdata/sf0.001"
+HOUR = 3_600_000_000
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return e.withColumn("part", F.ntile(4).over(W.partitionBy("event_type").orderBy("ts"))).cache()
+
+
+def stream(spark, folder, rows):
+    """rows as a stream of four files by time, and a row long after all others, which closes everything."""
+    for n in (1, 2, 3, 4):
+        rows.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), (F.col("ts") + F.expr("interval 4000 days")).alias("ts"), F.lit(0.0).alias("value"))
+    end.select(*[c for c in rows.columns if c != "part"]).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def run(out, folder):
+    query = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
+    assert query.awaitTermination(300)
+    return out.sparkSession.read.parquet(f"{folder}/out").where("event_id >= 0")
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("how", ["inner", "semi", "anti"])
+def test_band_of_streams_equals_that_of_tables(spark, tmp_path, events, how):
+    left, right = events.where("event_type = 'view'"), events.where("event_type = 'error'")
+    args = [["user_id"], "ts", "36 hours", "12 hours", "1 day", how]
+    got = run(joins.band(stream(spark, str(tmp_path / "l"), left), stream(spark, str(tmp_path / "r"), right), *args), str(tmp_path))
+    condition = "l.user_id = r.user_id and r.ts >= l.ts - interval 36 hours and r.ts <= l.ts + interval 12 hours"
+    kind = {"inner": "inner", "semi": "left_semi", "anti": "left_anti"}[how]
+    want = left.drop("part").alias("l").join(right.drop("part").alias("r"), F.expr(condition), kind)
+    if how == "inner":
+        got, want = got.select("event_id", "match_event_id"), want.select("l.event_id", "r.event_id")
+    assert rows(got) == rows(want) and want.count() > 0
+
+
+def test_asof_of_streams_equals_that_of_tables(spark, tmp_path, events):
+    left, right = events.where("event_type = 'click'").select("event_id", "user_id", "ts", "event_type", "value", "part"), events.where("event_type = 'purchase'")
+    got = run(joins.asof_backward(stream(spark, str(tmp_path / "l"), left), stream(spark, str(tmp_path / "r"), right), ["user_id"], "ts", ["event_id"], "3 days", "1 day"), str(tmp_path))
+
+    def micros(df):
+        return df.withColumn("t", F.unix_micros("ts"))
+
+    want = whole.asof_backward(micros(left), micros(right), ["user_id"], "t", ["event_id"], 72 * HOUR)
+    assert rows(got.select("event_id", "match_event_id")) == rows(want.select("event_id", "match_event_id")) and want.where("match_event_id is not null").count() > 0
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    schema = "event_id long, user_id long, ts timestamp, part int"
+
+    def table(*some):
+        return spark.createDataFrame(some, "event_id long, user_id long, ts string, part int").withColumn("ts", F.col("ts").cast("timestamp")).select(*[c.split()[0] for c in schema.split(", ")])
+
+    left = table((1, 7, "2024-01-01 00:00:00", 1), (2, 7, "2024-01-20 00:00:00", 2), (4, 7, "2024-01-21 00:00:00", 3), (3, 7, "2024-01-02 00:00:00", 4))
+    right = table((10, 7, "2024-01-01 00:10:00", 1), (11, 7, "2024-01-20 00:10:00", 2), (13, 7, "2024-01-21 00:10:00", 3), (12, 7, "2024-01-02 00:10:00", 4))
+
+    def closed(folder, part):
+        for n in (1, 2, 3, 4):
+            part.where(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        return spark.readStream.schema(part.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    out = run(joins.band(closed(str(tmp_path / "l"), left), closed(str(tmp_path / "r"), right), ["user_id"], "ts", "1 hour", "1 hour", "1 day"), str(tmp_path))
+    assert rows(out.select("event_id", "match_event_id")) == [(1, 10), (2, 11), (4, 13)]
+    with pytest.raises(ValueError):
+        joins.band(left, right, ["user_id"], "ts", "1 hour", "1 hour", "1 day", "outer")

@@ -17,6 +17,8 @@ SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Buckets of up to this many sets are compared by brute force, by sketches of 64 bytes; larger ones are split again.
 SMALL = 256
+#: Members of a large bucket that one task holds against those far from its pivot.
+PART = 4096
 #: Runs are as many as buckets of this depth need; sets that lie in deeper ones get more runs.
 BASE_DEPTH = 4
 #: Splits at most. Sets far from a bucket's pivot agree on a coordinate less than six times in ten, so that even 10^9 sets of one bucket need fewer.
@@ -164,12 +166,58 @@ def _around_pivot(similarity: float):
     return run
 
 
+def _against_far(similarity: float):
+    """Rows of buckets (path, part), the far members first in one row: every member held against each far one. Of near members, which are linked to each other already, one link to each far one is enough."""
+    least = _least_sketch(similarity)
+
+    def run(batches):
+        at = reps = sketches = None
+        for batch in batches:
+            u, v = [], []
+            path, part, first, rep = (batch.column(c).fill_null(0).to_numpy() for c in ("path", "part", "first", "rep"))
+            near = batch.column("near").fill_null(False).to_numpy(zero_copy_only=False)
+            edges = bounds(path, part)
+            for a, b in zip(edges[:-1], edges[1:]):
+                if first[a] == 0:
+                    at, far = (path[a], part[a]), batch.column("far")[int(a)].as_py()
+                    reps, sketches = np.array([x["rep"] for x in far]), np.frombuffer(b"".join(x["sketch"] for x in far), np.uint8).reshape(-1, COORDINATES)
+                    a += 1
+                if a == b:
+                    continue
+                if at != (path[a], part[a]):
+                    raise ValueError("a bucket without its far members")
+                mine = np.frombuffer(b"".join(batch.column("sketch").slice(int(a), int(b - a)).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                told = np.zeros(len(reps), bool)
+                for c in range(0, len(mine), 512):
+                    like = (mine[c : c + 512, None, :] == sketches[None, :, :]).mean(axis=2) >= least
+                    close = near[a + c : a + c + len(like)]
+                    one = np.flatnonzero((like & close[:, None]).any(axis=0) & ~told)
+                    told[one] = True
+                    x, y = np.nonzero(like & ~close[:, None])
+                    u += [*rep[a + c + (like & close[:, None])[:, one].argmax(axis=0)], *rep[a + c + x]]
+                    v += [*reps[one], *reps[y]]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _few_far(placed: DataFrame, few: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of the buckets (few: path, held) with at most SMALL members far from the pivot: those against all members, in parts of PART."""
+    sketches = sets.select("rep", "sketch")
+    parts = few.select("path", F.ceil(F.col("held") / PART).cast("long").alias("parts"))
+    far = placed.where("not near").join(parts, "path").join(sketches, "rep").groupBy("path", "parts").agg(F.collect_list(F.struct("rep", "sketch")).alias("far"))  # at most SMALL
+    leads = far.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("first"), "far")
+    rows = placed.join(parts, "path").join(sketches, "rep").select("path", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("first"), "rep", "near", "sketch")
+    both = leads.unionByName(rows, allowMissingColumns=True).repartition("path", "part").sortWithinPartitions("path", "part", "first")
+    return both.mapInArrow(_against_far(similarity), "u long, v long")
+
+
 def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
     """Some chosen-path runs over sets (rep, sig, sketch), level by level: links (u, v), the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
 
     A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. First all members of a
-    large bucket are held against one of them, the pivot: those near it by sketches are linked to it. Where none is far from it, they are one group for the exact check, and the bucket ends; else the far
-    ones are split again, and the near ones that aren't alike the pivot with them. A set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
+    large bucket are held against one of them, the pivot: those near it by sketches are linked to it. Where none is far from it, they are one group for the exact check, and the bucket ends; where at most SMALL
+    are, those are held against all members, and it ends too; else the far ones are split again, and the near ones that aren't alike the pivot with them. A set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
     """
     rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"))
     links = deep = None
@@ -191,8 +239,10 @@ def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: rang
         both = large.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "pivot", "sketch", "pivot_sketch")
         placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
         links = links.unionByName(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-        mixed = placed.groupBy("path").agg(F.max((~F.col("near")).cast("int")).alias("far")).where("far = 1").select("path")
-        split = placed.where("open").join(mixed, "path", "left_semi").select("rep", "path")
+        far = placed.groupBy("path").agg(F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"))
+        far = stored(spark, far.where("far > 0"), f"far-{depth}")  # a row a large bucket
+        links = links.unionByName(_few_far(placed, far.where(F.col("far") <= SMALL), sets, similarity))
+        split = placed.where("open").join(far.where(F.col("far") > SMALL).select("path"), "path", "left_semi").select("rep", "path")
         if depth == BASE_DEPTH:
             deep = split.select("rep").distinct()
         rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"))

@@ -23,6 +23,8 @@ THRESHOLD = 0.5
 SHORT_WORDS = 8
 #: A part of a long item counts by itself from the score of so many words in a row on.
 PASSAGE_WORDS = 50
+#: Meetings of seeds of a text that are looked at together.
+HITS = 1 << 20
 #: Items of one block: what is broadcast at once has at most so many words.
 BLOCK_WORDS = 2_000_000
 
@@ -55,7 +57,8 @@ class Items:
         return at, keys
 
 
-def _items(rows) -> Items:
+def _items(rows, every_word: bool = False) -> Items:
+    """A block of items; every_word: with all single words as seeds."""
     words: dict[str, int] = {}
     ids, tokens = [], []
     for item_id, found in rows:
@@ -64,7 +67,7 @@ def _items(rows) -> Items:
     block = Items(words, ids, tokens, {})
     for size in range(1, SEED_WORDS + 1):
         # single words for short items only, pairs and runs of SEED_WORDS for all
-        some = [(i, *block.keys(t, size)) for i, t in enumerate(tokens) if size > 1 or len(t) <= SHORT_WORDS]
+        some = [(i, *block.keys(t, size)) for i, t in enumerate(tokens) if size > 1 or every_word or len(t) <= SHORT_WORDS]
         keys = np.concatenate([f[2] for f in some] or [[]]).astype(np.int64)
         place = np.concatenate([f[1] for f in some] or [[]]).astype(np.int64)
         item = np.repeat([f[0] for f in some], [len(f[1]) for f in some]).astype(np.int64)
@@ -73,7 +76,7 @@ def _items(rows) -> Items:
     return block
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = 1):
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_words: int = 1, every_word: bool = False):
     """The test items of least_words or more in blocks of bounded size, read one partition at a time."""
     rows, size = [], 0
     for r in benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
@@ -81,12 +84,12 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, least_word
         if len(words) < max(1, least_words):
             continue
         if rows and size + len(words) > block_words:
-            yield _items(rows)
+            yield _items(rows, every_word)
             rows, size = [], 0
         rows.append((r["item_id"], words))
         size += len(words)
     if rows:
-        yield _items(rows)
+        yield _items(rows, every_word)
 
 
 def seed_counts(spark: SparkSession, docs: DataFrame, block: Items) -> dict[int, np.ndarray]:
@@ -162,31 +165,55 @@ def _least_score(words: int, threshold: float) -> float:
     return min(max(threshold * MATCH * words, MATCH * SEED_WORDS), MATCH * PASSAGE_WORDS)
 
 
-def _matches(items: Items, text: str | None, threshold: float):
-    """(item number, score part, first word, last word + 1) of the best alignment of each item that has one."""
-    numbers = items.numbers(text)
-    spans: dict[int, list[tuple]] = {}
+def _merged(spans: np.ndarray) -> np.ndarray:
+    """Overlapping spans of one item made one. Columns: item, from, to, whether its seeds are enough, least and greatest place of them in the item."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    far = int(spans[:, 2].max()) + 2
+    reach = np.maximum.accumulate(spans[:, 0] * far + spans[:, 2])
+    first = np.flatnonzero(np.append(True, spans[1:, 0] * far + spans[1:, 1] > reach[:-1]))
+    out = spans[first].copy()
+    out[:, 2] = np.maximum.reduceat(spans[:, 2], first)
+    out[:, 3] = np.maximum.reduceat(spans[:, 3], first)
+    out[:, 4] = np.minimum.reduceat(spans[:, 4], first)
+    out[:, 5] = np.maximum.reduceat(spans[:, 5], first)
+    return out
+
+
+def _spans(items: Items, numbers: np.ndarray, exact: bool) -> np.ndarray:
+    """The stretches of a text around the seeds that it shares with items (see _merged), with room for words put in or left out."""
+    lengths = np.array([len(t) for t in items.tokens], np.int64)
+    out = np.empty((0, 6), np.int64)
     for size, (known, item, place) in items.seeds.items():
         at, keys = items.keys(numbers, size)
         first, last = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-        for h in np.flatnonzero(last > first):
-            for k in range(first[h], last[h]):
-                words = len(items.tokens[item[k]])
-                low = int(at[h] - place[k]) - words // 2  # room for words put in or left out
-                enough = size == SEED_WORDS or words <= size
-                spans.setdefault(int(item[k]), []).append((max(0, low), min(len(numbers), low + 2 * words + 1), enough, int(place[k])))
+        met = np.flatnonzero(last > first)
+        n = (last - first)[met]
+        cut = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS), "right")
+        for a, b in zip(np.append(0, cut), np.append(cut, len(met))):
+            h, count = met[a:b], n[a:b]
+            if not len(h):
+                continue
+            k = np.repeat(first[h] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            words = lengths[item[k]]
+            low = np.repeat(at[h], count) - place[k] - words // 2
+            enough = np.full(len(k), True) if exact or size == SEED_WORDS else words <= size
+            found = np.stack([item[k], np.maximum(0, low), np.minimum(len(numbers), low + 2 * words + 1), enough, place[k], place[k]], axis=1)
+            out = _merged(np.concatenate([out, found]))
+    return out
+
+
+def _matches(items: Items, text: str | None, threshold: float, exact: bool = False):
+    """(item number, score part, first word, last word + 1) of the best alignment of each item that has one."""
+    numbers = items.numbers(text)
+    spans: dict[int, list[tuple]] = {}
+    for item, a, b, enough, low, high in _spans(items, numbers, exact).tolist():
+        spans.setdefault(item, []).append((a, b, enough or low != high))  # two different seeds of the item are enough too
     for i, found in spans.items():
-        found.sort()
-        merged: list[list] = []
-        for a, b, enough, at in found:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-                merged[-1][2] |= enough or merged[-1][3] != at  # two pairs of the item are enough too
-            else:
-                merged.append([a, b, enough, at])
         item, whole = items.tokens[i], MATCH * len(items.tokens[i])
         best, least = (0.0, 0, 0), _least_score(len(item), threshold)
-        for a, b, enough, _ in merged:
+        for a, b, enough in found:
             if not enough:
                 continue
             score, end = align(item, numbers[a:b])
@@ -198,7 +225,7 @@ def _matches(items: Items, text: str | None, threshold: float):
 
 
 def contaminated(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, least_words: int = 1
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS, least_words: int = 1, exact: bool = False
 ) -> DataFrame:
     """Documents that hold a test item, whole or edited: doc_id, item_id, score, first_word, last_word; one row a pair.
 
@@ -211,20 +238,21 @@ def contaminated(
 
     Items are read in blocks of at most block_words words (or one item); a block is broadcast and sought in all documents, so no text is shuffled and
     the work follows the documents. Null texts and items without words match nothing; rows without item_id are passed over; item_id may be of any
-    type that sorts. A longer item with no two words left side by side isn't found. Repeated rows of docs give a row each. Other columns aren't read.
+    type that sorts. A longer item with no two words left side by side isn't found, unless exact: then every word of every item is a seed, common ones too, and
+    one is enough, so that each document is aligned with each item wherever they share a word; that costs as much more as words repeat. Repeated rows of docs give a row each. Other columns aren't read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     of_item = benchmark.schema["item_id"].dataType
     schema = f"doc_id long, item_id {of_item.simpleString()}, score double, first_word int, last_word int"
     types = (pa.int64(), to_arrow_type(of_item), pa.float64(), pa.int32(), pa.int32())
     out = None
-    for block in item_blocks(benchmark, block_words, least_words):
-        sent = spark.sparkContext.broadcast(rare_seeds(block, seed_counts(spark, docs, block)))
+    for block in item_blocks(benchmark, block_words, least_words, exact):
+        sent = spark.sparkContext.broadcast(block if exact else rare_seeds(block, seed_counts(spark, docs, block)))
 
         def run(batches, sent=sent):
             items = sent.value
             for batch in batches:
-                found = [(d, items.ids[i], *rest) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, *rest in _matches(items, t, threshold)]
+                found = [(d, items.ids[i], *rest) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, *rest in _matches(items, t, threshold, exact)]
                 columns = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 

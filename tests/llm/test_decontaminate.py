@@ -104,3 +104,34 @@ def test_a_very_long_text_is_read_to_its_end(spark):
     bench = spark.createDataFrame([(1, "quite unlikely words of a test item here")], "item_id long, text string")
     got = decontaminate.contaminated(spark, documents(spark, [text + " quite unlikely words of a test item here", text]), bench).collect()
     assert [(x.doc_id, x.score, x.first_word) for x in got] == [(0, 1.0, 300_000)]
+
+
+def test_the_exact_path_finds_items_without_two_words_side_by_side(spark):
+    items = [(k, prose(12 + k, 600 + k, 300)) for k in range(8)]  # a small vocabulary: words of items are everywhere
+    r = random.Random(2)
+    texts = [prose(80, 40 + k, 300) for k in range(25)] + AWKWARD[:6]
+    for _, item in items:
+        words = item.split()
+        texts.append(" ".join(w for k, x in enumerate(words) for w in ([x, f"in{k}"])))
+        texts.append(" ".join(f"other{k}" if k % 3 == 2 else w for k, w in enumerate(words)))
+    r.shuffle(texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(texts, items)
+    for hits in (decontaminate.HITS, 50):
+        decontaminate.HITS, before = hits, decontaminate.HITS
+        try:
+            got = {(x.doc_id, x.item_id, round(x.score, 6)) for x in decontaminate.contaminated(spark, documents(spark, texts), bench, exact=True).collect()}
+        finally:
+            decontaminate.HITS = before
+        assert got == want and len(want) >= 16
+
+
+def test_a_text_full_of_seeds_takes_little_time(spark):
+    import time
+
+    items = [(k, prose(30, k, 200)) for k in range(63)]
+    block = decontaminate._items([(i, t.split()) for i, t in items], True)
+    text = prose(20_000, 5, 240)
+    began = time.time()
+    spans = decontaminate._spans(block, block.numbers(text), True)
+    assert len(spans) and time.time() - began < 10

@@ -80,3 +80,11 @@ def test_clashing_columns_a_very_long_text_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_items_of_one_and_two_words_count(spark, tmp_path):
+    spark.createDataFrame([(1, "zyzzogeton"), (2, "quixotic zebras"), (3, "a longer item of several words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["clean text of some words", "it holds Zyzzogeton once", "two quixotic zebras ran", "quixotic ideas and zebras", "so a longer item of several words here"]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {least: sorted(r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path), least).collect()) for least in (1, 3)}
+    assert kept == {1: [0, 3], 3: [0, 1, 2, 3]} and sorted(r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()) == [0, 3]

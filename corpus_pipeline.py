@@ -42,11 +42,11 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _without(docs, rows, _later(rows, found.select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class")), F.lit(0)))
 
 
-def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item go on. Items of one or two words are no evidence and are passed over."""
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str, least_words: int = 1) -> DataFrame:
+    """Documents that hold no test item of least_words or more go on: none at all, unless more is asked for."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(spark, docs)
-    found = decontaminate.contaminated(spark, _by_key(rows), benchmark, least_words=decontaminate.SEED_WORDS)
+    found = decontaminate.contaminated(spark, _by_key(rows), benchmark, least_words=least_words)
     return _without(docs, rows, found.select(F.col("doc_id").alias(KEY)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,52 +202,51 @@ def _against_far(similarity: float):
     return run
 
 
-def _few_far(placed: DataFrame, few: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links of the buckets (few: path, held) with at most SMALL members far from the pivot: those against all members, in parts of PART."""
-    sketches = sets.select("rep", "sketch")
-    parts = few.select("path", F.ceil(F.col("held") / PART).cast("long").alias("parts"))
-    far = placed.where("not near").join(parts, "path").join(sketches, "rep").groupBy("path", "parts").agg(F.collect_list(F.struct("rep", "sketch")).alias("far"))  # at most SMALL
+def _few_far(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links of the buckets with at most SMALL members far from the pivot: those against all members, in parts of PART. rows: path, rep, near, held (the bucket's members)."""
+    rows = rows.withColumn("parts", F.ceil(F.col("held") / PART).cast("long")).join(sets.select("rep", "sketch"), "rep")
+    far = rows.where("not near").groupBy("path", "parts").agg(F.collect_list(F.struct("rep", "sketch")).alias("far"))  # at most SMALL
     leads = far.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("first"), "far")
-    rows = placed.join(parts, "path").join(sketches, "rep").select("path", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("first"), "rep", "near", "sketch")
+    rows = rows.select("path", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("first"), "rep", "near", "sketch")
     both = leads.unionByName(rows, allowMissingColumns=True).repartition("path", "part").sortWithinPartitions("path", "part", "first")
     return both.mapInArrow(_against_far(similarity), "u long, v long")
 
 
-def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
-    """Some chosen-path runs over sets (rep, sig, sketch), level by level: links (u, v), the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
+def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[dict[str, list[DataFrame]], DataFrame | None, int]:
+    """Some chosen-path runs over sets (rep, sig, sketch), level by level: what they end with, the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
 
     A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. First all members of a
     large bucket are held against one of them, the pivot: those near it by sketches are linked to it. Where none is far from it, they are one group for the exact check, and the bucket ends; where at most SMALL
-    are, those are held against all members, and it ends too; else the far ones are split again, and the near ones that aren't alike the pivot with them. A set alike the pivot has no link to a set far from it, since distances of Jaccard similarity add up.
+    are, those are held against all members, and it ends too; else the far ones are split again, and the near ones that aren't alike the pivot with them. A set alike
+    the pivot has no link to a set far from it, since distances of Jaccard similarity add up. Ends: small (path, rep), links (u, v), and far (path, rep, near, held), tables of each level.
     """
     rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"))
-    links = deep = None
+    ends: dict[str, list[DataFrame]] = {"small": [], "links": [], "far": []}
+    deep = None
     for depth in range(1, MOST_DEPTH + 1):
         pick = F.min(F.col("rep").bitwiseXOR(F.col("path")))  # another order in each bucket
         held = rows.groupBy("path").agg(F.count("*").alias("held"), pick.alias("pick")).where("held > 1")
         held = held.select("path", "held", F.col("pick").bitwiseXOR(F.col("path")).alias("pivot"))
         shared = stored(spark, rows.join(held, "path"), f"paths-{depth}")
-        small = shared.where(F.col("held") <= SMALL).join(sets.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
-        found = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
-        links = found if links is None else links.unionByName(found)
+        ends["small"].append(shared.where(F.col("held") <= SMALL).select("path", "rep"))
         large = shared.where(F.col("held") > SMALL)
         if large.isEmpty():
             break
         if depth == MOST_DEPTH:  # the exact check tells them apart
-            links = links.unionByName(large.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+            ends["links"].append(large.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
             break
         pivots = large.select("path", F.col("pivot").alias("rep")).distinct().join(sets.select("rep", F.col("sketch").alias("pivot_sketch")), "rep").drop("rep")
         both = large.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "pivot", "sketch", "pivot_sketch")
         placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
-        links = links.unionByName(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        ends["links"].append(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
         far = placed.groupBy("path").agg(F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"))
         far = stored(spark, far.where("far > 0"), f"far-{depth}")  # a row a large bucket
-        links = links.unionByName(_few_far(placed, far.where(F.col("far") <= SMALL), sets, similarity))
+        ends["far"].append(placed.join(far.where(F.col("far") <= SMALL).select("path", "held"), "path").select("path", "rep", "near", "held"))
         split = placed.where("open").join(far.where(F.col("far") > SMALL).select("path"), "path", "left_semi").select("rep", "path")
         if depth == BASE_DEPTH:
             deep = split.select("rep").distinct()
         rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"))
-    return links, deep, depth
+    return ends, deep, depth
 
 
 def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, recall: float) -> DataFrame:
@@ -256,10 +256,19 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     among the sets that have come so far, and those sets alone go through the further runs that the depth reached calls for.
     """
     first = runs_for(recall, similarity, BASE_DEPTH)
-    links, deep, depth = _descend(spark, reps, similarity, range(first))
+    ends, deep, depth = _descend(spark, reps, similarity, range(first))
     if deep is not None and not deep.isEmpty():
         again = stored(spark, reps.join(deep, "rep", "left_semi").select("rep", "sig", "sketch"), "deep-sets")
-        links = links.unionByName(_descend(spark, again, similarity, range(first, max(first + 1, runs_for(recall, similarity, depth))))[0])
+        more = _descend(spark, again, similarity, range(first, max(first + 1, runs_for(recall, similarity, depth))))[0]
+        ends = {name: ends[name] + more[name] for name in ends}
+    # buckets of all levels are compared together: paths are hashes, no two levels share one
+    every = {name: reduce(DataFrame.unionByName, tables) for name, tables in ends.items() if tables}
+    small = every["small"].join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+    links = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
+    if "links" in every:
+        links = links.unionByName(every["links"])
+    if "far" in every:
+        links = links.unionByName(_few_far(every["far"], reps, similarity))
     return links.where("u <> v").distinct()
 
 

@@ -129,8 +129,8 @@ def breath_cuts(cut: DataFrame, files: DataFrame, frames: DataFrame, listed: Dat
     reach = holes.withColumn("_f", F.explode(F.sequence(F.col("_hole") - CUT["reach"], F.col("_hole") - 1)))
     ends = reach.join(yes, ["file", "_f"]).groupBy("file", "sample_rate", "start", "stop").agg(F.max("_f").alias("last"), F.max_by("first", "_f").alias("first"))
     found = ends.where(F.col("last") - F.col("first") + 1 >= CUT["frames"])
-    covered = (F.col("r.start") < F.col("l.start") + CUT["overlap_s"] * F.col("l.sample_rate")) & (F.col("r.stop") > F.col("l.start") - CUT["listed_s"] * F.col("l.sample_rate"))
-    found = joins.overlapping(found, listed, ["file"], covered, "anti")
+    start = F.col("start").cast("double")
+    found = joins.with_overlap(found, listed, ["file"], start - CUT["listed_s"] * F.col("sample_rate"), start + CUT["overlap_s"] * F.col("sample_rate"), start, F.col("stop").cast("double"), "anti")
     rate = F.col("sample_rate")
     return found.select(
         "file", "sample_rate", F.floor(F.col("first") * rate / 100).alias("start"), "stop", F.lit(0).alias("severity"), F.lit("breath cut off into silence").alias("problem"),

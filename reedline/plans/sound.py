@@ -29,7 +29,7 @@ def _each(spark, sf_dir, of, schema: str, least: int = 2):
 
 
 def _numbered(values):
-    return np.arange(len(values)), np.round(values, 6)
+    return np.arange(len(values)), np.round(values, 6) + 0.0
 
 
 def _zero_phase_sql(power: str) -> str:
@@ -37,7 +37,7 @@ def _zero_phase_sql(power: str) -> str:
     return f"""WITH {_LONG}, k AS (SELECT m, unnest(range(m)) AS k FROM (SELECT DISTINCT m FROM l)),
  r AS (SELECT m, k, tan(pi() * least(greatest(least(k, m - k) / m::DOUBLE, 1e-9 / {RATE}), 0.5 * (1 - 1e-9))) AS o FROM k),
  g AS MATERIALIZED (SELECT r.m, d.k AS d, sum({power} * cos(2 * pi() * r.k * d.k / r.m)) / r.m AS g FROM r JOIN k AS d ON d.m = r.m GROUP BY 1, 2)
-SELECT vec_id, j.k - (n - 1) AS i, round(sum(w * g), 6) AS v FROM l JOIN k AS j ON j.m = l.m AND j.k BETWEEN n - 1 AND 2 * n - 2 JOIN g ON g.m = l.m AND g.d = (t - j.k + l.m) % l.m GROUP BY 1, 2"""
+SELECT vec_id, j.k - (n - 1) AS i, round(sum(w * g), 6) + 0 AS v FROM l JOIN k AS j ON j.m = l.m AND j.k BETWEEN n - 1 AND 2 * n - 2 JOIN g ON g.m = l.m AND g.d = (t - j.k + l.m) % l.m GROUP BY 1, 2"""
 
 
 @query(_zero_phase_sql(f"1 / (1 + pow(tan(pi() * 200 / {RATE}) / o, 16))"))
@@ -65,7 +65,7 @@ def _resampled_sql(up: int, down: int) -> str:
  h0 AS (SELECT d, CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d / {max(up, down)}.0) / (pi() * d / {max(up, down)}.0) END * {_bessel(f"(5 * sqrt(1 - (d / {half}.0) * (d / {half}.0)))")} AS h FROM d),
  h AS MATERIALIZED (SELECT d, {up} * h / sum(h) OVER () AS h FROM h0),
  x AS MATERIALIZED (SELECT vec_id, n, unnest(range(n)) AS i, unnest(v) AS v FROM s)
-SELECT x.vec_id, k.k AS i, round(sum(x.v * h.h), 6) AS v FROM (SELECT vec_id, unnest(range(CAST(ceil(n * {up} / {down}.0) AS BIGINT))) AS k FROM s) k JOIN x USING (vec_id) JOIN h ON h.d = k.k * {down} - x.i * {up} GROUP BY 1, 2"""
+SELECT x.vec_id, k.k AS i, round(sum(x.v * h.h), 6) + 0 AS v FROM (SELECT vec_id, unnest(range(CAST(ceil(n * {up} / {down}.0) AS BIGINT))) AS k FROM s) k JOIN x USING (vec_id) JOIN h ON h.d = k.k * {down} - x.i * {up} GROUP BY 1, 2"""
 
 
 @query(_resampled_sql(1, 4))
@@ -82,7 +82,7 @@ def sound_resampled(spark, sf_dir):
 
 @query(f"""WITH {_V}, x AS MATERIALIZED (SELECT vec_id, unnest(range(n)) AS i, unnest(v) AS v FROM s), k AS (SELECT vec_id, unnest(range(CAST(ceil(CAST(160 * n / 441.0 AS FLOAT)) AS BIGINT))) AS k FROM s),
  t AS (SELECT vec_id, k, v, least(6, greatest(-6, (i - k * 441 / 160.0) / 441 * 158.4)) AS t FROM k JOIN x USING (vec_id))
-SELECT vec_id, k AS i, round(sum(v * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * pow(cos(t * pi() / 12), 2) * 158.4 / 441), 6) AS v FROM t GROUP BY 1, 2""")
+SELECT vec_id, k AS i, round(sum(v * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t) / (pi() * t) END * pow(cos(t * pi() / 12), 2) * 158.4 / 441), 6) + 0 AS v FROM t GROUP BY 1, 2""")
 def sound_sinc_resampled(spark, sf_dir):
     """160 of 441 samples, through a Hann-windowed sinc."""
     return _each(spark, sf_dir, lambda x: _numbered(kernels.torch_like_resampled(x, 441, 160)), "i long, v double")

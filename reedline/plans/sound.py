@@ -89,8 +89,8 @@ def sound_sinc_resampled(spark, sf_dir):
 
 
 #: Of the spectrum of a whole pause: Hann-windowed, padded eightfold to a power of two.
-def _pause_sql(fs: float, low: float, high: float) -> str:
-    return f"""{_V}, w AS MATERIALIZED (SELECT vec_id, n, CAST(pow(2, ceil(log2(8 * n))) AS BIGINT) AS z, unnest(range(n)) AS t, unnest(v) AS v, 0.5 - 0.5 * cos(2 * pi() * unnest(range(n)) / (n - 1)) AS hann FROM s WHERE n >= 0.2 * {fs}),
+def _pause_sql(fs: float, low: float, high: float, tone: float = 0.0) -> str:
+    return f"""{_V}, w AS MATERIALIZED (SELECT vec_id, n, CAST(pow(2, ceil(log2(8 * n))) AS BIGINT) AS z, unnest(range(n)) AS t, unnest(list_transform(range(n), lambda i: v[i + 1] + {tone} * cos(2 * pi() * 0.45 * i))) AS v, 0.5 - 0.5 * cos(2 * pi() * unnest(range(n)) / (n - 1)) AS hann FROM s WHERE n >= 0.2 * {fs}),
  b AS (SELECT z, unnest(range(z // 2 + 1)) AS b FROM (SELECT DISTINCT z FROM w)),
  p AS MATERIALIZED (SELECT vec_id, n, w.z, b, b * {fs} / w.z AS f, sqrt(pow(sum(v * hann * cos(2 * pi() * b * t / w.z)), 2) + pow(sum(v * hann * sin(2 * pi() * b * t / w.z)), 2)) * sqrt(2) / sum(hann) AS level
   FROM w JOIN b ON b.z = w.z AND b * {fs} / w.z BETWEEN {low} AND {high} GROUP BY 1, 2, 3, 4)"""
@@ -102,13 +102,13 @@ def sound_pause_level(spark, sf_dir):
     return _each(spark, sf_dir, lambda x: ([20.0], np.round(hum.levels_of(x, 100.0, [20.0]), 6)), "hz double, level_db double", 20)
 
 
-_FS = 300.0
+_FS = 100.0
 
 
-@query(f"""WITH {_pause_sql(_FS, 30.0, 1010.0)}, d AS MATERIALIZED (SELECT vec_id, n, z, b, f, 20 * log10(level + 1e-12) AS db, row_number() OVER (PARTITION BY vec_id ORDER BY b) AS r, count(*) OVER (PARTITION BY vec_id) AS c FROM p),
+@query(f"""WITH {_pause_sql(_FS, 30.0, 1010.0, 2.0)}, d AS MATERIALIZED (SELECT vec_id, n, z, b, f, 20 * log10(level + 1e-12) AS db, row_number() OVER (PARTITION BY vec_id ORDER BY b) AS r, count(*) OVER (PARTITION BY vec_id) AS c FROM p),
  o AS (SELECT d.vec_id, d.b, median(e.db) AS around FROM (SELECT *, unnest(range(-CAST(round(10 * z / {_FS}) AS BIGINT), CAST(round(10 * z / {_FS}) AS BIGINT) + 1)) AS o FROM d) d JOIN d AS e ON e.vec_id = d.vec_id AND e.r = greatest(1, least(d.c, d.r + d.o)) GROUP BY 1, 2),
  t AS MATERIALIZED (SELECT q.vec_id, q.n, q.f, q.db FROM (SELECT *, lag(db) OVER w AS l, lead(db) OVER w AS g FROM d WINDOW w AS (PARTITION BY vec_id ORDER BY b)) q JOIN o USING (vec_id, b) WHERE db >= l AND db > g AND db - around >= 12 AND f >= 40 - {_FS} / z)
-SELECT vec_id, round(f, 6) AS hz, round(db, 6) AS line_db FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.vec_id = t.vec_id AND abs(u.f - t.f) <= 6 * {_FS} / t.n AND u.db - t.db >= 25)""")
+SELECT vec_id, round(f, 7) AS hz, round(db, 6) AS line_db FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.vec_id = t.vec_id AND abs(u.f - t.f) <= 6 * {_FS} / t.n AND u.db - t.db >= 25)""")
 def sound_pause_lines(spark, sf_dir):
-    """The lines of each vector as a pause at 300 Hz."""
-    return _each(spark, sf_dir, lambda x: [np.round(c, 6) for c in hum.lines_of(x, _FS)], "hz double, line_db double", 60)
+    """The lines of each vector as a pause at 100 Hz, with a tone of 45 Hz in it."""
+    return _each(spark, sf_dir, lambda x: [np.round(c, places) for places, c in zip((7, 6), hum.lines_of(x + 2.0 * np.cos(2 * np.pi * 0.45 * np.arange(len(x))), _FS))], "hz double, line_db double", 20)

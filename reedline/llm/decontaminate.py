@@ -183,12 +183,16 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 def _spans(items: Items, numbers: np.ndarray, exact: bool) -> np.ndarray:
     """The stretches of a text around the seeds that it shares with items (see _merged), with room for words put in or left out."""
-    lengths = np.array([len(t) for t in items.tokens], np.int64)
+    lengths = None
     out = np.empty((0, 6), np.int64)
     for size, (known, item, place) in items.seeds.items():
         at, keys = items.keys(numbers, size)
         first, last = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
         met = np.flatnonzero(last > first)
+        if not len(met):  # as in most texts
+            continue
+        if lengths is None:
+            lengths = np.array([len(t) for t in items.tokens], np.int64)
         n = (last - first)[met]
         cut = np.searchsorted(np.cumsum(n), np.arange(HITS, int(n.sum()) + HITS, HITS), "right")
         for a, b in zip(np.append(0, cut), np.append(cut, len(met))):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from reedline.sources.shared import stored
 
@@ -53,16 +56,30 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     exact = stored(done, "ranked").alias("x")
     same = [F.col(f"w.{n}").eqNullSafe(F.col(f"x.{n}")) for n in names] + [F.col("w.r.rank") == F.col("x.rank")]
     joined = asked.alias("w").join(exact, same).select(*[f"w.{n}" for n in names], F.col("w.held").alias("n"), "w.r.name", "w.r.side", "x.v")
-    out = []
+    sides, out, between = [], [], _interpolation()
     for name, share in wanted.items():
-        low, high = (F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))) for side in (0, 1))
-        place = F.lit(share) * (F.first("n") - 1)
-        out.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high).alias(name))
-    values = joined.groupBy(*names).agg(*out).alias("x")
+        sides += [F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("v"))).alias(f"_{name}_{side}") for side in (0, 1)]
+        place = F.lit(share) * (F.col("n") - 1)
+        out.append(between(F.col(f"_{name}_0"), F.col(f"_{name}_1"), place - F.floor(place)).alias(name))
+    values = joined.groupBy(*names).agg(F.first("n").alias("n"), *sides).select(*names, *out).alias("x")
     back = whole.alias("w").join(values, [F.col(f"w.{n}").eqNullSafe(F.col(f"x.{n}")) for n in names], "left")
     return back.select(*[F.col(f"w.{n}").alias(k) for n, k in zip(names, keys)], *wanted)
 
 
+def _interpolation():
+    """low * (1 - part) + high * part with the first product unrounded, as DuckDB's quantile_cont has it: a value that equals a percentile is compared with its last bit."""
+
+    def between(low, high, part):
+        if low is None or high is None or part == 0:
+            return low
+        try:
+            return math.fma(low, 1 - part, high * part)
+        except ValueError:  # between infinities of unlike sign
+            return math.nan
+
+    return F.udf(between, DoubleType())
+
+
 def _in_range(rows: DataFrame, ranges: DataFrame, names: list[str]) -> DataFrame:
     """The values in the range of each open rank of their group."""
     same = [F.col(f"r.{n}").eqNullSafe(F.col(f"o.{n}")) for n in names]

@@ -96,3 +96,16 @@ def test_percentiles_equal_numpy(spark, buckets, pick):
             if k not in ("wide", "far") or np.isfinite(want) and share * (len(x) - 1) == int(share * (len(x) - 1)):
                 assert got[k][name] == pytest.approx(want, rel=1e-12, abs=1e-300), (k, name)
     assert quantiles.percentiles(df.limit(0), ["k"], "v", wanted).count() == 0
+
+
+def test_percentiles_equal_quantile_cont_to_the_last_bit(spark):
+    """A threshold is compared with the values it is made of, so a percentile that is off by one bit moves a value to the other side."""
+    import duckdb
+
+    r = random.Random(11)
+    data = [(k, float(r.randrange(56_000)) / 100) for k in range(300) for _ in range(r.randrange(1, 130))] + [(k, 0.1 * k) for k in range(300, 340) for _ in range(17)]
+    found = {row.k: tuple(row)[1:] for row in quantiles.percentiles(spark.createDataFrame(data, "k long, v double"), ["k"], "v", {"p10": 0.1, "p90": 0.9, "p50": 0.5}).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (k BIGINT, v DOUBLE)")
+    con.execute(f"INSERT INTO t VALUES {', '.join(map(str, data))}")
+    assert found == {k: tuple(v) for k, *v in con.execute("SELECT k, quantile_cont(v, 0.1), quantile_cont(v, 0.9), quantile_cont(v, 0.5) FROM t GROUP BY 1").fetchall()}

@@ -14,6 +14,8 @@ from reedline.operators import seq
 from reedline.plans.registry import query, table
 
 SIZE = 64
+#: Vectors that the network takes at once: a square of SIZE for each, a few at a time, is all that a worker holds of them.
+AT_ONCE = 256
 _X = "x AS (SELECT vec_id, unnest(range(1, 65)) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 _P = f"""{_X}, k AS (SELECT unnest(range(0, 33)) AS k), p AS (SELECT vec_id, k, pow(sum(v * cos(2 * pi() * k * (n - 1) / 64)), 2) + pow(sum(v * sin(2 * pi() * k * (n - 1) / 64)), 2) AS power FROM x, k GROUP BY 1, 2)"""
 
@@ -144,12 +146,14 @@ def model_forward(spark, sf_dir):
         import pyarrow as pa
 
         for batch in batches:
-            v = np.array(batch.column("v").to_pylist(), float).reshape(-1, SIZE)
-            h = np.tanh(np.lib.stride_tricks.sliding_window_view(np.pad(v, ((0, 0), (1, 1))), 3, axis=1) @ kernel)
-            a = (h @ q) @ np.swapaxes(h @ k, 1, 2) / np.sqrt(8)
-            a = np.exp(a - a.max(axis=2, keepdims=True))
-            y = ((a / a.sum(axis=2, keepdims=True)) @ h).mean(axis=1) @ out
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(np.round(y[:, c], 6)) for c in range(3))], ["vec_id", "y0", "y1", "y2"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE)
+                h = np.tanh(np.lib.stride_tricks.sliding_window_view(np.pad(v, ((0, 0), (1, 1))), 3, axis=1) @ kernel)
+                a = (h @ q) @ np.swapaxes(h @ k, 1, 2) / np.sqrt(8)
+                a = np.exp(a - a.max(axis=2, keepdims=True))
+                y = ((a / a.sum(axis=2, keepdims=True)) @ h).mean(axis=1) @ out
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), *(pa.array(np.round(y[:, c], 6)) for c in range(3))], ["vec_id", "y0", "y1", "y2"])
 
     return vectors(spark, sf_dir).where(F.size("v") == SIZE).mapInArrow(run, "vec_id long, y0 double, y1 double, y2 double")
 

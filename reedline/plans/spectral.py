@@ -212,31 +212,52 @@ def name_plan(spark, sf_dir):
 def track_lines(spark, sf_dir):
     """Greedy tracking of daily lines, a fold over days: each line joins the nearest open track within 2, which closes after two days without.
 
-    A user's days are cut where no track can stay open, and each stretch is folded by itself.
+    A user's days are cut where no track can stay open. Stretches are folded row by row in the order that the sort gives, so a task holds the open tracks of one stretch and never its rows.
     """
-    import pandas as pd
+    from reedline.plans.registry import DAY
 
-    from reedline.plans.registry import DAY, signal
+    events = table(spark, sf_dir, "events").where("value >= 60").select("user_id", F.floor(seq.micros("ts") / DAY).alias("day"), "value").where("day is not null")
+    quiet = F.col("day") - F.lag("day").over(W.partitionBy("user_id").orderBy("day")) > 3
+    lines = seq.islands(events, ["user_id"], ["day"], quiet, "stretch").repartition("user_id", "stretch").sortWithinPartitions("user_id", "stretch", "day", F.desc("value"))
+    return lines.mapInArrow(_followed(), "user_id long, first_day long, last_day long, last_value double, members long")
 
-    lines = signal(spark, sf_dir).where("value >= 60").select("user_id", F.floor(F.col("t_us") / DAY).alias("day"), "value", "i")
 
-    def follow(key, pdf):
-        open_tracks, done = [], []
-        for day, part in pdf.sort_values(["day", "value", "i"], ascending=[True, False, True]).groupby("day", sort=True):
-            done += [t for t in open_tracks if day - t[1] > 3]
-            open_tracks = [t for t in open_tracks if day - t[1] <= 3]
-            used = set()
-            for v in part["value"]:
-                near = min(((abs(t[2] - v), n) for n, t in enumerate(open_tracks) if n not in used and abs(t[2] - v) <= 2), default=None)
+def _followed():
+    """The fold of track_lines over rows sorted by user, stretch and day, the greatest values first."""
+
+    def run(batches):
+        from bisect import bisect_left
+
+        import pyarrow as pa
+
+        key, today, tracks, free, done = None, None, [], [], []  # tracks: first day, last day, last value, members, in the order they opened
+        for batch in batches:
+            for user, stretch, day, v in zip(*(batch.column(c).to_pylist() for c in ("user_id", "stretch", "day", "value"))):
+                if key != (user, stretch):
+                    done += [(key[0], *t) for t in tracks if t[3] > 1]
+                    key, today, tracks = (user, stretch), None, []
+                if day != today:
+                    done += [(user, *t) for t in tracks if day - t[1] > 3 and t[3] > 1]
+                    tracks = [t for t in tracks if day - t[1] <= 3]
+                    today, free = day, sorted((t[2], n) for n, t in enumerate(tracks) if t[2] == t[2])
+                # the nearest values at or above and below, of equal ones the track that opened first
+                at = bisect_left(free, (v,))
+                near = [(abs(free[p][0] - v), free[p][1], p) for p in ([at] if at < len(free) else []) + ([bisect_left(free, (free[at - 1][0],))] if at else [])]
+                near = min((x for x in near if x[0] <= 2), default=None)
                 if near:
-                    t = open_tracks[near[1]]
+                    t = tracks[near[1]]
                     t[1], t[2], t[3] = day, v, t[3] + 1
-                    used.add(near[1])
+                    del free[near[2]]
                 else:
-                    open_tracks.append([day, day, v, 1])
-                    used.add(len(open_tracks) - 1)
-        return pd.DataFrame([(key[0], *t) for t in done + open_tracks if t[3] > 1], columns=["user_id", "first_day", "last_day", "last_value", "members"])
-
-    quiet = F.col("day") - F.lag("day").over(W.partitionBy("user_id").orderBy("day", "i")) > 3
-    lines = seq.islands(lines, ["user_id"], ["day", "i"], quiet, "stretch")
-    return lines.groupBy("user_id", "stretch").applyInPandas(follow, "user_id long, first_day long, last_day long, last_value double, members long")
+                    tracks.append([day, day, v, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*done)) or [[]] * 5, kinds)], names)
+            done = []
+        if key:
+            done = [(key[0], *t) for t in tracks if t[3] > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*done)) or [[]] * 5, kinds)], names)
+
+    import pyarrow as pa
+
+    names = ["user_id", "first_day", "last_day", "last_value", "members"]
+    kinds = [pa.int64()] * 3 + [pa.float64(), pa.int64()]
+    return run

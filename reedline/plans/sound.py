@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reedline.operators import hum, kernels
 from reedline.plans.registry import query, table
 
 RATE = 1000.0
+#: Vectors whose rows a worker holds at once.
+AT_ONCE = 256
 _V = "s AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS n FROM embeddings WHERE len(embedding) >= 2)"
 _LONG = f"""{_V}, l AS MATERIALIZED (SELECT vec_id, n, 3 * n - 2 AS m, unnest(range(3 * n - 2)) AS t, unnest(list_concat(list_transform(range(n - 1, 0, -1), lambda i: 2 * v[1] - v[i + 1]), v, list_transform(range(n - 2, -1, -1), lambda i: 2 * v[n] - v[i + 1]))) AS w FROM s)"""
 
@@ -20,12 +22,14 @@ def _each(spark, sf_dir, of, schema: str, least: int = 2):
 
     def run(batches):
         for batch in batches:
-            parts = [pd.DataFrame(dict(zip(names, of(np.asarray(v, np.float64))))).assign(vec_id=key) for key, v in zip(batch["vec_id"], batch["v"])]
-            if parts:
-                yield pd.concat(parts)[["vec_id", *names]]
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") >= least)
-    return rows.mapInPandas(run, f"vec_id long, {schema}")
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                found = [of(np.asarray(v, np.float64)) for v in part.column("v").to_pylist()]
+                keys = part.column("vec_id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.concatenate(c)) for c in zip(*found))], ["vec_id", *names])
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.size("v") >= least)
+    return rows.mapInArrow(run, f"vec_id long, {schema}")
 
 
 def _numbered(values):

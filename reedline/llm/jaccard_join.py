@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedline.llm.common import WordHashes, bounds, groups_in_order, shingle_set, stored
-from reedline.llm.components import components
+from reedline.llm.components import components, forest
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.9999
 #: Buckets of up to this many sets are compared by brute force, by sketches of 64 bytes; larger ones are split again.
-SMALL = 256
+SMALL = 1024
+#: Likely links that a task holds at a time.
+LIKELY = 1 << 19
 #: Members of a large bucket that one task holds against those far from its pivot.
 PART = 4096
 #: Runs are as many as buckets of this depth need; sets that lie in deeper ones get more runs.
@@ -121,28 +123,17 @@ def _leaf_links(similarity: float):
         for table in groups_in_order(batches, "path"):
             path, rep = table.column("path").to_numpy(), table.column("rep").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            left, right = [], []
+            links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for step in range(1, len(path)):
                 at = np.flatnonzero(path[:-step] == path[step:])
                 if not len(at):
                     break
                 at = at[(sketch[at] == sketch[at + step]).mean(axis=1) >= least]
-                left.append(at)
-                right.append(at + step)
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(up, up)
-                return x
-
-            u, v = [], []
-            for a, b in zip(np.concatenate([*left, []]).astype(int).tolist(), np.concatenate([*right, []]).astype(int).tolist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    parent[max(ra, rb)] = min(ra, rb)
-                    u.append(rep[a])
-                    v.append(rep[b])
+                links[0].append(rep[at])
+                links[1].append(rep[at + step])
+                if sum(map(len, links[0])) > LIKELY:
+                    links = tuple([x] for x in forest(*map(np.concatenate, links)))
+            u, v = forest(*map(np.concatenate, links))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
@@ -153,18 +144,10 @@ def _least_sketch(similarity: float) -> float:
     return similarity - 5 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
 
 
-def _around_pivot(similarity: float):
-    """Members of large buckets by their sketch's likeness to the pivot's: near ones may be linked to it; those that aren't surely so are open."""
-    least = _least_sketch(similarity)
-
-    def run(batches):
-        for batch in batches:
-            mine, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
-            like = (mine == other).mean(axis=1)
-            columns = [batch.column(c) for c in ("rep", "path", "pivot")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(like >= least), pa.array(like < similarity)], ["rep", "path", "pivot", "near", "open"])
-
-    return run
+def _like_pivot() -> Column:
+    """The part of a sketch's bytes that equal the pivot's. A sketch has the first byte of each coordinate."""
+    equal = [(F.substring("sig", 4 * k + 1, 1) == F.substring("pivot_sig", 4 * k + 1, 1)).cast("int") for k in range(COORDINATES)]
+    return reduce(Column.__add__, equal) / COORDINATES
 
 
 def _against_far(similarity: float):
@@ -213,39 +196,50 @@ def _few_far(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[dict[str, list[DataFrame]], DataFrame | None, int]:
-    """Some chosen-path runs over sets (rep, sig, sketch), level by level: what they end with, the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
+    """Some chosen-path runs over sets (rep, sig), level by level: what they end with, the sets that lay in buckets too large at BASE_DEPTH (None: none did), and the depth.
 
     A bucket of at most SMALL sets ends and is compared by brute force, one with a single set is dropped, a larger one is split again by coordinates that its own path samples. First all members of a
     large bucket are held against one of them, the pivot: those near it by sketches are linked to it. Where none is far from it, they are one group for the exact check, and the bucket ends; where at most SMALL
     are, those are held against all members, and it ends too; else the far ones are split again, and the near ones that aren't alike the pivot with them. A set alike
-    the pivot has no link to a set far from it, since distances of Jaccard similarity add up. Ends: small (path, rep), links (u, v), and far (path, rep, near, held), tables of each level.
+    the pivot has no link to a set far from it, since distances of Jaccard similarity add up. Ends: small (path, rep), links (u, v), large (path, rep, near, held), and few (path) of those that end with few far members, tables of each level.
+
+    The first paths go without their sets' min-hashes; members of large buckets take theirs along from level to level, so a level is one aggregation and one join by path, and a count of the far ones.
     """
-    rows = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"))
-    ends: dict[str, list[DataFrame]] = {"small": [], "links": [], "far": []}
+    ends: dict[str, list[DataFrame]] = {"small": [], "links": [], "large": [], "few": []}
+    paths = sets.select("rep", F.explode(_first_paths(runs, similarity)).alias("path"))
+    shared = stored(spark, paths.join(paths.groupBy("path").agg(F.count("*").alias("held")).where("held > 1"), "path"), "paths")
+    ends["small"].append(shared.where(F.col("held") <= SMALL).select("path", "rep"))
+    large = shared.where(F.col("held") > SMALL).select("path", "rep")
+    if large.isEmpty():
+        return ends, None, 1
+    rows = stored(spark, large.join(sets.select("rep", "sig"), "rep").select("path", "rep", "sig"), "large")
     deep = None
     for depth in range(1, MOST_DEPTH + 1):
-        pick = F.min(F.col("rep").bitwiseXOR(F.col("path")))  # another order in each bucket
+        pick = F.min(F.struct(F.col("rep").bitwiseXOR(F.col("path")).alias("place"), "sig"))  # another order in each bucket
         held = rows.groupBy("path").agg(F.count("*").alias("held"), pick.alias("pick")).where("held > 1")
-        held = held.select("path", "held", F.col("pick").bitwiseXOR(F.col("path")).alias("pivot"))
-        shared = stored(spark, rows.join(held, "path"), f"paths-{depth}")
-        ends["small"].append(shared.where(F.col("held") <= SMALL).select("path", "rep"))
-        large = shared.where(F.col("held") > SMALL)
-        if large.isEmpty():
-            break
+        held = held.select("path", "held", F.col("pick.place").bitwiseXOR(F.col("path")).alias("pivot"), F.col("pick.sig").alias("pivot_sig"))
+        both = rows.join(held, "path").withColumn("like", F.when(F.col("held") > SMALL, _like_pivot()))
+        near, open_ = F.col("like") >= _least_sketch(similarity), F.col("like") < similarity
+        placed = both.select("path", "rep", "held", "pivot", near.alias("near"), open_.alias("open"), F.when(open_, F.col("sig")).alias("sig"))
+        placed = stored(spark, placed, f"pivots-{depth}")
+        if depth > 1:
+            ends["small"].append(placed.where(F.col("held") <= SMALL).select("path", "rep"))
+        large = placed.where(F.col("held") > SMALL)
         if depth == MOST_DEPTH:  # the exact check tells them apart
             ends["links"].append(large.select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
             break
-        pivots = large.select("path", F.col("pivot").alias("rep")).distinct().join(sets.select("rep", F.col("sketch").alias("pivot_sketch")), "rep").drop("rep")
-        both = large.join(sets.select("rep", "sketch"), "rep").join(pivots, "path").select("rep", "path", "pivot", "sketch", "pivot_sketch")
-        placed = stored(spark, both.mapInArrow(_around_pivot(similarity), "rep long, path long, pivot long, near boolean, open boolean"), f"pivots-{depth}")
-        ends["links"].append(placed.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
-        far = placed.groupBy("path").agg(F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"))
-        far = stored(spark, far.where("far > 0"), f"far-{depth}")  # a row a large bucket
-        ends["far"].append(placed.join(far.where(F.col("far") <= SMALL).select("path", "held"), "path").select("path", "rep", "near", "held"))
-        split = placed.where("open").join(far.where(F.col("far") > SMALL).select("path"), "path", "left_semi").select("rep", "path")
+        ends["links"].append(large.where("near").select(F.col("rep").alias("u"), F.col("pivot").alias("v")))
+        far = large.groupBy("path").agg(F.count_if(~F.col("near")).alias("far")).where("far > 0")
+        far = stored(spark, far, f"far-{depth}")  # a row a large bucket
+        ends["large"].append(large.select("path", "rep", "near", "held"))
+        ends["few"].append(far.where(F.col("far") <= SMALL).select("path"))
+        more = far.where(F.col("far") > SMALL).select("path")
+        if more.isEmpty():
+            break
+        split = large.where("open").join(more, "path", "left_semi").select("path", "rep", "sig")
         if depth == BASE_DEPTH:
             deep = split.select("rep").distinct()
-        rows = split.join(sets.select("rep", "sig"), "rep").select("rep", F.explode(_next_paths(similarity)).alias("path"))
+        rows = split.select("rep", "sig", F.explode(_next_paths(similarity)).alias("path"))
     return ends, deep, depth
 
 
@@ -257,8 +251,8 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     """
     first = runs_for(recall, similarity, BASE_DEPTH)
     ends, deep, depth = _descend(spark, reps, similarity, range(first))
-    if deep is not None and not deep.isEmpty():
-        again = stored(spark, reps.join(deep, "rep", "left_semi").select("rep", "sig", "sketch"), "deep-sets")
+    if deep is not None:
+        again = stored(spark, reps.join(deep, "rep", "left_semi").select("rep", "sig"), "deep-sets")
         more = _descend(spark, again, similarity, range(first, max(first + 1, runs_for(recall, similarity, depth))))[0]
         ends = {name: ends[name] + more[name] for name in ends}
     # buckets of all levels are compared together: paths are hashes, no two levels share one
@@ -267,9 +261,9 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     links = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
     if "links" in every:
         links = links.unionByName(every["links"])
-    if "far" in every:
-        links = links.unionByName(_few_far(every["far"], reps, similarity))
-    return links.where("u <> v").distinct()
+    if "few" in every:
+        links = links.unionByName(_few_far(every["large"].join(every["few"], "path", "left_semi"), reps, similarity))
+    return links.where("u <> v")
 
 
 def _compare(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, similarity: float) -> np.ndarray:

@@ -161,3 +161,47 @@ def test_components(spark):
                 root[u] = root[v] = min(root[u], root[v])
     assert got == root
     assert components(spark, spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def tables_of(run):
+    """What a call returns, and the names of the tables that it stores."""
+    from reedline.sources import shared
+
+    tables, stored = [], shared.stored
+    shared.stored = lambda df, name: tables.append(name) or stored(df, name)
+    try:
+        return run(), tables
+    finally:
+        shared.stored = stored
+
+
+def test_components_of_long_chains_and_hubs_take_few_steps(spark):
+    """Stars whose centers are linked in a row: the steps are few, however long the row is."""
+    edges = [(1000 * k, 1000 * (k + 1)) for k in range(60)] + [(1000 * k, 1000 * k + j) for k in range(61) for j in range(1, 200)]
+    random.Random(5).shuffle(edges)
+    got, tables = tables_of(lambda: components(spark, spark.createDataFrame(edges, "u long, v long").repartition(40)).collect())
+    assert {x["root"] for x in got} == {0} and len(got) == len({n for e in edges for n in e})
+    assert len(tables) <= 5
+
+
+def test_a_level_of_the_recursion_stores_two_tables(spark):
+    """A level is one aggregation and one join, and a count of the far members; buckets of up to SMALL sets make no level."""
+    from reedline.llm.common import stored
+
+    signed = jaccard_join.signatures(documents(spark, deep_texts(50, 1900), parts=8))
+    sets = stored(spark, signed.select(jaccard_join.F.col("doc_id").alias("rep"), "sig"), "sets")
+    (ends, _, depth), tables = tables_of(lambda: jaccard_join._descend(spark, sets, 0.8, range(4)))
+    assert depth > 1 and len(tables) <= 2 + 2 * depth
+    few = sets.where("rep < 700")
+    (_, deep, depth), tables = tables_of(lambda: jaccard_join._descend(spark, few, 0.8, range(4)))
+    assert (deep, depth, len(tables)) == (None, 1, 1)
+
+
+def test_links_inside_buckets_of_several_levels(spark):
+    """As in test_links_inside_deep_buckets, with more sets than are compared at once."""
+    rows = deep_texts(300, 1500)
+    assert len(rows) > 2 * jaccard_join.SMALL
+    found = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(spark, documents(spark, rows, parts=8)).collect()}
+    want = brute_pairs(300, 1500)
+    hit = sum(found[i] == w for i, w in want.items() if w[1])
+    assert hit >= 0.99 * 600 and all(found[i] in (w, (i, 0)) for i, w in want.items())

@@ -15,6 +15,9 @@ from reedline.sources.shared import fresh_path  # noqa: F401
 WORD = re.compile(r"\w+")
 SHINGLE_WORDS = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows go to Python in batches of about so many bytes at most. Spark's own bound is 10,000 rows, 20 MB of usual texts, which the JVM and each worker hold several times over, idle workers too.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -22,6 +25,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return shared.stored(df, name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python tasks in batches of BATCH_BYTES; a bound that the session names itself is left."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgets all words beyond a fixed number."""
 

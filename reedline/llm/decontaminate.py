@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reedline.llm.common import WORD
+from reedline.llm.common import WORD, small_batches
 
 #: A seed of so many words is enough to align; of shorter ones two, unless the item is no longer than one.
 SEED_WORDS = 3
@@ -245,6 +245,7 @@ def contaminated(
     type that sorts. A longer item with no two words left side by side isn't found, unless exact: then every word of every item is a seed, common ones too, and
     one is enough, so that each document is aligned with each item wherever they share a word; that costs as much more as words repeat. Repeated rows of docs give a row each. Other columns aren't read.
     """
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     of_item = benchmark.schema["item_id"].dataType
     schema = f"doc_id long, item_id {of_item.simpleString()}, score double, first_word int, last_word int"

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import fresh_path, stored
+from reedline.llm.common import fresh_path, small_batches, stored
 
 #: The characters [\x20\x09-\x0D], which don't count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -132,6 +132,7 @@ def build_index(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET
     members: doc_id, h, text_sha256 of every row. path: where the index is to stay; else it lies in the shared folder while the session lasts.
     hashed: another hash of a column, for tests of collisions.
     """
+    small_batches(spark)
     path = path or fresh_path(spark, "hash-index")
     hashed = hashed or F.xxhash64
     members = stored(spark, _marked(docs, text, hashed), "hash-members")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import WordHashes, bounds, groups_in_order, shingle_set, stored
+from reedline.llm.common import WordHashes, bounds, groups_in_order, shingle_set, small_batches, stored
 from reedline.llm.components import components, forest
 
 SIMILARITY = 0.8
@@ -172,8 +172,8 @@ def _against_far(similarity: float):
                     raise ValueError("a bucket without its far members")
                 mine = np.frombuffer(b"".join(batch.column("sketch").slice(int(a), int(b - a)).to_pylist()), np.uint8).reshape(-1, COORDINATES)
                 told = np.zeros(len(reps), bool)
-                for c in range(0, len(mine), 512):
-                    like = (mine[c : c + 512, None, :] == sketches[None, :, :]).mean(axis=2) >= least
+                for c in range(0, len(mine), 64):  # times SMALL and COORDINATES: 4 MB
+                    like = (mine[c : c + 64, None, :] == sketches[None, :, :]).mean(axis=2) >= least
                     close = near[a + c : a + c + len(like)]
                     one = np.flatnonzero((like & close[:, None]).any(axis=0) & ~told)
                     told[one] = True
@@ -412,6 +412,7 @@ def near_duplicates(
     A null, empty or wordless text has no links and its own id as class. Rows that repeat a doc_id with other texts, and rows without doc_id, are
     documents like others; class_id is null where no document of a class has an id. An empty table gives no rows. Other columns aren't read.
     """
+    small_batches(spark)
     signed = stored(spark, signatures(docs, text), "signatures")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("pick")
     reps = signed.where("n > 0").groupBy("fp_hi", "fp_lo", "n", "sig").agg(pick, F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reedline.llm.common import small_batches
+
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
@@ -94,6 +96,7 @@ def train(spark: SparkSession, labelled: DataFrame, sample_per_lang: int = SAMPL
     language's share are taken: a bounded, repeatable sample (of rows without id, one that follows how the table is read). Counting runs in the tasks, sums in an aggregation;
     the driver gets languages x buckets numbers.
     """
+    small_batches(spark)
     known = labelled.where("lang is not null and text is not null")
     sizes = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
     if len(sizes) > MAX_LANGS:
@@ -144,7 +147,7 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
             owner.append(i)
             held.append(_grams(piece))
             waiting += len(held[-1])
-            if waiting >= 4 * PIECE:
+            if waiting >= PIECE:
                 flush()
                 waiting = 0
     flush()
@@ -163,6 +166,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]
     was learnt. score is the posterior probability. Ties go to the language first in order. Whole texts are read, long ones in
     pieces. Columns of docs named lang_pred or score are replaced. An empty table gives no rows.
     """
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     # by place, not by name: docs may have any columns

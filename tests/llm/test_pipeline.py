@@ -1,13 +1,17 @@
 import re
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
+import pytest
 from helpers import prose
 from test_decontaminate import brute as leaks
 from test_exact_dedup import brute as equal_groups
 from test_jaccard_join import brute as near_groups
 from test_packing import ids_of
 
-from reedline.llm import packing
+from reedline.llm import common, jaccard_join, language_id, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +92,48 @@ def test_items_of_one_and_two_words_count(spark, tmp_path):
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {least: sorted(r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path), least).collect()) for least in (1, 3)}
     assert kept == {1: [0, 3], 3: [0, 1, 2, 3]} and sorted(r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()) == [0, 3]
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_tasks_get_texts_in_small_batches(spark, tmp_path, stage):
+    spark.createDataFrame([(1, "nothing of this is anywhere")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat(concat('text ', id, ' '), 2500) as text", "'en' as lang")  # 9 MB in one task
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get(common._BATCH, None)
+    spark.conf.unset(common._BATCH)
+    try:
+        corpus_pipeline.STAGES[stage][1](spark, docs, str(tmp_path))
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * common.BATCH_BYTES
+        spark.conf.set(common._BATCH, "1m")  # a session's own bound stays
+        common.small_batches(spark)
+        assert spark.conf.get(common._BATCH) == "1m"
+    finally:
+        spark.conf.set(common._BATCH, before) if before else spark.conf.unset(common._BATCH)
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_are_scored_in_parts():
+    model = language_id.Model(["de", "en"], np.random.default_rng(1).normal(size=(language_id.BUCKETS, 2)).astype(np.float32), np.zeros(2))
+    assert peak_mb(lambda: language_id.score_texts(model, [prose(2000, k) for k in range(5)] * 40)) < 30
+
+
+def test_far_members_are_held_against_few_sets_at_a_time():
+    sketch = np.random.default_rng(2).integers(0, 256, (3000, jaccard_join.COORDINATES), np.uint8)
+    far = [{"rep": k, "sketch": sketch[k].tobytes()} for k in range(jaccard_join.SMALL)]
+    lead = {"path": 1, "part": 0, "first": 0, "far": far, "rep": None, "near": None, "sketch": None}
+    rows = [{"path": 1, "part": 0, "first": 1, "far": None, "rep": k, "near": k >= 1024, "sketch": s.tobytes()} for k, s in enumerate(sketch)]
+    batch, found = pa.RecordBatch.from_pylist([lead, *rows]), []
+    assert peak_mb(lambda: found.extend(jaccard_join._against_far(0.8)(iter([batch])))) < 20
+    assert sorted(zip(*(found[0].column(c).to_pylist() for c in "uv"))) == [(k, k) for k in range(jaccard_join.SMALL)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -31,6 +32,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def tidy(run):
+    """run over batches, after which a worker gives back what the task has freed: it stays, idle, beside those of other steps."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc, which else keeps pages between blocks in use
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; forgets all words beyond a fixed number."""
 

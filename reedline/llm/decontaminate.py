@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from reedline.llm.common import WORD, small_batches
+from reedline.llm.common import WORD, small_batches, tidy
 
 #: A seed of so many words is enough to align; of shorter ones two, unless the item is no longer than one.
 SEED_WORDS = 3
@@ -113,7 +113,7 @@ def seed_counts(spark: SparkSession, docs: DataFrame, block: Items) -> dict[int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size)), pa.array(at), pa.array(sums[at])], ["size", "seed", "docs"])
 
     # one row a distinct seed of a block, whose words are bounded
-    sums = docs.select("text").mapInArrow(run, "size long, seed long, docs long").groupBy("size", "seed").agg(F.sum("docs").alias("docs")).toArrow()
+    sums = docs.select("text").mapInArrow(tidy(run), "size long, seed long, docs long").groupBy("size", "seed").agg(F.sum("docs").alias("docs")).toArrow()
     size, seed, n = (sums.column(c).to_numpy() for c in ("size", "seed", "docs"))
     out = {k: np.zeros(len(keys), np.int64) for k, keys in distinct.items()}
     for k, found in out.items():
@@ -261,6 +261,6 @@ def contaminated(
                 columns = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)

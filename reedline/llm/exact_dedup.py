@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import fresh_path, small_batches, stored
+from reedline.llm.common import fresh_path, small_batches, stored, tidy
 
 #: The characters [\x20\x09-\x0D], which don't count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -142,9 +142,9 @@ def build_index(spark: SparkSession, docs: DataFrame, bucket_bytes: int = BUCKET
     norm = normalised(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n"), norm.alias("norm"), hashed(norm).alias("h"))
     keyed = _placed(rows, parts, depth).select("owner", "bucket", "h", "n", "doc_id", "norm")
-    combined = keyed.mapInArrow(_combine, "owner long, bucket long, h long, copies long, n long, keep_id long, norm string")
+    combined = keyed.mapInArrow(tidy(_combine), "owner long, bucket long, h long, copies long, n long, keep_id long, norm string")
     owned = combined.repartition("owner").sortWithinPartitions("owner", "bucket", "h")
-    chained = owned.mapInArrow(_chain, "owner long, bucket long, h long, chain int, copies long, n long, keep_id long, norm string")
+    chained = owned.mapInArrow(tidy(_chain), "owner long, bucket long, h long, chain int, copies long, n long, keep_id long, norm string")
     entries = chained.select(
         "owner", "bucket", "h", "chain", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), "keep_id", F.col("copies").alias("group_size")
     )

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import WordHashes, bounds, groups_in_order, shingle_set, small_batches, stored
+from reedline.llm.common import WordHashes, bounds, groups_in_order, shingle_set, small_batches, stored, tidy
 from reedline.llm.components import components, forest
 
 SIMILARITY = 0.8
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n int, fp_hi long, fp_lo long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, text_hash long, n int, fp_hi long, fp_lo long, sig binary")
 
 
 def _taken(coordinate) -> Column:
@@ -192,7 +192,7 @@ def _few_far(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     leads = far.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("first"), "far")
     rows = rows.select("path", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("first"), "rep", "near", "sketch")
     both = leads.unionByName(rows, allowMissingColumns=True).repartition("path", "part").sortWithinPartitions("path", "part", "first")
-    return both.mapInArrow(_against_far(similarity), "u long, v long")
+    return both.mapInArrow(tidy(_against_far(similarity)), "u long, v long")
 
 
 def _descend(spark: SparkSession, sets: DataFrame, similarity: float, runs: range) -> tuple[dict[str, list[DataFrame]], DataFrame | None, int]:
@@ -258,7 +258,7 @@ def candidate_links(spark: SparkSession, reps: DataFrame, similarity: float, rec
     # buckets of all levels are compared together: paths are hashes, no two levels share one
     every = {name: reduce(DataFrame.unionByName, tables) for name, tables in ends.items() if tables}
     small = every["small"].join(reps.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
-    links = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(_leaf_links(similarity), "u long, v long")
+    links = small.repartition("path").sortWithinPartitions("path", "rep").mapInArrow(tidy(_leaf_links(similarity)), "u long, v long")
     if "links" in every:
         links = links.unionByName(every["links"])
     if "few" in every:
@@ -376,7 +376,7 @@ def _large_groups(spark: SparkSession, members: DataFrame, texts: DataFrame, sim
     rows = leads.unionByName(members.select("*", part.alias("part"), F.lit(1).alias("place")))
     rows = rows.hint("merge").join(texts, "rep").select("comp", "part", "place", "rep", "copies", "n", "text")
     rows = rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "place", "rep")
-    placed = stored(spark, rows.mapInArrow(_bands(similarity), "rep long, comp long, copies long, n int, band long, linked boolean"), "bands")
+    placed = stored(spark, rows.mapInArrow(tidy(_bands(similarity)), "rep long, comp long, copies long, n int, band long, linked boolean"), "bands")
     sizes = placed.groupBy("comp", "band").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("subs"))
     sets = stored(
         spark,
@@ -441,7 +441,7 @@ def near_duplicates(
     work = work.hint("merge").join(texts, "rep").select("comp", "rep", "copies", "block", "text", F.explode("tasks").alias("task"))
     work = work.select("comp", "task.i", "task.j", "block", "rep", "copies", "text")
     work = work.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "block", "rep")
-    found = work.mapInArrow(_verify(similarity), "rep long, links long, root long, whole boolean")
+    found = work.mapInArrow(tidy(_verify(similarity)), "rep long, links long, root long, whole boolean")
     checked = stored(spark, found.unionByName(known) if several else found, "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if several:  # classes that span blocks meet through their shared sets

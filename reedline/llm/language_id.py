@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedline.llm.common import small_batches
+from reedline.llm.common import small_batches, tidy
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -112,7 +112,7 @@ def train(spark: SparkSession, labelled: DataFrame, sample_per_lang: int = SAMPL
         if r["count"] > sample_per_lang:
             share = F.when(F.col("lang") == r["lang"], sample_per_lang / r["count"]).otherwise(share)
     sums = (
-        known.where(place < share).select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
+        known.where(place < share).select("text", "lang").mapInArrow(tidy(_count), "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
     counts = np.zeros((BUCKETS, len(langs)))
@@ -180,7 +180,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]
                 langs, scores = score_texts(sent.value, part.columns[-1].to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(run, ", ".join([*([schema] if schema else []), "lang_pred string", "score double"])).toDF(*keep, "lang_pred", "score")
+    return source.mapInArrow(tidy(run), ", ".join([*([schema] if schema else []), "lang_pred string", "score double"])).toDF(*keep, "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reedline.llm.common import fresh_path, small_batches
+from reedline.llm.common import fresh_path, small_batches, tidy
 
 MAGIC = b"RDLSST01"
 FOOTER = struct.Struct("<8Q8s")
@@ -362,7 +362,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, lean: bo
     """
     small_batches(docs.sparkSession)
     width = _width(checked_tokenizer(tokenizer_path), end_id)
-    rows = _source(docs).mapInArrow(_tokens(tokenizer_path, end_id, width, uuid.uuid4().hex, lean=lean), "shard int, doc_id long, ids binary")
+    run = _tokens(tokenizer_path, end_id, width, uuid.uuid4().hex, lean=lean)
+    rows = _source(docs).mapInArrow(tidy(run) if lean else run, "shard int, doc_id long, ids binary")
     return rows.select("doc_id", "ids", (F.octet_length("ids") / width).cast("long").alias("tokens"))
 
 

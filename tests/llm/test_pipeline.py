@@ -137,3 +137,19 @@ def test_far_members_are_held_against_few_sets_at_a_time():
     batch, found = pa.RecordBatch.from_pylist([lead, *rows]), []
     assert peak_mb(lambda: found.extend(jaccard_join._against_far(0.8)(iter([batch])))) < 20
     assert sorted(zip(*(found[0].column(c).to_pylist() for c in "uv"))) == [(k, k) for k in range(jaccard_join.SMALL)]
+
+
+def test_a_worker_gives_freed_memory_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nAnonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    def run(batches, pins):
+        for _ in batches:
+            blocks = [bytes(1000) for _ in range(150_000)]
+            pins.append(bytes(1000))  # lies behind them, so that the heap can't shrink
+            yield len(blocks)
+
+    before, pins = held(), []
+    assert list(common.tidy(lambda batches: run(batches, pins))([1])) == [150_000]
+    assert held() - before < 60
